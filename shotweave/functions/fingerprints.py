@@ -35,20 +35,38 @@ def feature_bits(features: Column, n_bits: int = KEYS_BITS, digit: int = 1) -> C
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _packed_word(bits: Column, word: Column | int) -> Column:
+    mine = F.filter(bits, lambda b: F.shiftright(b, 5) == word)
+    return F.aggregate(mine, F.lit(0).cast("bigint"),
+                       lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 32)))
+
+
 def bits_to_words(bits: Column, n_words: int = KEYS_WORDS) -> Column:
-    """Bit b sets bit ``b % 32`` of word ``b // 32``."""
-    def word(i: Column) -> Column:
-        mine = F.filter(bits, lambda b: F.floor(b / 32) == i)
-        return F.aggregate(mine, F.lit(0).cast("bigint"),
-                           lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 32)))
+    """Bit b sets bit ``b % 32`` of word ``b // 32``.
+
+    Wide fingerprints first sort their bits into runs of 8 words.
+    """
+    if n_words <= UNROLLED_WORDS:
+        return _once(bits, lambda bs: F.array(*[_packed_word(bs, i) for i in range(n_words)]))
+
+    def run_of_words(bs: Column, run: int) -> Column:
+        last = min(n_words, 8 * run + 8)
+        return _once(F.filter(bs, lambda b: F.shiftright(b, 8) == run),
+                     lambda few: F.array(*[_packed_word(few, i) for i in range(8 * run, last)]))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)), word)
+    runs = (n_words + 7) // 8
+    return _once(bits, lambda bs: F.concat(*[run_of_words(bs, r) for r in range(runs)]))
 
 
 def text_words(text: Column, n_bits: int = KEYS_BITS, n_words: int = KEYS_WORDS, digit: int = 1) -> Column:
     """Hashed-token fingerprint of a text; NULL where the text has no token."""
-    parts = tokens(text)
-    return F.when(F.size(parts) > 0, bits_to_words(feature_bits(parts, n_bits, digit), n_words))
+    return _once(tokens(text), lambda parts: F.when(
+        F.size(parts) > 0, bits_to_words(feature_bits(parts, n_bits, digit), n_words)))
 
 
 def words_to_bytes(words: Column) -> Column:

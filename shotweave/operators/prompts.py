@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions import text as txt
-from shotweave.functions.labels import class_text
+from shotweave.functions.labels import NO, YES, class_text
 
 # Shot counts of the published files.
 TRAIN_SHOTS = (1, 2, 3, 4)
@@ -86,26 +86,29 @@ def kshot_rows(queries: DataFrame, neighbours: DataFrame, keys: Sequence[str], s
     return _fan_out(queries, examples, keys, shots, block, subject)
 
 
+def balance(neighbours: DataFrame, keys: Sequence[str], label: Column, most: int) -> DataFrame:
+    """First ``most`` neighbours of each class, by rank, before any string is attached."""
+    order = Window.partitionBy(*keys, "_class").orderBy("rank")
+    classed = neighbours.withColumn("_class", class_text(label.try_cast("double"))).filter(F.col("_class").isNotNull())
+    return classed.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n", "_class")
+
+
 def balanced_rows(queries: DataFrame, neighbours: DataFrame, keys: Sequence[str], subject: Column,
                   shots: Sequence[int] = BALANCED_SHOTS) -> DataFrame:
     """k-shot rows with k/2 Yes examples, then k/2 No examples, each nearest first.
 
-    Classes come from the whole neighbour list (usually :data:`BALANCED_DEPTH` deep); a class with fewer members
-    gives fewer. Only the rows that can be shown are joined to their strings.
+    Classes come from the whole neighbour list (usually :data:`BALANCED_DEPTH` deep, cut by :func:`balance`); a class
+    with fewer members gives fewer.
     """
-    most = max(shots) // 2
-    text = class_text(F.col("n_label").try_cast("double"))
-    order = Window.partitionBy(*keys, "_class").orderBy("rank")
-    classed = (
-        neighbours.withColumn("_class", text).filter(F.col("_class").isNotNull())
-        .withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= most)
+    shown = balance(neighbours, keys, F.col("n_label"), max(shots) // 2).withColumn(
+        "klass", class_text(F.col("n_label").try_cast("double"))
     )
-    examples = _examples(classed, keys, example(F.col("n_smiles"), F.col("_class")),
-                         [F.col("_class").alias("klass"), F.col("_place").alias("place")])
+    examples = _examples(shown, keys, example(F.col("n_smiles"), F.col("klass")), [F.col("klass")])
 
     def block(lines: Column, shot: Column) -> Column:
-        yes = F.filter(lines, lambda x: (x["klass"] == "Yes") & (x["place"] <= shot / 2))
-        no = F.filter(lines, lambda x: (x["klass"] == "No") & (x["place"] <= shot / 2))
-        return F.concat(yes, no)
+        def first(klass: str) -> Column:
+            return F.slice(F.filter(lines, lambda x: x["klass"] == klass), F.lit(1), (shot / 2).cast("int"))
+
+        return F.concat(first(YES), first(NO))
 
     return _fan_out(queries, examples, keys, shots, block, subject)

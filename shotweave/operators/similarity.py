@@ -90,6 +90,11 @@ def _distinct(encoded: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
     )
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, so that a table can meet itself."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _band(pc: Column) -> Column:
     return F.floor(F.log(pc.cast("double")) / F.log(F.lit(BAND_RATIO))).cast("int")
 
@@ -266,7 +271,7 @@ def nearest(queries: DataFrame, candidates: DataFrame | None, k: int, by: Sequen
     q_rows = _encoded(queries, by)
     c_rows = q_rows if exclude_self else _encoded(candidates, by)
     c = cut_lineage(_distinct(c_rows, inner, keep))
-    q = c if exclude_self else cut_lineage(_distinct(q_rows, inner, 1))
+    q = _fresh(c) if exclude_self else cut_lineage(_distinct(q_rows, inner, 1))
     if two_steps is None:
         two_steps = min_similarity == 0.0 and c.count() > 16 * block_rows
     best = _exact(q, c, inner, keep, min_similarity, block_rows, two_steps)
@@ -322,7 +327,7 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
 
     distinct_c = cut_lineage(_distinct(c_rows, inner, keep))
     c = cut_lineage(banded(distinct_c))
-    q = c.drop("members") if exclude_self else cut_lineage(banded(_distinct(q_rows, inner, 1)).drop("members"))
+    q = _fresh(c.drop("members")) if exclude_self else cut_lineage(banded(_distinct(q_rows, inner, 1)).drop("members"))
     bucket = [*inner, "_lsh", "_bucket"]
     large = cut_lineage(c.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_BUCKET)
                         .select(*bucket))

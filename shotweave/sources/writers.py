@@ -53,6 +53,8 @@ def load_or_create(spark: SparkSession, path: str, create: Callable[[], DataFram
     """
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         create().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
