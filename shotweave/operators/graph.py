@@ -39,7 +39,7 @@ def dense_core(cells: DataFrame, entity: str = "mol_id", task: str = "task_id",
             | (F.col("positive") < threshold_pos_neg)
             | (F.col("negative") < threshold_pos_neg)
         ).select(task)
-        core = cut_lineage(skew_join(kept, poor, [task], [entity], "left_anti").select(entity, task, "label"))
+        core = cut_lineage(skew_join(kept, poor, [task], [entity], "left_anti", hot_from=core).select(entity, task, "label"))
         before, left = left, core.count()
         if left == before:
             return core
@@ -66,7 +66,7 @@ def renumber_edges(edges: DataFrame, numbers: DataFrame) -> DataFrame:
     first = numbers.select(F.col("old_id").alias("task1"), F.col("new_id").alias("_n1"))
     second = numbers.select(F.col("old_id").alias("task2"), F.col("new_id").alias("_n2"))
     one = skew_join(edges, first, ["task1"], ["task2", "score"])
-    both = skew_join(one, second, ["task2"], ["task1", "score"])
+    both = skew_join(one, second, ["task2"], ["task1", "score"], hot_from=edges)
     return both.select(F.col("_n1").alias("task1"), F.col("_n2").alias("task2"), "score")
 
 
@@ -80,7 +80,7 @@ def task_pair_scores(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
             .groupBy("member1", "member2").agg(F.max("score").alias("score")))
     first = members.select(F.col("member").alias("member1"), F.col("task").alias("task1"))
     second = members.select(F.col("member").alias("member2"), F.col("task").alias("task2"))
-    left = (skew_join(best, first, ["member1"], ["member2"])
+    left = (skew_join(best, first, ["member1"], ["member2"], hot_from=pair_scores)
             .groupBy("task1", "member2").agg(F.max("score").alias("score")))
-    both = skew_join(left, second, ["member2"], ["task1"])
+    both = skew_join(left, second, ["member2"], ["task1"], hot_from=pair_scores)
     return both.groupBy("task1", "task2").agg(F.max("score").alias("score"))

@@ -205,8 +205,8 @@ def _search_blocks(queries: DataFrame, candidates: DataFrame, by: Sequence[str],
     types = dict(queries.dtypes)
     schema = ", ".join(f"`{b}` {types[b]}" for b in by) + ", fp binary, distance double, key bigint"
     return (
-        q.repartition(tasks, *grid).groupBy(*grid)
-        .cogroup(c.repartition(tasks, *grid).groupBy(*grid))
+        _fresh(q).repartition(tasks, *grid).groupBy(*grid)
+        .cogroup(_fresh(c).repartition(tasks, *grid).groupBy(*grid))
         .applyInArrow(_topk_kernel(k, by), schema)
     )
 
@@ -271,7 +271,7 @@ def nearest(queries: DataFrame, candidates: DataFrame | None, k: int, by: Sequen
     q_rows = _encoded(queries, by)
     c_rows = q_rows if exclude_self else _encoded(candidates, by)
     c = cut_lineage(_distinct(c_rows, inner, keep))
-    q = _fresh(c) if exclude_self else cut_lineage(_distinct(q_rows, inner, 1))
+    q = c if exclude_self else cut_lineage(_distinct(q_rows, inner, 1))
     if two_steps is None:
         two_steps = min_similarity == 0.0 and c.count() > 16 * block_rows
     best = _exact(q, c, inner, keep, min_similarity, block_rows, two_steps)
@@ -327,7 +327,7 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
 
     distinct_c = cut_lineage(_distinct(c_rows, inner, keep))
     c = cut_lineage(banded(distinct_c))
-    q = _fresh(c.drop("members")) if exclude_self else cut_lineage(banded(_distinct(q_rows, inner, 1)).drop("members"))
+    q = c.drop("members") if exclude_self else cut_lineage(banded(_distinct(q_rows, inner, 1)).drop("members"))
     bucket = [*inner, "_lsh", "_bucket"]
     large = cut_lineage(c.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_BUCKET)
                         .select(*bucket))
@@ -340,7 +340,7 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
 
     left = small(q).select(*bucket, "fp", F.col("_w").alias("_qw"))
     right = small(c).select(*bucket, F.col("_w").alias("_cw"), "members")
-    pairs = skew_join(left, right, bucket, ["fp"])
+    pairs = skew_join(left, right, bucket, ["fp"], hot_from=q)
     near = pairs.select(
         *inner, "fp", fpx.tanimoto(n_words)(F.col("_qw"), F.col("_cw")).alias("distance"), "members"
     )
@@ -374,6 +374,7 @@ def recall(found: DataFrame, exact: DataFrame, by: Sequence[str] = ()) -> DataFr
     return marked.agg(F.avg(F.coalesce(F.col("_hit"), F.lit(0)).cast("double")).alias("recall"))
 
 
-def with_payload(neighbours: DataFrame, entities: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Attach string and label of each neighbour; a key that is everybody's neighbour is salted."""
-    return skew_join(neighbours, entities.select("key", *by, *columns), [*by, "key"], ["query_id"])
+def with_payload(neighbours: DataFrame, entities: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
+                 hot_from: DataFrame | None = None) -> DataFrame:
+    """Attach string or label of each neighbour; a key that is everybody's neighbour is salted."""
+    return skew_join(neighbours, entities.select("key", *by, *columns), [*by, "key"], ["query_id"], hot_from=hot_from)

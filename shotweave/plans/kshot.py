@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.functions import fingerprints as fpx
+from shotweave.functions.labels import class_text
 from shotweave.operators import prompts, similarity
 from shotweave.session import cut_lineage
 
@@ -25,7 +26,7 @@ def train_prompts(entities: DataFrame, rows: DataFrame, instructions: DataFrame,
 
     ``entities(key, smiles)``, ``rows(key, task, words, label)``, ``instructions(task, instruction)``.
     """
-    found = similarity.nearest(rows.select("key", "task", "words"), None, max(shots), by=["task"])
+    found = cut_lineage(similarity.nearest(rows.select("key", "task", "words"), None, max(shots), by=["task"]))
     return _assemble(entities, rows, rows, instructions, found, shots, prompts.train_subject(F.col("task")), {})
 
 
@@ -39,10 +40,12 @@ def test_prompts(entities: DataFrame, test: DataFrame, train: DataFrame, instruc
     shots = shots or {NEAR: prompts.NEAR_SHOTS, FAR: prompts.FAR_SHOTS, BALANCED: prompts.BALANCED_SHOTS}[style]
     width = prompts.BALANCED_DEPTH if style == BALANCED else max(shots)
     columns = ["key", "task", "words"]
-    found = similarity.nearest(test.select(columns), train.select(columns), width, by=["task"])
+    found = cut_lineage(similarity.nearest(test.select(columns), train.select(columns), width, by=["task"]))
     if style == BALANCED:
-        found = prompts.balance(similarity.with_payload(found, train, ["label"], by=["task"]), ["query_id", "task"],
-                                F.col("label"), max(shots) // 2).drop("label")
+        classed = similarity.with_payload(found, train, ["label"], by=["task"])
+        found = cut_lineage(
+            prompts.balance(classed, ["query_id", "task"], F.col("label"), max(shots) // 2).drop("label")
+        )
     how = {"style": style, "yes_no": yes_no}
     return _assemble(entities, test, train, instructions, found, shots, prompts.test_subject(), how)
 
@@ -53,8 +56,9 @@ def _assemble(entities: DataFrame, queries: DataFrame, pool: DataFrame, instruct
     payload = similarity.with_payload(found, pool.select("key", "task", F.col("label").alias("n_label")),
                                       ["n_label"], by=["task"])
     payload = similarity.with_payload(payload, entities.select("key", F.col("smiles").alias("n_smiles")), ["n_smiles"])
+    label = class_text(F.col("label")) if how.get("yes_no") else F.col("label")
     asked = (
-        queries.select("key", "task", "label").join(entities.select("key", "smiles"), "key")
+        queries.select("key", "task", label.alias("label")).join(entities.select("key", "smiles"), "key")
         .join(instructions, "task").withColumnRenamed("key", "query_id")
     )
     if how.get("style") == BALANCED:

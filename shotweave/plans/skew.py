@@ -29,18 +29,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_MIN_ROW
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_on: Sequence[str], how: str = "inner",
-              min_rows: int = HOT_KEY_MIN_ROWS, salts: int = SALTS) -> DataFrame:
+              min_rows: int = HOT_KEY_MIN_ROWS, salts: int = SALTS, hot_from: DataFrame | None = None) -> DataFrame:
     """Equi-join in which the rows of hot left keys are spread over ``salts`` tasks.
 
     The matching right rows, and only those, are repeated once per salt.
     ``spread_on`` are left columns that differ between the rows of a key.
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; for each of them a
     left row meets exactly the right rows of its own salt, so the result is
-    that of the plain join. If AQE finds ``right`` small enough to broadcast,
+    that of the plain join. Keys are counted in ``hot_from`` where ``left`` itself is
+    costly to compute twice; any table with about the same key frequencies will do. If AQE finds ``right`` small enough to broadcast,
     nothing is shuffled at all.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, min_rows))
+    hot = F.broadcast(hot_keys(left if hot_from is None else hot_from, on, min_rows))
     salted_left = (
         left.join(hot, on, "left")
         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
