@@ -40,7 +40,7 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _packed_word(bits: Column, word: Column | int) -> Column:
+def _packed_word(bits: Column, word: Column) -> Column:
     mine = F.filter(bits, lambda b: F.shiftright(b, 5) == word)
     return F.aggregate(mine, F.lit(0).cast("bigint"),
                        lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 32)))
@@ -51,16 +51,19 @@ def bits_to_words(bits: Column, n_words: int = KEYS_WORDS) -> Column:
 
     Wide fingerprints first sort their bits into runs of 8 words.
     """
+    def words_between(some: Column, first: Column, last: Column) -> Column:
+        return F.transform(F.sequence(first, last), lambda i: _packed_word(some, i))
+
     if n_words <= UNROLLED_WORDS:
-        return _once(bits, lambda bs: F.array(*[_packed_word(bs, i) for i in range(n_words)]))
+        return _once(bits, lambda bs: words_between(bs, F.lit(0), F.lit(n_words - 1)))
 
-    def run_of_words(bs: Column, run: int) -> Column:
-        last = min(n_words, 8 * run + 8)
+    def run_of_words(bs: Column, run: Column) -> Column:
+        first = run * 8
         return _once(F.filter(bs, lambda b: F.shiftright(b, 8) == run),
-                     lambda few: F.array(*[_packed_word(few, i) for i in range(8 * run, last)]))
+                     lambda few: words_between(few, first, F.least(first + 7, F.lit(n_words - 1))))
 
-    runs = (n_words + 7) // 8
-    return _once(bits, lambda bs: F.concat(*[run_of_words(bs, r) for r in range(runs)]))
+    runs = F.sequence(F.lit(0), F.lit((n_words - 1) // 8))
+    return _once(bits, lambda bs: F.flatten(F.transform(runs, lambda r: run_of_words(bs, r))))
 
 
 def text_words(text: Column, n_bits: int = KEYS_BITS, n_words: int = KEYS_WORDS, digit: int = 1) -> Column:

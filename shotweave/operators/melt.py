@@ -38,13 +38,13 @@ def column_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     One pass with map-side combine over the wide table; a column without values is int.
     """
-    checks = []
+    types, checks = dict(df.dtypes), []
     for i, name in enumerate(columns):
-        number = F.col(name).cast("string").try_cast("double")
+        whole, number = _value_checks(F.col(name), types[name])
         present = F.col(name).isNotNull()
         checks += [
-            F.coalesce(F.bool_and(F.when(present, F.coalesce(number % 1 == 0, F.lit(False)))), F.lit(True)).alias(f"i{i}"),
-            F.coalesce(F.bool_and(F.when(present, number.isNotNull())), F.lit(True)).alias(f"f{i}"),
+            F.coalesce(F.bool_and(F.when(present, whole)), F.lit(True)).alias(f"i{i}"),
+            F.coalesce(F.bool_and(F.when(present, number)), F.lit(True)).alias(f"f{i}"),
         ]
     kinds = [
         F.struct(
@@ -56,6 +56,16 @@ def column_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*checks).select(F.inline(F.array(*kinds)))
 
 
+def _value_checks(value: Column, data_type: str) -> tuple[Column, Column]:
+    """Whether a value is whole, and whether it is a number. Typed columns are not taken through text."""
+    if data_type in ("tinyint", "smallint", "int", "bigint", "boolean"):
+        return F.lit(True), F.lit(True)
+    if data_type in ("float", "double") or data_type.startswith("decimal"):
+        return value % 1 == 0, F.lit(True)
+    number = value.cast("string").try_cast("double")
+    return F.coalesce(number % 1 == 0, F.lit(False)), number.isNotNull()
+
+
 def masked_labels(entities: DataFrame, labels: DataFrame, key: str, tasks: Sequence[str]) -> DataFrame:
     """One row per entity and task, the sentinel where the label is not measured."""
     wide = entities.select(key).join(labels.select(key, *tasks), key, "left")

@@ -34,6 +34,8 @@ BAND_RATIO = 1.15
 SMALL_BUCKET = 256
 GROUP = "_all"
 SLACK = 1e-12
+TILE_PAIRS = 131_072
+ROUGH_SLACK = 1e-6
 
 Encoder = Callable[[pd.Series], pd.Series]
 
@@ -58,6 +60,11 @@ def searchable(shards: DataFrame, name: str) -> DataFrame:
     return shards.filter(~F.col(name).startswith("test"))
 
 
+def encodable(df: DataFrame, text: str) -> DataFrame:
+    """Rows that will get a fingerprint, tested on the text so that nothing is encoded for the test."""
+    return df.filter(F.lower(text).rlike("[a-z0-9]"))
+
+
 def not_indexed(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
     """Rows whose key the fingerprint table does not hold yet."""
     return df.join(table.select(F.col("key").alias(key)), key, "left_anti")
@@ -72,13 +79,16 @@ def pair_distances(pairs: DataFrame, distance: fpx.Distance, left: str, right: s
 
 
 def _encoded(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``(by, _all, key, fp, pc)`` of the rows that have a set bit, written once."""
+    """``(by, _all, key, fp, pc)`` of the rows that have a set bit, written once.
+
+    The filter comes after the write: before it, it would be pushed below the encoding and encode every row twice.
+    """
     packed = df.select(
         *by, F.lit(0).alias(GROUP), F.col("key").cast("bigint").alias("key"),
         fpx.words_to_bytes(F.col("words")).alias("fp"),
         F.aggregate("words", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("pc"),
     )
-    return cut_lineage(packed.filter(F.col("pc") > 0))
+    return cut_lineage(packed).filter(F.col("pc") > 0)
 
 
 def _distinct(encoded: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
@@ -130,6 +140,13 @@ def _topk_kernel(k: int, by: Sequence[str]):
         columns["key"] = pa.array(keys)
         return pa.table(columns)
 
+    def _first(row: np.ndarray, dist: np.ndarray, item: np.ndarray):
+        """The first k per row by (distance, item)."""
+        sort = np.lexsort((item, dist, row))
+        row, dist, item = row[sort], dist[sort], item[sort]
+        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+        return row[keep], dist[keep], item[keep]
+
     def _search(queries: pa.Table, candidates: pa.Table, members: pa.ListArray):
         starts = members.offsets.to_numpy()
         flat = members.values.to_numpy()
@@ -138,31 +155,31 @@ def _topk_kernel(k: int, by: Sequence[str]):
         q_pc, c_pc = queries["pc"].to_numpy(), candidates["pc"].to_numpy()[order]
         floor = queries["floor"].to_numpy()
         counts, starts = np.diff(starts)[order], starts[:-1][order]
-        n_c, tile = len(c_pc), max(1, 4_000_000 // max(1, len(c_pc)))
-        width = min(k, n_c)
-        none = np.iinfo(np.int64).max
+        n_c = len(c_pc)
+        tile = max(1, TILE_PAIRS // n_c)
+        width = n_c - min(k, n_c)
+        q_size, c_size = q_pc.astype(np.float32), c_pc.astype(np.float32)
         out = []
         for lo in range(0, len(q_pc), tile):
             hi = min(lo + tile, len(q_pc))
             shared = np.zeros((hi - lo, n_c), dtype=np.uint16)
             for word in range(len(q_bits)):
-                shared += np.bitwise_count(q_bits[word, lo:hi, None] & c_bits[word][None, :])
-            similarity = shared / (q_pc[lo:hi, None] + c_pc[None, :] - shared)
-            # Distances are fractions of small integers, so 30 bits tell any two apart; ties go to the smaller key.
-            rank = (np.rint((1.0 - similarity) * (1 << 30)).astype(np.int64) << 24) | np.arange(n_c)
-            rank[similarity < floor[lo:hi, None]] = none
-            best = np.sort(np.partition(rank, width - 1, axis=1)[:, :width], axis=1)
-            row, col = np.nonzero(best != none)
-            cand = best[row, col] & ((1 << 24) - 1)
-            dist = 1.0 - similarity[row, cand]
+                shared += np.bitwise_count(q_bits[word, lo:hi, None] & c_bits[word])
+            # Single precision with some slack selects a superset of each query's best k; doubles then decide.
+            rough = shared.astype(np.float32)
+            rough /= q_size[lo:hi, None] + c_size - rough
+            least = np.maximum(np.partition(rough, width, axis=1)[:, width], floor[lo:hi]) - ROUGH_SLACK
+            row, cand = np.nonzero(rough >= least[:, None].astype(np.float32))
+            both = shared[row, cand].astype(np.float64)
+            similarity = both / (q_pc[lo:hi][row] + c_pc[cand] - both)
+            wanted = similarity >= floor[lo:hi][row]
+            row, cand, dist = row[wanted], cand[wanted], 1.0 - similarity[wanted]
+            # Candidates are in the order of their smallest key, so this is (distance, key) order.
+            row, dist, cand = _first(row, dist, cand)
             times = counts[cand]
-            take = np.repeat(starts[cand] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            row, dist, key = np.repeat(row, times), np.repeat(dist, times), flat[take]
-            sort = np.lexsort((key, dist, row))
-            row, dist, key = row[sort], dist[sort], key[sort]
-            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            keep = place < k
-            out.append((row[keep] + lo, dist[keep], key[keep]))
+            take = np.repeat(starts[cand] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            row, dist, key = _first(np.repeat(row, times), np.repeat(dist, times), flat[take])
+            out.append((row + lo, dist, key))
         return tuple(np.concatenate(part) for part in zip(*out))
 
     return run
@@ -269,7 +286,7 @@ def nearest(queries: DataFrame, candidates: DataFrame | None, k: int, by: Sequen
     exclude_self = candidates is None
     keep = k + 1 if exclude_self else k
     q_rows = _encoded(queries, by)
-    c_rows = q_rows if exclude_self else _encoded(candidates, by)
+    c_rows = q_rows if exclude_self or candidates is queries else _encoded(candidates, by)
     c = cut_lineage(_distinct(c_rows, inner, keep))
     q = c if exclude_self else cut_lineage(_distinct(q_rows, inner, 1))
     if two_steps is None:
@@ -319,11 +336,13 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
     exclude_self = candidates is None
     keep = k + 1 if exclude_self else k
     q_rows = _encoded(queries, by)
-    c_rows = q_rows if exclude_self else _encoded(candidates, by)
+    c_rows = q_rows if exclude_self or candidates is queries else _encoded(candidates, by)
     band_keys = _band_keys(n_bits, bands, rows, seed)
 
+    tasks = task_slots(queries.sparkSession)
+
     def banded(distinct: DataFrame) -> DataFrame:
-        return distinct.select("*", F.posexplode(band_keys("fp")).alias("_lsh", "_bucket"))
+        return distinct.repartition(tasks, "fp").select("*", F.posexplode(band_keys("fp")).alias("_lsh", "_bucket"))
 
     distinct_c = cut_lineage(_distinct(c_rows, inner, keep))
     c = cut_lineage(banded(distinct_c))
@@ -333,7 +352,8 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
                         .select(*bucket))
 
     def small(side: DataFrame) -> DataFrame:
-        return side.join(large, bucket, "left_anti").withColumn("_w", fpx.bytes_to_words(F.col("fp"), n_words))
+        # A fixed partition count keeps AQE from packing these few bytes, and the pairs they make, into one task.
+        return side.join(large, bucket, "left_anti").repartition(tasks, *bucket).withColumn("_w", fpx.bytes_to_words(F.col("fp"), n_words))
 
     def hot(side: DataFrame) -> DataFrame:
         return side.join(large, bucket, "left_semi")

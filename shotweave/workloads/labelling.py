@@ -142,7 +142,9 @@ def reject_histogram(spark, d):
 
 def _text_labels(spark, d):
     """Raw values of three kinds per line item."""
-    lines = table(spark, d, "lineitem").select(
+    lines = spread(table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+    )).select(
         "l_orderkey", "l_linenumber", "l_partkey",
         F.explode(F.array(
             F.struct(F.lit("int").alias("kind"), F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("value")),

@@ -35,8 +35,10 @@ def words_sql(bits: str, n_words: int) -> str:
     return f"SELECT key, {columns}, count(*) AS popcount FROM {bits} GROUP BY key"
 
 
-def document_words(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+def document_words(spark: SparkSession, d: str, *keep: str, encodable: bool = False) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text", *keep))
+    if encodable:
+        docs = similarity.encodable(docs, "text")
     return similarity.fingerprint_table(docs, "doc_id", "text", *keep)
 
 
@@ -69,8 +71,10 @@ BOTH_SQL = "WITH" + bits_sql("documents", "doc_id", "text", "small") + "," + bit
 mixed AS (SELECT key, bit FROM small UNION ALL SELECT key, bit + 192 FROM large)"""
 
 
-def _composite(spark: SparkSession, d: str) -> DataFrame:
+def _composite(spark: SparkSession, d: str, encodable: bool = False) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    if encodable:
+        docs = similarity.encodable(docs, "text")
     small = fpx.text_words(F.col("text"))
     large = fpx.text_words(F.col("text"), fpx.CIRCULAR_BITS, fpx.CIRCULAR_WORDS, CIRCULAR_DIGIT)
     return docs.select("doc_id", fpx.concat_words(small, large).alias("words"))
@@ -111,14 +115,14 @@ pairs AS (SELECT a.key AS doc_id FROM (SELECT DISTINCT key FROM small) a JOIN (S
 
 @query("WITH" + bits_sql("documents", "doc_id", "text", "small") + PAIRS_SQL + ", " + _distance_sql("r", "small") + " SELECT * FROM r")
 def tanimoto_pairs(spark, d):
-    words = document_words(spark, d).filter(F.col("words").isNotNull()).select(F.col("key").alias("doc_id"), "words")
+    words = document_words(spark, d, encodable=True).select(F.col("key").alias("doc_id"), "words")
     pairs = similarity.pair_distances(_next_pairs(cut_lineage(words)), fpx.tanimoto_keys, "words", "next_words")
     return pairs.select("doc_id", "distance")
 
 
 @query(BOTH_SQL + PAIRS_SQL + ", " + _distance_sql("r", "mixed") + " SELECT * FROM r")
 def tanimoto_mixed(spark, d):
-    words = cut_lineage(_composite(spark, d).filter(F.col("words").isNotNull()))
+    words = cut_lineage(_composite(spark, d, encodable=True))
     return similarity.pair_distances(_next_pairs(words), fpx.tanimoto_mixed, "words", "next_words").select("doc_id", "distance")
 
 
@@ -126,7 +130,7 @@ def tanimoto_mixed(spark, d):
 SELECT doc_id, CASE WHEN r1.distance > 0.2::DOUBLE THEN r1.distance ELSE 0.2::DOUBLE * r2.distance END AS distance
 FROM r1 JOIN r2 USING (doc_id)""")
 def tanimoto_conditional(spark, d):
-    words = cut_lineage(_composite(spark, d).filter(F.col("words").isNotNull()))
+    words = cut_lineage(_composite(spark, d, encodable=True))
     pairs = similarity.pair_distances(_next_pairs(words), fpx.tanimoto_conditional, "words", "next_words")
     return pairs.select("doc_id", "distance")
 
@@ -191,7 +195,7 @@ def self_recall(spark, d):
 
 def _sharded(spark: SparkSession, d: str) -> DataFrame:
     held_out = hash_uniform("shard", "key") < 0.1
-    return document_words(spark, d, "source").withColumn(
+    return document_words(spark, d, "source", encodable=True).withColumn(
         "shard", F.when(held_out, F.concat(F.lit("test_"), F.col("source"))).otherwise(F.col("source")))
 
 
@@ -199,8 +203,7 @@ def _sharded(spark: SparkSession, d: str) -> DataFrame:
 SELECT source AS shard, d.doc_id AS key, w.* EXCLUDE (key) FROM documents d JOIN w ON w.key = d.doc_id
 WHERE ('0x' || substr(md5('shard:' || d.doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= 0.1""")
 def fp_table(spark, d):
-    kept = similarity.searchable(_sharded(spark, d), "shard").filter(F.col("words").isNotNull())
-    return _word_columns(kept, "shard", "key")
+    return _word_columns(similarity.searchable(_sharded(spark, d), "shard"), "shard", "key")
 
 
 @query("WITH" + bits_sql("documents", "doc_id", "text") + ", w AS (" + words_sql("bits", 6) + """)
