@@ -72,8 +72,7 @@ def regression(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") ->
     """Scores of numeric answers; rows without a parsed number count only in ``parse_ratio``.
 
     ``residual_std`` is the published "RMSE": the sample deviation of the residuals, free of bias; ``rmse`` is
-    the usual one. R² is NULL for a constant truth. Two passes: sums of squares
-    are taken around the group means, which one row per group carries.
+    the usual one. R² and the correlation are NULL for a constant truth. One pass with map-side combine.
     """
     by = list(by)
     known = F.col(p).isNotNull()
@@ -83,7 +82,7 @@ def regression(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") ->
         F.avg(known.cast("double")).alias("parse_ratio"),
         F.stddev_samp(yv - pv).alias("residual_std"),
         F.sqrt(F.avg((yv - pv) * (yv - pv))).alias("rmse"),
-        F.corr(yv, pv).alias("correlation"),
+        F.try_divide(F.covar_pop(yv, pv), F.stddev_pop(yv) * F.stddev_pop(pv)).alias("correlation"),
         F.stddev_samp(yv).alias("baseline_std"),
         F.sum((yv - pv) * (yv - pv)).alias("_res"),
         (F.var_pop(yv) * F.count(yv)).alias("_tot"),
