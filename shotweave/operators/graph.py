@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.plans.ranking import dense_renumber
-from shotweave.plans.skew import skew_join
+from shotweave.plans.skew import lookup_join, skew_join
 from shotweave.session import cut_lineage
 
 
@@ -24,24 +24,24 @@ def dense_core(cells: DataFrame, entity: str = "mol_id", task: str = "task_id",
     """Repeat until nothing changes: drop thin entities, then thin or one-sided tasks.
 
     Both rules are monotone, so the result is the one largest core whatever the
-    order. A round removes the *failing* nodes by anti-join: after the
-    first rounds they are few, AQE broadcasts them, and the cells are
-    not shuffled again. The lineage is cut once per round, and only the
-    number of remaining cells reaches the driver.
+    order. A round aggregates degrees with map-side combine, writes the *failing*
+    nodes and removes them by anti-join; after the first rounds they are few
+    enough to broadcast, and the cells are not shuffled by node any more. A round without
+    failing tasks leaves every entity's degree as it was, so it is the last. Only
+    node counts reach the driver.
     """
     core = cut_lineage(cells.select(entity, task, "label").filter(F.col("label") != 0))
-    left = core.count()
     while True:
-        thin = degrees(core, entity).filter(F.col("degree") < threshold).select(entity)
-        kept = skew_join(core, thin, [entity], [task], "left_anti")
-        poor = degrees(kept, task).filter(
+        thin = cut_lineage(degrees(core, entity).filter(F.col("degree") < threshold).select(entity))
+        kept = lookup_join(core, thin, [entity], [task], "left_anti")
+        poor = cut_lineage(degrees(kept, task).filter(
             (F.col("degree") < threshold)
             | (F.col("positive") < threshold_pos_neg)
             | (F.col("negative") < threshold_pos_neg)
-        ).select(task)
-        core = cut_lineage(skew_join(kept, poor, [task], [entity], "left_anti", hot_from=core).select(entity, task, "label"))
-        before, left = left, core.count()
-        if left == before:
+        ).select(task))
+        core = cut_lineage(lookup_join(kept, poor, [task], [entity], "left_anti", hot_from=core)
+                           .select(entity, task, "label"))
+        if poor.isEmpty():
             return core
 
 
@@ -63,10 +63,11 @@ def renumber_tasks(tasks: DataFrame) -> DataFrame:
 
 def renumber_edges(edges: DataFrame, numbers: DataFrame) -> DataFrame:
     """Edges whose two ends survive, with both ends renumbered."""
+    numbers = cut_lineage(numbers)
     first = numbers.select(F.col("old_id").alias("task1"), F.col("new_id").alias("_n1"))
     second = numbers.select(F.col("old_id").alias("task2"), F.col("new_id").alias("_n2"))
-    one = skew_join(edges, first, ["task1"], ["task2", "score"])
-    both = skew_join(one, second, ["task2"], ["task1", "score"], hot_from=edges)
+    one = lookup_join(edges, first, ["task1"], ["task2", "score"])
+    both = lookup_join(one, second, ["task2"], ["task1", "score"], hot_from=edges)
     return both.select(F.col("_n1").alias("task1"), F.col("_n2").alias("task2"), "score")
 
 

@@ -12,6 +12,7 @@ from shotweave.functions import labels as lab
 from shotweave.functions import text as txt
 from shotweave.operators.melt import column_kinds, melt_properties
 from shotweave.plans.ranking import hash_pick, hash_uniform
+from shotweave.plans.skew import lookup_join
 
 NEGATIVE = "_negative"
 NEGATION_SHARE = 0.5
@@ -41,7 +42,7 @@ def assay_rows(signed: DataFrame, chosen: DataFrame, valid: DataFrame, entities:
     cells = signed.filter(F.col("label") != 0).join(chosen.select("mol_id"), "mol_id", "left_semi")
     cells = cells.join(valid.select("mol_id"), "mol_id", "left_semi").join(entities, "mol_id")
     drawn = prompts.select("task", _pick(F.col("variants"), seed, "task").alias("text"))
-    return cells.join(drawn, "task").select(
+    return lookup_join(cells, drawn, ["task"], ["mol_id"]).select(
         "smiles", "text", lab.sign_text(F.col("label")).alias("label"),
         F.col("ext_id").alias("chemid"), F.col("task").alias("assayid"),
     )
@@ -63,12 +64,12 @@ def property_rows(table: DataFrame, key: str, smiles: str, properties: Sequence[
     flip = F.coalesce(F.col("_has_negative"), F.lit(False)) & (
         hash_uniform(f"{seed}-negate", key, "key") < F.lit(float(negation))
     )
-    marked = long.join(negative, "key", "left").withColumn("_flip", flip).withColumn(
+    marked = lookup_join(long, negative, ["key"], [key], "left").withColumn("_flip", flip).withColumn(
         "task", F.when(F.col("_flip"), F.concat("key", F.lit(NEGATIVE))).otherwise(F.col("key"))
     )
     plain = lab.label_text(F.col("value"), F.col("kind"))
     label = F.when(F.col("_flip"), lab.negate_text(plain)).otherwise(plain)
-    return marked.join(prompts, "task").select(
+    return lookup_join(marked, prompts, ["task"], [key], hot_from=marked).select(
         F.col(smiles).alias("smiles"),
         _pick(F.col("variants"), seed, key, "task").alias("text"),
         label.alias("label"),
@@ -95,11 +96,8 @@ def property_rows_by_split(table: DataFrame, key: str, smiles: str, split: str,
 
 
 def with_prompt(rows: DataFrame, prompts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Attach prompts by data set and task (and augmentation); rows without one are dropped.
-
-    AQE broadcasts the prompt side by its measured size.
-    """
-    return rows.join(prompts, list(on))
+    """Attach prompts by data set and task (and augmentation); rows without one are dropped."""
+    return lookup_join(rows, prompts, on, ["row_id"])
 
 
 def zero_shot_rows(test: DataFrame, prompts: DataFrame, kind: str = "cla") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions import fingerprints as fpx
-from shotweave.plans.skew import skew_join
+from shotweave.plans.skew import lookup_join, skew_join
 from shotweave.session import cut_lineage, task_slots
 
 BLOCK_ROWS = 2048
@@ -191,19 +191,19 @@ def _search_blocks(queries: DataFrame, candidates: DataFrame, by: Sequence[str],
 
     ``queries(by, fp, pc, floor)`` and ``candidates(by, fp, pc, members)`` are distinct.
     The layout table has one row per search group with at most a few dozen
-    bands, so AQE broadcasts it by size; it also splits hot groups should it not.
+    bands; it is broadcast if its measured size allows, so a group of any size is not gathered by its key.
     """
     by = list(by)
     banded = candidates.withColumn("_band", _band(F.col("pc")))
     blocks = banded.groupBy(*by, "_band").agg(
         F.count(F.lit(1)).alias("n"), F.min("pc").alias("lo"), F.max("pc").alias("hi")
     )
-    layout = blocks.groupBy(*by).agg(
+    layout = cut_lineage(blocks.groupBy(*by).agg(
         F.collect_list(F.struct(F.col("_band").alias("band"), "lo", "hi", _parts(F.col("n"), block_rows).alias("parts")))
         .alias("_blocks")
-    ).join(queries.groupBy(*by).agg(_parts(F.count(F.lit(1)), block_rows).alias("_q_parts")), by)
+    ).join(queries.groupBy(*by).agg(_parts(F.count(F.lit(1)), block_rows).alias("_q_parts")), by))
     q = (
-        queries.join(layout, by)
+        lookup_join(queries, layout, by, ["fp"])
         .withColumn("_q", F.pmod(F.xxhash64("fp"), F.col("_q_parts")).cast("int"))
         .withColumn("_block", F.explode(F.filter("_blocks", visit)))
         .withColumn("_band", F.col("_block.band"))
@@ -212,7 +212,7 @@ def _search_blocks(queries: DataFrame, candidates: DataFrame, by: Sequence[str],
     )
     own = F.filter("_blocks", lambda b: b["band"] == F.col("_band"))[0]["parts"]
     c = (
-        banded.join(layout, by)
+        lookup_join(banded, layout, by, ["fp"])
         .withColumn("_c", F.pmod(F.xxhash64("fp"), own).cast("int"))
         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_q_parts") - 1)))
         .select(*by, "_band", "_q", "_c", "fp", "pc", "members")

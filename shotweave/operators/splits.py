@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.plans.ranking import hash_order, hash_rank, running_totals
-from shotweave.plans.skew import skew_join
+from shotweave.plans.skew import lookup_join
 from shotweave.session import cut_lineage, task_slots
 
 TRAIN, VALID, TEST = "train", "valid", "test"
@@ -109,7 +109,7 @@ def greedy_group_split(df: DataFrame, group: Sequence[str], key: str,
     place = F.col("groups") - F.col("_up") + 1
     part = (F.when(place <= F.col("to_train"), TRAIN)
             .when(place <= F.col("to_train") + F.col("to_valid"), VALID).otherwise(TEST))
-    assigned = skew_join(ranked, quotas, ["size"], ["first"]).withColumn("split", part).select("_group", "split")
+    assigned = lookup_join(ranked, cut_lineage(quotas), ["size"], ["first"]).withColumn("split", part).select("_group", "split")
     return _assign(df, assigned, group, key)
 
 
@@ -119,7 +119,7 @@ def _keyed(df: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _assign(df: DataFrame, assigned: DataFrame, group: Sequence[str], key: str) -> DataFrame:
-    return skew_join(_keyed(df, group), assigned, ["_group"], [key]).select(*df.columns, "split")
+    return lookup_join(_keyed(df, group), cut_lineage(assigned), ["_group"], [key]).select(*df.columns, "split")
 
 
 def _fill(groups: DataFrame, room: int) -> DataFrame:

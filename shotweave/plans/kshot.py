@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shotweave.functions import fingerprints as fpx
 from shotweave.functions.labels import class_text
 from shotweave.operators import prompts, similarity
+from shotweave.plans.skew import lookup_join
 from shotweave.session import cut_lineage
 
 NEAR, FAR, BALANCED = "near", "far", "balanced"
@@ -57,10 +58,8 @@ def _assemble(entities: DataFrame, queries: DataFrame, pool: DataFrame, instruct
                                       ["n_label"], by=["task"])
     payload = similarity.with_payload(payload, entities.select("key", F.col("smiles").alias("n_smiles")), ["n_smiles"])
     label = class_text(F.col("label")) if how.get("yes_no") else F.col("label")
-    asked = (
-        queries.select("key", "task", label.alias("label")).join(entities.select("key", "smiles"), "key")
-        .join(instructions, "task").withColumnRenamed("key", "query_id")
-    )
+    texts = queries.select("key", "task", label.alias("label")).join(entities.select("key", "smiles"), "key")
+    asked = lookup_join(texts, instructions, ["task"], ["key"], hot_from=queries).withColumnRenamed("key", "query_id")
     if how.get("style") == BALANCED:
         return prompts.balanced_rows(asked, payload, keys, subject, shots)
     return prompts.kshot_rows(asked, payload, keys, shots, subject, yes_no=how.get("yes_no", False),

@@ -37,25 +37,22 @@ def hash_rank(df: DataFrame, ids: Sequence[str], seed: int | str, by: Sequence[s
     hex digits cut every group, however large, into even and ordered buckets.
     Row numbers are taken inside (group, bucket) and shifted by the number of rows
     in the group's earlier buckets: one shuffle of the rows, plus a
-    partially aggregated count pass.
+    partially aggregated count pass. The bucket is one struct column, so the
+    window and the join share that shuffle, and a null group is a group.
     """
     by, ids = list(by), list(ids)
     digits = max(1, math.ceil(math.log(4 * task_slots(df.sparkSession), 16)))
-    hashed = df.withColumn("_h", hash_order(seed, *ids)).withColumn("_b", F.substring("_h", 1, digits))
-    group = by or [F.lit(0)]
-    counts = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = df.withColumn("_h", hash_order(seed, *ids)).withColumn(
+        "_k", F.struct(F.struct(F.lit(0).alias("_all"), *by).alias("g"), F.substring("_h", 1, digits).alias("b"))
+    )
+    counts = hashed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("_k.g")
+    earlier = group.orderBy("_k.b").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(
-        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)],
-        F.col("_b").alias("_gb"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*group)).alias(total),
+        "_k", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias(total)
     )
-    local = Window.partitionBy(*by, "_b").orderBy("_h", *ids)
-    match = F.col("_b") == F.col("_gb")
-    for i, c in enumerate(by):
-        match = match & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    ranked = hashed.withColumn("_local", F.row_number().over(local)).join(shifts, match)
+    local = Window.partitionBy("_k").orderBy("_h", *ids)
+    ranked = hashed.withColumn("_local", F.row_number().over(local)).join(shifts, "_k")
     return ranked.withColumn(rank, F.col("_before") + F.col("_local")).select(*df.columns, rank, total)
 
 
@@ -63,7 +60,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     """Running sums in sorted order inside each group, spread over all tasks.
 
     ``sums`` maps a value column to the output column for its inclusive
-    running sum. ``(by, order)`` must be unique and ``by`` not null. Rows are
+    running sum. ``(by, order)`` must be unique. Rows are
     range-partitioned on ``(by, order)``, so a hot group covers several
     partitions; windows run inside (group, partition) pieces, and each piece is
     shifted by the totals of the group's earlier pieces. The range-partitioned
@@ -73,19 +70,15 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     pieces = cut_lineage(
         df.repartitionByRange(task_slots(df.sparkSession), *by, *order).withColumn("_piece", F.spark_partition_id())
     )
-    group = by or [F.lit(0)]
-    totals = pieces.groupBy(*by, "_piece").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(
-        *by, "_piece",
-        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums],
-    )
-    local = (Window.partitionBy(*by, "_piece").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pieces = pieces.withColumn("_k", F.struct(F.struct(F.lit(0).alias("_all"), *by).alias("g"), "_piece"))
+    totals = pieces.groupBy("_k").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    earlier = Window.partitionBy("_k.g").orderBy("_k._piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select("_k", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums])
+    local = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = pieces
     for c in sums:
         within = within.withColumn(f"_l_{c}", F.sum(c).over(local))
-    joined = within.join(shifts, by + ["_piece"])
+    joined = within.join(shifts, "_k")
     return joined.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_s_{c}")).alias(o) for c, o in sums.items()])
 
 

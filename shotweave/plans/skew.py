@@ -1,4 +1,4 @@
-"""Joins whose left side may hold a third of its rows under one key."""
+"""Joins whose left side may hold a third of its rows under one key, and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 HOT_KEY_LIMIT = 1024
 HOT_KEY_MIN_ROWS = 1_000_000
 SALTS = 64
+LOOKUP_ROWS = 200_000
+LOOKUP_BYTES = 64 << 20
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_MIN_ROWS,
@@ -51,3 +53,23 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_on: S
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> bool:
+    """Measure a table (already written, or cheap) before it is broadcast; only two numbers reach the driver."""
+    size = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("bytes")
+    ).head()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+
+
+def lookup_join(left: DataFrame, table: DataFrame, on: Sequence[str], spread_on: Sequence[str], how: str = "inner",
+                hot_from: DataFrame | None = None) -> DataFrame:
+    """Join with a side that is usually small: broadcast if its measured size allows, else :func:`skew_join`.
+
+    With few keys on the left (tasks, groups, properties) this matters twice: the
+    left rows are not shuffled, and none of the few keys becomes one task.
+    """
+    if fits_broadcast(table):
+        return left.join(F.broadcast(table), list(on), how)
+    return skew_join(left, table, on, spread_on, how, hot_from=hot_from)

@@ -196,7 +196,7 @@ def better_result(spark, d):
     names = F.create_map(*[F.lit(x) for x in ("F", "hiv", "O", "esol", "P", "tox21")])
     orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     kinds = catalog.datasets(spark).select("name", "kind")
-    return orders.withColumn("name", names[F.col("o_orderstatus")]).join(kinds, "name").select(
+    return orders.withColumn("name", names[F.col("o_orderstatus")]).join(F.broadcast(kinds), "name").select(
         "o_orderkey", "kind", lab.better(F.col("o_totalprice"), F.col("c_acctbal") * 30, F.col("kind")).alias("better"))
 
 

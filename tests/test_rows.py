@@ -131,11 +131,11 @@ def test_dense_core(spark):
         before = len(core)
         mols = {m for m, _ in core if sum(k[0] == m for k in core) >= 5}
         core = {k: v for k, v in core.items() if k[0] in mols}
-        tasks = {t for _, t in core if all(sum(k[1] == t and v * s > 0 for k, v in core.items()) >= 7 for s in (1, -1))}
+        tasks = {t for _, t in core if all(sum(k[1] == t and v * s > 0 for k, v in core.items()) >= 4 for s in (1, -1))}
         core = {k: v for k, v in core.items() if k[1] in tasks}
         if len(core) == before:
             break
-    got = graph.dense_core(df, threshold=5, threshold_pos_neg=7)
+    got = graph.dense_core(df, threshold=5, threshold_pos_neg=4)
     assert {(r[0], r[1]): r[2] for r in got.collect()} == core and core
-    assert graph.dense_core(got, threshold=5, threshold_pos_neg=7).count() == len(core)
+    assert graph.dense_core(got, threshold=5, threshold_pos_neg=4).count() == len(core)
     assert graph.dense_core(df, threshold=100).count() == 0
