@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions import fingerprints as fpx
-from shotweave.plans.skew import lookup_join, skew_join
+from shotweave.plans.skew import fits_broadcast, skew_join
 from shotweave.session import cut_lineage, task_slots
 
 BLOCK_ROWS = 2048
 BAND_RATIO = 1.15
+TWO_STEP_BLOCKS = 16
 SMALL_BUCKET = 256
 GROUP = "_all"
 SLACK = 1e-12
@@ -185,25 +186,34 @@ def _topk_kernel(k: int, by: Sequence[str]):
     return run
 
 
-def _search_blocks(queries: DataFrame, candidates: DataFrame, by: Sequence[str], k: int, block_rows: int,
+def _layout(queries: DataFrame, candidates: DataFrame, by: Sequence[str], block_rows: int) -> DataFrame:
+    """``(by, _blocks, _q_parts)``: how each search group is cut into blocks.
+
+    One row per search group, with at most a few dozen bands.
+    """
+    bands = candidates.withColumn("_band", _band(F.col("pc"))).groupBy(*by, "_band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pc").alias("lo"), F.max("pc").alias("hi")
+    )
+    block = F.struct(F.col("_band").alias("band"), "lo", "hi", "n", _parts(F.col("n"), block_rows).alias("parts"))
+    asked = queries.groupBy(*by).agg(_parts(F.count(F.lit(1)), block_rows).alias("_q_parts"))
+    return cut_lineage(bands.groupBy(*by).agg(F.collect_list(block).alias("_blocks")).join(asked, list(by)))
+
+
+def _search_blocks(queries: DataFrame, candidates: DataFrame, layout: DataFrame, by: Sequence[str], k: int,
                    visit: Callable[[Column], Column]) -> DataFrame:
     """Top-k rows of every (query, visited block): ``(by, fp, distance, key)``.
 
     ``queries(by, fp, pc, floor)`` and ``candidates(by, fp, pc, members)`` are distinct.
-    The layout table has one row per search group with at most a few dozen
-    bands; it is broadcast if its measured size allows, so a group of any size is not gathered by its key.
+    ``layout`` is broadcast if its measured size allows, so a group of any size is not gathered by its key.
     """
     by = list(by)
     banded = candidates.withColumn("_band", _band(F.col("pc")))
-    blocks = banded.groupBy(*by, "_band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pc").alias("lo"), F.max("pc").alias("hi")
-    )
-    layout = cut_lineage(blocks.groupBy(*by).agg(
-        F.collect_list(F.struct(F.col("_band").alias("band"), "lo", "hi", _parts(F.col("n"), block_rows).alias("parts")))
-        .alias("_blocks")
-    ).join(queries.groupBy(*by).agg(_parts(F.count(F.lit(1)), block_rows).alias("_q_parts")), by))
+    if fits_broadcast(layout):
+        laid_q, laid_c = (side.join(F.broadcast(layout), by) for side in (queries, banded))
+    else:
+        laid_q, laid_c = (skew_join(side, layout, by, ["fp"]) for side in (queries, banded))
     q = (
-        lookup_join(queries, layout, by, ["fp"])
+        laid_q
         .withColumn("_q", F.pmod(F.xxhash64("fp"), F.col("_q_parts")).cast("int"))
         .withColumn("_block", F.explode(F.filter("_blocks", visit)))
         .withColumn("_band", F.col("_block.band"))
@@ -212,7 +222,7 @@ def _search_blocks(queries: DataFrame, candidates: DataFrame, by: Sequence[str],
     )
     own = F.filter("_blocks", lambda b: b["band"] == F.col("_band"))[0]["parts"]
     c = (
-        lookup_join(banded, layout, by, ["fp"])
+        laid_c
         .withColumn("_c", F.pmod(F.xxhash64("fp"), own).cast("int"))
         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_q_parts") - 1)))
         .select(*by, "_band", "_q", "_c", "fp", "pc", "members")
@@ -236,23 +246,27 @@ def _best_rows(hits: DataFrame, by: Sequence[str], k: int) -> DataFrame:
 
 
 def _exact(queries: DataFrame, candidates: DataFrame, by: Sequence[str], k: int, floor: float, block_rows: int,
-           two_steps: bool) -> DataFrame:
+           two_steps: bool | None) -> DataFrame:
     """Best k rows per distinct query, as :func:`_best_rows`."""
     start = queries.select(*by, "fp", "pc", F.lit(float(floor)).alias("floor"))
+    layout = _layout(start, candidates, by, block_rows)
 
     def within_reach(block: Column) -> Column:
         return _best_possible(F.col("pc"), block) >= F.col("floor") - SLACK
 
+    if two_steps is None:
+        largest = layout.agg(F.max(F.aggregate("_blocks", F.lit(0).cast("bigint"), lambda n, b: n + b["n"]))).head()[0]
+        two_steps = floor == 0.0 and (largest or 0) > TWO_STEP_BLOCKS * block_rows
     if not two_steps:
-        return _best_rows(_search_blocks(start, candidates, by, k, block_rows, within_reach), by, k)
+        return _best_rows(_search_blocks(start, candidates, layout, by, k, within_reach), by, k)
     own = lambda block: block["band"] == _band(F.col("pc"))
-    seeds = cut_lineage(_best_rows(_search_blocks(start, candidates, by, k, block_rows, own), by, k))
+    seeds = cut_lineage(_best_rows(_search_blocks(start, candidates, layout, by, k, own), by, k))
     worst = F.lit(1.0) - F.element_at("hits", -1)["distance"]
     reached = F.greatest(F.lit(float(floor)), F.when(F.size("hits") >= k, worst - SLACK).otherwise(F.lit(float(floor))))
     raised = start.drop("floor").join(seeds, [*by, "fp"], "left").select(
         *by, "fp", "pc", F.coalesce(reached, F.lit(float(floor))).alias("floor")
     )
-    rest = _search_blocks(raised, candidates, by, k, block_rows, lambda b: within_reach(b) & ~own(b))
+    rest = _search_blocks(raised, candidates, layout, by, k, lambda b: within_reach(b) & ~own(b))
     found = seeds.select(*by, "fp", F.inline("hits")).unionByName(rest)
     return _best_rows(found, by, k)
 
@@ -289,8 +303,6 @@ def nearest(queries: DataFrame, candidates: DataFrame | None, k: int, by: Sequen
     c_rows = q_rows if exclude_self or candidates is queries else _encoded(candidates, by)
     c = cut_lineage(_distinct(c_rows, inner, keep))
     q = c if exclude_self else cut_lineage(_distinct(q_rows, inner, 1))
-    if two_steps is None:
-        two_steps = min_similarity == 0.0 and c.count() > 16 * block_rows
     best = _exact(q, c, inner, keep, min_similarity, block_rows, two_steps)
     return _per_row(q_rows, best, inner, k, exclude_self, by)
 
@@ -358,18 +370,24 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
     def hot(side: DataFrame) -> DataFrame:
         return side.join(large, bucket, "left_semi")
 
-    left = small(q).select(*bucket, "fp", F.col("_w").alias("_qw"))
-    right = small(c).select(*bucket, F.col("_w").alias("_cw"), "members")
-    pairs = skew_join(left, right, bucket, ["fp"], hot_from=q)
-    near = pairs.select(
-        *inner, "fp", fpx.tanimoto(n_words)(F.col("_qw"), F.col("_cw")).alias("distance"), "members"
+    left = small(q).select(*bucket, "fp", F.col("pc").alias("_qn"), F.col("_w").alias("_qw"))
+    right = small(c).select(*bucket, F.col("pc").alias("_cn"), F.col("_w").alias("_cw"), "members")
+    pairs = skew_join(left, right, bucket, ["fp"], hot_from=q).withColumn(
+        "_both", fpx.shared_bits(F.col("_qw"), F.col("_cw"), n_words)
     )
-    from_small = near.select(*inner, "fp", "distance", F.explode("members").alias("key"))
-    from_large = _search_blocks(
-        hot(q).select(*bucket, "fp", "pc", F.lit(0.0).alias("floor")), hot(c), bucket, keep, block_rows,
-        lambda b: F.lit(True),
-    ).select(*inner, "fp", "distance", "key")
-    hits = from_small.unionByName(from_large).dropDuplicates([*inner, "fp", "key"])
+    distance = F.lit(1.0) - F.col("_both").cast("double") / (F.col("_qn") + F.col("_cn") - F.col("_both"))
+    near = pairs.select(*bucket, "fp", distance.alias("distance"), F.explode("members").alias("key"))
+    # A bucket's own best k are all it can add, and they are found where the join left its pairs.
+    order = Window.partitionBy(*bucket, "fp").orderBy("distance", "key")
+    best_of_bucket = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
+    from_small = best_of_bucket.select(*inner, "fp", "distance", "key")
+    hits = from_small
+    if not large.isEmpty():
+        hot_q, hot_c = hot(q).select(*bucket, "fp", "pc", F.lit(0.0).alias("floor")), hot(c)
+        layout = _layout(hot_q, hot_c, bucket, block_rows)
+        from_large = _search_blocks(hot_q, hot_c, layout, bucket, keep, lambda b: F.lit(True))
+        hits = from_small.unionByName(from_large.select(*inner, "fp", "distance", "key"))
+    hits = hits.dropDuplicates([*inner, "fp", "key"])
     return _per_row(q_rows, _best_rows(hits, inner, keep), inner, k, exclude_self, by)
 
 

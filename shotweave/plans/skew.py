@@ -16,7 +16,7 @@ LOOKUP_BYTES = 64 << 20
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_MIN_ROWS,
              limit: int = HOT_KEY_LIMIT) -> DataFrame:
-    """The heaviest keys of ``df``: at most ``limit`` rows, so safe to broadcast.
+    """The heaviest keys of ``df``: at most ``limit`` rows, so safe to collect and to broadcast.
 
     Only used to decide which keys are salted; keys beyond the limit join
     normally, so results never depend on it.
@@ -39,11 +39,15 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_on: S
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; for each of them a
     left row meets exactly the right rows of its own salt, so the result is
     that of the plain join. Keys are counted in ``hot_from`` where ``left`` itself is
-    costly to compute twice; any table with about the same key frequencies will do. If AQE finds ``right`` small enough to broadcast,
+    costly to compute twice (the count runs when the join is built); any table with about the same key frequencies will do. If AQE finds ``right`` small enough to broadcast,
     nothing is shuffled at all.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left if hot_from is None else hot_from, on, min_rows))
+    listed = hot_keys(left if hot_from is None else hot_from, on, min_rows)
+    rows = listed.collect()
+    if not rows:
+        return left.join(right, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, listed.schema))
     salted_left = (
         left.join(hot, on, "left")
         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
