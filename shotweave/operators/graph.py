@@ -75,13 +75,14 @@ def task_pair_scores(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
     """Score of a task pair: the best score between any two of their members; zero scores dropped.
 
     ``members(task, member)``, ``pair_scores(member1, member2, score)``. Pair scores are
-    reduced before each join, so a member of many pairs is not carried twice.
+    reduced before each join, so a member of many pairs is not carried twice, and
+    written once, since hot members are counted in them.
     """
-    best = (pair_scores.filter(F.col("score") > 0)
-            .groupBy("member1", "member2").agg(F.max("score").alias("score")))
+    best = cut_lineage(pair_scores.filter(F.col("score") > 0)
+                       .groupBy("member1", "member2").agg(F.max("score").alias("score")))
     first = members.select(F.col("member").alias("member1"), F.col("task").alias("task1"))
     second = members.select(F.col("member").alias("member2"), F.col("task").alias("task2"))
-    left = (skew_join(best, first, ["member1"], ["member2"], hot_from=pair_scores)
+    left = (skew_join(best, first, ["member1"], ["member2"])
             .groupBy("task1", "member2").agg(F.max("score").alias("score")))
-    both = skew_join(left, second, ["member2"], ["task1"], hot_from=pair_scores)
+    both = skew_join(left, second, ["member2"], ["task1"], hot_from=best)
     return both.groupBy("task1", "task2").agg(F.max("score").alias("score"))

@@ -148,6 +148,18 @@ def _topk_kernel(k: int, by: Sequence[str]):
         keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
         return row[keep], dist[keep], item[keep]
 
+    def _needed(row: np.ndarray, dist: np.ndarray, item: np.ndarray, times: np.ndarray):
+        """Sorted fingerprints without those that k copies of strictly nearer ones push out."""
+        if not len(row):
+            return row, dist, item
+        place, before = np.arange(len(row)), np.cumsum(times) - times
+        new_row = np.r_[True, row[1:] != row[:-1]]
+        new_tie = new_row | np.r_[True, dist[1:] != dist[:-1]]
+        row_start = np.maximum.accumulate(np.where(new_row, place, 0))
+        tie_start = np.maximum.accumulate(np.where(new_tie, place, 0))
+        keep = before[tie_start] - before[row_start] < k
+        return row[keep], dist[keep], item[keep]
+
     def _search(queries: pa.Table, candidates: pa.Table, members: pa.ListArray):
         starts = members.offsets.to_numpy()
         flat = members.values.to_numpy()
@@ -177,6 +189,7 @@ def _topk_kernel(k: int, by: Sequence[str]):
             row, cand, dist = row[wanted], cand[wanted], 1.0 - similarity[wanted]
             # Candidates are in the order of their smallest key, so this is (distance, key) order.
             row, dist, cand = _first(row, dist, cand)
+            row, dist, cand = _needed(row, dist, cand, counts[cand])
             times = counts[cand]
             take = np.repeat(starts[cand] - np.cumsum(times) + times, times) + np.arange(times.sum())
             row, dist, key = _first(np.repeat(row, times), np.repeat(dist, times), flat[take])

@@ -9,7 +9,7 @@ from shotweave import catalog
 from shotweave.functions import cleaning, labels as lab
 from shotweave.operators import melt, rows, splits
 from shotweave.plans import kshot
-from shotweave.session import cut_lineage
+from shotweave.session import cut_lineage, spread
 from shotweave.workloads.labelling import signed_labels
 from shotweave.workloads.registry import query, table
 from shotweave.workloads.search import document_words, fp_sql
@@ -211,7 +211,7 @@ def response_mask(spark, d):
 def _kshot_inputs(spark: SparkSession, d: str):
     entities = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("smiles"))
     labelled = table(spark, d, "labels").select(F.col("doc_id").alias("key"))
-    prints = kshot.fingerprints_of(entities.join(labelled, "key"))
+    prints = kshot.fingerprints_of(spread(entities).join(labelled, "key"))
     instructions = spark.createDataFrame(list(ZERO_SHOT.items()), "task string, instruction string")
     return entities, prints, instructions
 

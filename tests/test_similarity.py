@@ -89,6 +89,14 @@ def test_copies_expand_in_key_order(spark):
     assert {g for g in got if g[0] == 2} == {(2, 1, 1, 0.5), (2, 2, 4, 0.5), (2, 3, 7, 0.5)}
 
 
+def test_many_copies_and_ties(spark):
+    rng = random.Random(8)
+    kinds = [[1, 2, 3], [1, 2, 4], [1, 2, 5], [7, 8], [1, 2, 3, 9]]
+    rows = [(k, "t", rng.choice(kinds)) for k in rng.sample(range(500), 120)]
+    got = similarity.nearest(frame(spark, rows), None, 30, block_rows=2)
+    assert found(got) == brute(rows, rows, 30, False, True)
+
+
 def test_lsh_hot_buckets_equal_joined_buckets(spark, rows, monkeypatch):
     table = frame(spark, rows)
     joined = found(similarity.nearest_lsh(table, None, 4, by=["task"], bands=12, rows=3))
