@@ -38,9 +38,9 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_on: S
     ``spread_on`` are left columns that differ between the rows of a key.
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; for each of them a
     left row meets exactly the right rows of its own salt, so the result is
-    that of the plain join. Keys are counted in ``hot_from`` where ``left`` itself is
-    costly to compute twice (the count runs when the join is built); any table with about the same key frequencies will do. If AQE finds ``right`` small enough to broadcast,
-    nothing is shuffled at all.
+    that of the plain join. Keys are counted in ``hot_from`` where ``left`` itself
+    is costly to compute twice (the count runs when the join is built); any table
+    with about the same key frequencies will do. Without hot keys this is the plain join.
     """
     on = list(on)
     listed = hot_keys(left if hot_from is None else hot_from, on, min_rows)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave import catalog
-from shotweave.functions import cleaning, labels as lab
+from shotweave.functions import labels as lab
 from shotweave.operators import melt, rows, splits
 from shotweave.plans import kshot
 from shotweave.session import cut_lineage, spread
 from shotweave.workloads.labelling import signed_labels
 from shotweave.workloads.registry import query, table
-from shotweave.workloads.search import document_words, fp_sql
+from shotweave.workloads.search import fp_sql
 from shotweave.workloads.splitting import greedy_sql, rank_sql
 
 PROMPTS = {
