@@ -14,8 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Widths of the published fingerprint layouts.
-KEYS_BITS, KEYS_WORDS, KEYS_BYTES, PAD_BYTES = 166, 6, 21, 3
-CIRCULAR_BITS, CIRCULAR_WORDS, CIRCULAR_BYTES = 2048, 64, 256
+KEYS_BITS, KEYS_WORDS, KEYS_BYTES = 166, 6, 21
+CIRCULAR_BITS, CIRCULAR_WORDS = 2048, 64
+PART_BYTES = {"maccs": 21, "ecfp4": 256, "fcfp4": 256}
 CLOSE = 0.2
 
 UNROLLED_WORDS = 8
@@ -94,14 +95,36 @@ def concat_words(*parts: Column) -> Column:
     return F.concat(*parts)
 
 
-def concat_bytes(keys: Column, *rest: Column) -> Column:
-    """Composite in packed form: the 21-byte part is padded to whole words."""
-    return F.concat(keys, F.unhex(F.lit("00" * PAD_BYTES)), *rest)
+def padded_bytes(width: int) -> int:
+    """Width of a packed part once it fills whole 32-bit words."""
+    return -(-width // 4) * 4
 
 
-def shape_name(*parts: str) -> str:
-    """Name of a composite layout, from its parts."""
-    return "-".join(parts)
+def concat_bytes(**parts: Column) -> Column:
+    """Composite in packed form, from named parts; each is padded to whole words."""
+    columns = []
+    for name, packed in parts.items():
+        width = PART_BYTES[name]
+        columns += [packed, F.unhex(F.lit("00" * (padded_bytes(width) - width)))]
+    return F.concat(*columns)
+
+
+def composite_bytes(*parts: str) -> int:
+    return sum(padded_bytes(PART_BYTES[p]) for p in parts)
+
+
+def composite_bits(*parts: str) -> int:
+    return 8 * composite_bytes(*parts)
+
+
+def table_name(*parts: str) -> str:
+    """Name of the search table of a composite, from its parts in layout order."""
+    return "-".join(["index", *[p for p in PART_BYTES if p in parts]])
+
+
+def basic_features(features: Column, rich: bool = False) -> Column:
+    """The first two features of an array column, or all of them."""
+    return features if rich else F.slice(features, 1, 2)
 
 
 def _sum_bits(a: Column, b: Column, both: Callable[[Column, Column], Column], start: int, n_words: int) -> Column:

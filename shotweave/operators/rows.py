@@ -18,12 +18,14 @@ NEGATIVE = "_negative"
 NEGATION_SHARE = 0.5
 
 
-def prompt_lists(prompts: DataFrame, corpus: str) -> DataFrame:
-    """``(task, variants)`` of one corpus, variants in order.
+def prompt_lists(prompts: DataFrame, corpus: str, aug: str | None = None) -> DataFrame:
+    """``(task, variants)`` of one corpus (and rewriting style, of an augmented catalogue), variants in order.
 
     The catalogue is written by hand, a few texts per task; collecting a task's variants is bounded by it.
     """
     mine = prompts.filter(F.col("corpus") == corpus)
+    if aug is not None:
+        mine = mine.filter(F.col("aug") == aug)
     ordered = F.array_sort(F.collect_list(F.struct("variant_no", "text")))
     return mine.groupBy("task").agg(F.transform(ordered, lambda v: v["text"]).alias("variants"))
 
@@ -113,6 +115,13 @@ def zero_shot_rows(test: DataFrame, prompts: DataFrame, kind: str = "cla") -> Da
     )
 
 
+def first_prompts(prompts: DataFrame) -> DataFrame:
+    """``(dataset, task, instruction)``: the first variant per task of a prompt table."""
+    return prompts.filter(F.col("variant_no") == 0).select(
+        F.col("corpus").alias("dataset"), "task", F.col("text").alias("instruction")
+    )
+
+
 def augment_prompts(rows: DataFrame, augmented: DataFrame, styles: Sequence[str] = catalog.AUGMENTATIONS) -> DataFrame:
     """One copy of each row per rewriting style that has a prompt, its parts joined.
 

@@ -122,7 +122,17 @@ def test_conditional_distance(spark):
 def test_export_bytes(spark):
     assert one(spark, fpx.export_bytes(F.lit(None).cast("binary"))) == bytes(21)
     small = F.substring(fpx.words_to_bytes(fpx.bits_to_words(bits(0))), 1, 21)
-    assert len(one(spark, fpx.concat_bytes(small, fpx.words_to_bytes(fpx.bits_to_words(bits(5), 64))))) == 280
+    mixed = fpx.concat_bytes(maccs=small, ecfp4=fpx.words_to_bytes(fpx.bits_to_words(bits(5), 64)))
+    assert len(one(spark, mixed)) == fpx.composite_bytes("maccs", "ecfp4") == 280
+    assert one(spark, fpx.bytes_to_words(mixed, 70)) == one(spark, F.concat(
+        fpx.bits_to_words(bits(0)), fpx.bits_to_words(bits(5), 64)))
+    assert fpx.composite_bits("maccs") == 192
+    assert fpx.table_name("ecfp4", "maccs") == "index-maccs-ecfp4"
+
+
+def test_basic_features(spark):
+    assert one(spark, fpx.basic_features(bits(4, 5, 6))) == [4, 5]
+    assert one(spark, fpx.basic_features(bits(4, 5, 6), rich=True)) == [4, 5, 6]
 
 
 def test_close_tokens(spark):

@@ -70,6 +70,26 @@ def test_empty_list_and_null_are_missing(spark):
     assert melt.melt_properties(df, ["id"], ["a", "b"]).count() == 2
 
 
+def test_prompt_selection(spark):
+    table = spark.createDataFrame(
+        [("c", "t", "rewrite", 1, "b"), ("c", "t", "rewrite", 0, "a"), ("c", "t", "shorten", 0, "s"), ("d", "t", "rewrite", 0, "x")],
+        "corpus string, task string, aug string, variant_no int, text string")
+    assert [tuple(r) for r in rows.prompt_lists(table, "c", "rewrite").collect()] == [("t", ["a", "b"])]
+    first = rows.first_prompts(table.filter("aug = 'rewrite'"))
+    assert sorted(map(tuple, first.collect())) == [("c", "t", "a"), ("d", "t", "x")]
+
+
+def test_negation_needs_a_negative_prompt(spark):
+    table = spark.createDataFrame([(i, f"s{i}", i, "Y") for i in range(40)], "id bigint, smiles string, size int, flag string")
+    lists = spark.createDataFrame([("size", ["p"]), ("size_negative", ["n"]), ("flag", ["f"])], "task string, variants array<string>")
+    made = rows.property_rows(table, "id", "smiles", ["size", "flag"], lists, negation=0.5).collect()
+    assert len(made) == 80
+    assert {r["assayid"] for r in made} == {"size", "size_negative", "flag"}
+    for r in made:
+        if r["assayid"] == "size_negative":
+            assert int(r["label"]) == -int(r["chemid"]) and r["text"] == "n"
+
+
 def test_end_token_after_prompt(spark):
     df = spark.createDataFrame([("a b", "", "c")], "instruction string, input string, output string")
     plain = rows.tokenized_rows(df, end="E").head()
