@@ -19,9 +19,9 @@ def test_benchmark_csv(spark, tmp_path):
 
 def test_prompt_catalog(spark, tmp_path):
     path = tmp_path / "p.json"
-    path.write_text('// prompts\n{"chembl": {"A1": ["x", "y"], /* none */ "A2": []}, "qm9": {"gap": ["z"]}}')
+    path.write_text('// prompts\n{"assays": {"A1": ["x", "y"], /* none */ "A2": []}, "qm9": {"gap": ["z"]}}')
     got = sorted(map(tuple, readers.prompt_catalog(spark, str(path)).collect()))
-    assert got == [("chembl", "A1", 0, "x"), ("chembl", "A1", 1, "y"), ("qm9", "gap", 0, "z")]
+    assert got == [("assays", "A1", 0, "x"), ("assays", "A1", 1, "y"), ("qm9", "gap", 0, "z")]
     path.write_text('{"bace": {"0": {"rewrite": ["r1", "r2"], "name": ["n"]}}}')
     got = sorted(map(tuple, readers.prompt_catalog(spark, str(path), augmented=True).collect()))
     assert got == [("bace", "0", "name", 0, "n"), ("bace", "0", "rewrite", 0, "r1"), ("bace", "0", "rewrite", 1, "r2")]
