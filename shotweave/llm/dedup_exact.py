@@ -98,26 +98,32 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", max_words: int = MAX_FILTER_WORDS) -> DataFrame:
-    """Rows of ``docs`` whose id is not in the one-column table ``gone``; all columns stay.
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id",
+                 max_words: int = MAX_FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows that may have an id of the one-column table ``ids``, and rows that certainly have none.
 
-    A Bloom filter of the ids to drop (bounded as above) lets every row that misses it pass without a shuffle; only hits are
-    anti-joined by id.
+    The test is a Bloom filter of the ids, bounded as above, so neither part needs a shuffle; all columns stay.
     """
-    gone = cut_lineage(gone.select(F.col(gone.columns[0]).alias("g")).distinct())
     words = 1024
-    count = gone.count()
+    count = ids.count()
     while words < max_words and words * 4 < count:
         words *= 2
-    w, b, g = (fresh(x, docs.columns) for x in ("_word", "_bits", "_gone"))
-    word, bits = _bloom(F.xxhash64("g"), words)
-    bloom = gone.groupBy(word.alias(w)).agg(F.bit_or(bits).alias(b))
+    w, b = (fresh(x, docs.columns) for x in ("_word", "_bits"))
+    word, bits = _bloom(F.xxhash64(ids.columns[0]), words)
+    bloom = ids.groupBy(word.alias(w)).agg(F.bit_or(bits).alias(b))
     word, bits = _bloom(F.xxhash64(docs[id_col]), words)
     probed = docs.withColumn(w, word).join(F.broadcast(bloom), w, "left")
     hit = F.coalesce(F.col(b).bitwiseAND(bits) == bits, F.lit(False))
-    gone = gone.select(F.col("g").alias(g))
-    checked = probed.filter(hit).join(gone, F.col(id_col).eqNullSafe(F.col(g)), "left_anti")
-    return probed.filter(~hit).unionByName(checked).select(*docs.columns)
+    return probed.filter(hit).select(*docs.columns), probed.filter(~hit).select(*docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", max_words: int = MAX_FILTER_WORDS) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one-column table ``gone``; all columns stay. Only rows that hit the filter of
+    dropped ids shuffle, for an exact anti-join."""
+    g = fresh("_gone", docs.columns)
+    gone = cut_lineage(gone.select(F.col(gone.columns[0]).cast("long").alias(g)).distinct())
+    maybe, never = split_by_ids(docs.withColumn(id_col, F.col(id_col).cast("long")), gone, id_col, max_words)
+    return never.unionByName(maybe.join(gone, F.col(id_col).eqNullSafe(F.col(g)), "left_anti"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

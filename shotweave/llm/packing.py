@@ -94,17 +94,17 @@ def pack(items: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECE
         *items.columns, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     partial = numbered.filter(F.col("length") < capacity)
     groups = max(1, -(-partial.count() // group_pieces))
-    schema = partial.schema
+    kept = [*items.columns, "sequence_id", "offset"]
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
         number, offset = sum_of_squares(frame["length"].to_numpy(), capacity)
         frame["sequence_id"] = (frame["_group"].to_numpy() << 32) + number
         frame["offset"] = offset
-        return frame[[*items.columns, "sequence_id", "offset"]]
+        return frame[kept]
 
     dealt = partial.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "_row")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
     packed = dealt.groupBy("_group").applyInPandas(one, f"{out}, sequence_id long, offset long")
     return whole.unionByName(packed)
 

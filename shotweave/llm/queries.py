@@ -1,4 +1,4 @@
 """All queries of the subpackage."""
 
-from shotweave.llm import bpe, dedup_exact, packing  # noqa: F401
+from shotweave.llm import bpe, dedup_exact, packing, pii  # noqa: F401
 from shotweave.llm.registry import QUERIES, SQL  # noqa: F401
