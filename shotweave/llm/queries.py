@@ -1,4 +1,4 @@
 """All queries of the subpackage."""
 
-from shotweave.llm import bpe, dedup_exact, dedup_near, dedup_substring, lm, merkle, packing, pii, toxicity  # noqa: F401
+from shotweave.llm import bpe, dedup_exact, dedup_near, dedup_substring, lm, merkle, packing, pii, quality, toxicity  # noqa: F401
 from shotweave.llm.registry import QUERIES, SQL  # noqa: F401
