@@ -25,12 +25,14 @@ Distance = Callable[[Column, Column], Column]
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case alphanumeric tokens."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != ""))
+    """Distinct lower-case tokens of letters and digits of any script."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
 def feature_bits(features: Column, n_bits: int = KEYS_BITS, digit: int = 1) -> Column:
     """Distinct bit numbers of string features: four hex digits of md5, from ``digit``, modulo ``n_bits``."""
+    if n_bits > 1 << 16:
+        raise ValueError("four hex digits reach 65536 bits")
     return F.array_distinct(
         F.transform(features, lambda t: (F.conv(F.substring(F.md5(t), digit, 4), 16, 10).cast("int") % n_bits))
     )

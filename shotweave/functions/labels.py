@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # They must equal the published data format.
@@ -13,8 +13,31 @@ INT_KIND, FLOAT_KIND, TEXT_KIND = "int", "float", "str"
 
 
 def two_decimals(value: Column) -> Column:
-    """Number rounded half up to two places, written with at least one: ``1.5``, ``2.0``, ``0.13``."""
-    return F.regexp_replace(value.cast("decimal(38,2)").cast("string"), "0$", "")
+    """Number rounded half up to two places, written with at least one: ``1.5``, ``2.0``, ``0.13``.
+
+    NULL where it is no finite number below 10^36. The decimal is read from the number's text, so it is rounded once.
+    """
+    return F.regexp_replace(value.cast("string").try_cast("decimal(38,2)").cast("string"), "0$", "")
+
+
+def number_text(value: Column) -> Column:
+    """A double written out without loss and without exponent: ``12345678.0``, ``0.0001``, ``-0.845``.
+
+    Numbers that 38 digits cannot hold exactly keep the exponent form; NaN and the infinities keep their names.
+    """
+    short = value.cast("double").cast("string")
+    wide = F.when(F.abs(value) < 1, short.try_cast("decimal(38,37)").cast("string")).otherwise(
+        short.try_cast("decimal(38,8)").cast("string"))
+    plain = F.regexp_replace(wide, r"(\.\d+?)0+$", "$1")
+    exact = plain.try_cast("double") == value
+    return F.when(short.contains("E") & F.coalesce(exact, F.lit(False)), plain).otherwise(short)
+
+
+def plain_text(df: DataFrame, name: str) -> Column:
+    """Text of a column; doubles through :func:`number_text`."""
+    if dict(df.dtypes)[name] in ("double", "float"):
+        return number_text(F.col(name))
+    return F.col(name).cast("string")
 
 
 def label_text(value: Column, kind: Column) -> Column:
@@ -27,24 +50,20 @@ def label_text(value: Column, kind: Column) -> Column:
     for code, text in CODE_TEXT.items():
         coded = F.when(value == code, text).otherwise(coded)
     return (
-        F.when(kind == INT_KIND, number.cast("bigint").cast("string"))
+        F.when(kind == INT_KIND, F.coalesce(value.try_cast("bigint"), number.try_cast("bigint")).cast("string"))
         .when(kind == FLOAT_KIND, two_decimals(number))
         .when(kind == TEXT_KIND, coded)
     )
 
 
-def negate_number(value: Column) -> Column:
-    return -value
-
-
 def negate_text(label: Column) -> Column:
     """Negated label text; NULL where the label has no negation.
 
-    Whole numbers lose their decimals: ``2.0`` becomes ``-2``.
+    Whole numbers lose their decimals: ``2.0`` becomes ``-2``. Numbers beyond 38 digits, NaN and infinities have none.
     """
     number = label.try_cast("double")
     return (
-        F.when(number.isNotNull() & (number % 1 == 0), (-number.cast("bigint")).cast("string"))
+        F.when(number % 1 == 0, (-number.try_cast("decimal(38,0)")).cast("string"))
         .when(number.isNotNull(), two_decimals(-number))
         .when(label == YES, NO)
         .when(label == NO, YES)
@@ -67,13 +86,8 @@ def class_text(label: Column) -> Column:
 
 
 def output_text(label: Column, kind: Column) -> Column:
-    """Published form of a test label: Yes/No for classification, the number for regression."""
-    return F.when(kind == "cla", class_text(label)).otherwise(two_decimals(label))
-
-
-def masked(label: Column) -> Column:
-    """Missing labels as the sentinel, for output edges only."""
-    return F.coalesce(label, F.lit(MISSING))
+    """Published form of a test label: Yes/No for classification, the number as it is for regression."""
+    return F.when(kind == "cla", class_text(label)).otherwise(number_text(label))
 
 
 def better(result: Column, reference: Column, kind: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.functions import cleaning
-from shotweave.functions.labels import FLOAT_KIND, INT_KIND, MISSING, TEXT_KIND
+from shotweave.functions.labels import FLOAT_KIND, INT_KIND, MISSING, TEXT_KIND, plain_text
 
 
 def melt_labels(wide: DataFrame, ids: Sequence[str], tasks: Sequence[str], missing: int = 0) -> DataFrame:
@@ -26,11 +26,10 @@ def melt_properties(wide: DataFrame, ids: Sequence[str], properties: Sequence[st
 
 
 def property_text(df: DataFrame, name: str) -> Column:
-    """Text of a property. Doubles go through a decimal, never through exponent notation."""
+    """Text of a property, doubles without loss and without exponent. NaN is a missing value."""
     kind = dict(df.dtypes)[name]
-    if kind in ("double", "float"):
-        return F.regexp_replace(F.col(name).cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
-    return F.col(name).cast("string")
+    text = plain_text(df, name)
+    return F.when(~F.isnan(name), text) if kind in ("double", "float") else text
 
 
 def column_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -41,7 +40,7 @@ def column_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     types, checks = dict(df.dtypes), []
     for i, name in enumerate(columns):
         whole, number = _value_checks(F.col(name), types[name])
-        present = F.col(name).isNotNull()
+        present = F.col(name).isNotNull() & (number_of(F.col(name), types[name]) != float("nan"))
         checks += [
             F.coalesce(F.bool_and(F.when(present, whole)), F.lit(True)).alias(f"i{i}"),
             F.coalesce(F.bool_and(F.when(present, number)), F.lit(True)).alias(f"f{i}"),
@@ -56,6 +55,15 @@ def column_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*checks).select(F.inline(F.array(*kinds)))
 
 
+def number_of(value: Column, data_type: str) -> Column:
+    """The value as a double, 0 where it is none; only to tell NaN (a missing value in any form) from the rest."""
+    if data_type in ("float", "double"):
+        return value.cast("double")
+    if data_type == "string":
+        return F.coalesce(value.try_cast("double"), F.lit(0.0))
+    return F.lit(0.0)
+
+
 def _value_checks(value: Column, data_type: str) -> tuple[Column, Column]:
     """Whether a value is whole, and whether it is a number. Typed columns are not taken through text."""
     if data_type in ("tinyint", "smallint", "int", "bigint", "boolean"):

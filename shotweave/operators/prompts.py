@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions import text as txt
-from shotweave.functions.labels import NO, YES, class_text
+from shotweave.functions.labels import NO, YES, class_text, plain_text
 
 # Shot counts of the published files.
 TRAIN_SHOTS = (1, 2, 3, 4)
 NEAR_SHOTS = (1, 2, 3, 4, 6, 8)
 FAR_SHOTS = (2, 3, 4, 6, 8)
 BALANCED_SHOTS = (2, 4, 6, 8)
-BALANCED_DEPTH = 1000
 
 
 def example(smiles: Column, label: Column) -> Column:
@@ -61,7 +60,7 @@ def _fan_out(queries: DataFrame, examples: DataFrame, keys: Sequence[str], shots
     text = F.array_join(F.transform(block(F.col("_lines"), F.col("shot")), lambda x: x["line"]), "")
     return shot.select(
         *keys, "shot", envelope(F.col("instruction"), text, subject).alias("instruction"),
-        F.col("smiles").alias("input"), F.col("label").cast("string").alias("output"),
+        F.col("smiles").alias("input"), plain_text(joined, "label").alias("output"),
     )
 
 
@@ -77,7 +76,7 @@ def kshot_rows(queries: DataFrame, neighbours: DataFrame, keys: Sequence[str], s
     With ``yes_no`` labels 1 and 0 become Yes and No; a neighbour with another
     label adds nothing but still uses up its shot.
     """
-    label = class_text(F.col("n_label").try_cast("double")) if yes_no else F.col("n_label").cast("string")
+    label = class_text(F.col("n_label").try_cast("double")) if yes_no else plain_text(neighbours, "n_label")
     examples = _examples(neighbours, keys, F.coalesce(example(F.col("n_smiles"), label), F.lit("")), [])
 
     def block(lines: Column, shot: Column) -> Column:
@@ -97,8 +96,8 @@ def balanced_rows(queries: DataFrame, neighbours: DataFrame, keys: Sequence[str]
                   shots: Sequence[int] = BALANCED_SHOTS) -> DataFrame:
     """k-shot rows with k/2 Yes examples, then k/2 No examples, each nearest first.
 
-    Classes come from the whole neighbour list (usually :data:`BALANCED_DEPTH` deep, cut by :func:`balance`); a class
-    with fewer members gives fewer.
+    The neighbour list should hold the nearest of each class (:func:`shotweave.plans.kshot.test_prompts` searches them class by
+    class, so no class is too rare to be found); a class with fewer members gives fewer.
     """
     shown = balance(neighbours, keys, F.col("n_label"), max(shots) // 2).withColumn(
         "klass", class_text(F.col("n_label").try_cast("double"))

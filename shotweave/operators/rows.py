@@ -36,22 +36,23 @@ def _pick(variants: Column, seed: int, *ids: str) -> Column:
 
 def assay_rows(signed: DataFrame, chosen: DataFrame, valid: DataFrame, entities: DataFrame, prompts: DataFrame,
                seed: int = 0) -> DataFrame:
-    """``(smiles, text, label, chemid, assayid)`` for measured cells of chosen and valid entities.
+    """``(smiles, text, label, chemid, assayid, split)`` for measured cells of chosen and valid entities.
 
-    ``signed(mol_id, task, label)`` is the long label matrix; ``chosen`` and ``valid`` hold
-    ``mol_id``; ``entities(mol_id, ext_id, smiles)``. The prompt is drawn once per task.
+    ``signed(mol_id, task, label)`` is the long label matrix; ``chosen(mol_id, split)`` says which part an entity is in,
+    ``valid`` holds ``mol_id``; ``entities(mol_id, ext_id, smiles)``. The prompt is drawn once per task.
     """
-    cells = signed.filter(F.col("label") != 0).join(chosen.select("mol_id"), "mol_id", "left_semi")
+    cells = signed.filter(F.col("label") != 0).join(chosen.select("mol_id", "split"), "mol_id")
     cells = cells.join(valid.select("mol_id"), "mol_id", "left_semi").join(entities, "mol_id")
     drawn = prompts.select("task", _pick(F.col("variants"), seed, "task").alias("text"))
     return lookup_join(cells, drawn, ["task"], ["mol_id"]).select(
         "smiles", "text", lab.sign_text(F.col("label")).alias("label"),
-        F.col("ext_id").alias("chemid"), F.col("task").alias("assayid"),
+        F.col("ext_id").alias("chemid"), F.col("task").alias("assayid"), "split",
     )
 
 
 def property_rows(table: DataFrame, key: str, smiles: str, properties: Sequence[str], prompts: DataFrame,
-                  negation: float = 0.0, seed: int = 0, kinds: DataFrame | None = None) -> DataFrame:
+                  negation: float = 0.0, seed: int = 0, kinds: DataFrame | None = None,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """``(smiles, text, label, chemid, assayid)`` for every present property of every entity.
 
     With ``negation`` > 0 that share of the rows whose property also has a
@@ -59,7 +60,7 @@ def property_rows(table: DataFrame, key: str, smiles: str, properties: Sequence[
     Properties without a prompt are left out. The prompt is drawn per row.
     """
     kinds = column_kinds(table, properties) if kinds is None else kinds
-    long = melt_properties(table, [key, smiles], properties).join(F.broadcast(kinds), "key")
+    long = lookup_join(melt_properties(table, [key, smiles, *keep], properties), kinds, ["key"], [key])
     negative = prompts.filter(F.col("task").endswith(NEGATIVE)).select(
         F.regexp_replace("task", NEGATIVE + "$", "").alias("key"), F.lit(True).alias("_has_negative")
     )
@@ -77,6 +78,7 @@ def property_rows(table: DataFrame, key: str, smiles: str, properties: Sequence[
         label.alias("label"),
         F.col(key).cast("string").alias("chemid"),
         F.col("task").alias("assayid"),
+        *keep,
     )
 
 
@@ -92,9 +94,7 @@ def property_rows_by_split(table: DataFrame, key: str, smiles: str, split: str,
     wanted = [F.when(F.col(split).isin([s for s, keys in keys_by_split.items() if p in keys]), F.col(p)).alias(p)
               for p in properties]
     rows = table.select(key, smiles, split, *wanted)
-    made = property_rows(rows, key, smiles, properties, prompts, seed=seed, kinds=kinds)
-    splits = table.select(F.col(key).cast("string").alias("chemid"), split)
-    return made.join(splits, "chemid")
+    return property_rows(rows, key, smiles, properties, prompts, seed=seed, kinds=kinds, keep=[split])
 
 
 def with_prompt(rows: DataFrame, prompts: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -63,7 +63,7 @@ def searchable(shards: DataFrame, name: str) -> DataFrame:
 
 def encodable(df: DataFrame, text: str) -> DataFrame:
     """Rows that will get a fingerprint, tested on the text so that nothing is encoded for the test."""
-    return df.filter(F.lower(text).rlike("[a-z0-9]"))
+    return df.filter(F.lower(text).rlike(r"[\p{L}\p{N}]"))
 
 
 def not_indexed(df: DataFrame, key: str, table: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def greedy_group_split(df: DataFrame, group: Sequence[str], key: str,
     groups = group_sizes(_keyed(df, group), ["_group"], key).withColumn("_one", F.lit(1).cast("bigint"))
     ranked = running_totals(groups, ["size"], ["first"], {"_one": "_up"})
     sizes = groups.groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
-    quotas = sizes.coalesce(1).mapInPandas(
+    quotas = sizes.repartition(1).mapInPandas(
         _greedy_quotas(fractions[0], fractions[1]), "size bigint, groups bigint, to_train bigint, to_valid bigint"
     )
     place = F.col("groups") - F.col("_up") + 1
@@ -132,7 +132,6 @@ def _fill(groups: DataFrame, room: int) -> DataFrame:
     usually a handful of rounds, at worst one per distinct size that
     still fits.
     """
-    spark = groups.sparkSession
     rounds: list[tuple[str, str, int]] = []
     after, left = "", room
     while left > 0:
@@ -148,13 +147,11 @@ def _fill(groups: DataFrame, room: int) -> DataFrame:
         if end["stop"] is None:
             break
         after, left = end["stop"], left - end["taken"]
-    spans = spark.createDataFrame(rounds, "_from string, _to string, _fits bigint")
-    inside = (
-        (F.col("_pos") > F.col("_from"))
-        & (F.col("_to").isNull() | (F.col("_pos") < F.col("_to")))
-        & (F.col("size") <= F.col("_fits"))
-    )
-    return groups.join(F.broadcast(spans), inside, "left_semi")
+    inside = F.lit(False)
+    for start, stop, fits in rounds:
+        span = (F.col("_pos") > start) & (F.col("size") <= fits)
+        inside = inside | (span if stop is None else span & (F.col("_pos") < stop))
+    return groups.filter(inside)
 
 
 def _hash_running_sum(groups: DataFrame) -> DataFrame:
@@ -194,10 +191,11 @@ def random_group_split(df: DataFrame, group: Sequence[str], key: str, seed: int
 
 
 def shot_mix(df: DataFrame, ids: Sequence[str], by: Sequence[str], shares: Sequence[tuple[int, float]],
-             seed: int = 0) -> DataFrame:
+             seed: int = 0, drop_rest: bool = False) -> DataFrame:
     """Choose one shot count per row: disjoint random shares of each task, every size truncated.
 
-    ``shares`` lists ``(shot, fraction)``. Rows beyond the truncated sizes are dropped.
+    ``shares`` lists ``(shot, fraction)``. Rows beyond the truncated sizes go to the last share; with ``drop_rest`` they are
+    dropped, as in the published mixture.
     """
     ranked = hash_rank(df, ids, seed, by=by, rank="_r", total="_n")
     end, cuts = F.lit(0), []
@@ -205,6 +203,8 @@ def shot_mix(df: DataFrame, ids: Sequence[str], by: Sequence[str], shares: Seque
         end = end + F.floor(F.col("_n") * F.lit(float(fraction)))
         cuts.append((end, shot))
     part = _by_cuts(F.col("_r"), cuts)
+    if not drop_rest:
+        part = F.coalesce(part, F.lit(shares[-1][0]))
     return ranked.withColumn("shot", part).filter(F.col("shot").isNotNull()).drop("_r", "_n")
 
 
@@ -212,8 +212,8 @@ def shot_mix(df: DataFrame, ids: Sequence[str], by: Sequence[str], shares: Seque
 SHARES_01234 = ((0, 0.6), (1, 0.1), (2, 0.1), (3, 0.1), (4, 0.1))
 
 
-def mix_01234(df: DataFrame, ids: Sequence[str], by: Sequence[str], seed: int = 0) -> DataFrame:
-    return shot_mix(df, ids, by, SHARES_01234, seed)
+def mix_01234(df: DataFrame, ids: Sequence[str], by: Sequence[str], seed: int = 0, drop_rest: bool = False) -> DataFrame:
+    return shot_mix(df, ids, by, SHARES_01234, seed, drop_rest)
 
 
 def mix_0_4(df: DataFrame, ids: Sequence[str], by: Sequence[str], seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.functions import fingerprints as fpx
-from shotweave.functions.labels import class_text
+from shotweave.functions.labels import NO, YES, class_text
 from shotweave.operators import prompts, similarity
 from shotweave.plans.skew import lookup_join
 from shotweave.session import cut_lineage
@@ -22,31 +22,34 @@ def task_rows(fingerprints: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train_prompts(entities: DataFrame, rows: DataFrame, instructions: DataFrame,
-                  shots: Sequence[int] = prompts.TRAIN_SHOTS) -> DataFrame:
+                  shots: Sequence[int] = prompts.TRAIN_SHOTS, search=similarity.nearest) -> DataFrame:
     """Training rows: every labelled entity with its nearest other entities of the same task.
 
-    ``entities(key, smiles)``, ``rows(key, task, words, label)``, ``instructions(task, instruction)``.
+    ``entities(key, smiles)``, ``rows(key, task, words, label)``, ``instructions(task, instruction)``. ``search`` is called like
+    :func:`shotweave.operators.similarity.nearest`, which is exact; :func:`~shotweave.operators.similarity.nearest_lsh` is
+    the one for large tables.
     """
-    found = cut_lineage(similarity.nearest(rows.select("key", "task", "words"), None, max(shots), by=["task"]))
+    found = cut_lineage(search(rows.select("key", "task", "words"), None, max(shots), by=["task"]))
     return _assemble(entities, rows, rows, instructions, found, shots, prompts.train_subject(F.col("task")), {})
 
 
 def test_prompts(entities: DataFrame, test: DataFrame, train: DataFrame, instructions: DataFrame, style: str = NEAR,
-                 yes_no: bool = True, shots: Sequence[int] | None = None) -> DataFrame:
+                 yes_no: bool = True, shots: Sequence[int] | None = None, search=similarity.nearest) -> DataFrame:
     """Test rows: every test entity with its nearest *training* entities of the same task.
 
-    ``style`` orders the examples near-first, far-first, or balances the classes.
+    ``style`` orders the examples near-first, far-first, or balances the classes. Balanced examples are searched class by
+    class, half the largest shot count each, so a class of any rarity gives its nearest.
     Regression labels are shown as they are with ``yes_no=False``.
     """
     shots = shots or {NEAR: prompts.NEAR_SHOTS, FAR: prompts.FAR_SHOTS, BALANCED: prompts.BALANCED_SHOTS}[style]
-    width = prompts.BALANCED_DEPTH if style == BALANCED else max(shots)
     columns = ["key", "task", "words"]
-    found = cut_lineage(similarity.nearest(test.select(columns), train.select(columns), width, by=["task"]))
     if style == BALANCED:
-        classed = similarity.with_payload(found, train, ["label"], by=["task"])
-        found = cut_lineage(
-            prompts.balance(classed, ["query_id", "task"], F.col("label"), max(shots) // 2).drop("label")
-        )
+        classed = train.withColumn("klass", class_text(F.col("label").try_cast("double"))).filter(F.col("klass").isNotNull())
+        asking = test.select(*columns, F.explode(F.array(F.lit(YES), F.lit(NO))).alias("klass"))
+        found = search(asking, classed.select(*columns, "klass"), max(shots) // 2, by=["task", "klass"])
+        found = cut_lineage(found.drop("klass"))
+    else:
+        found = cut_lineage(search(test.select(columns), train.select(columns), max(shots), by=["task"]))
     how = {"style": style, "yes_no": yes_no}
     return _assemble(entities, test, train, instructions, found, shots, prompts.test_subject(), how)
 

@@ -60,8 +60,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_on: S
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> bool:
-    """Measure a table (already written, or cheap) before it is broadcast; only two numbers reach the driver."""
-    size = df.agg(
+    """Measure a table before it is broadcast; reading stops one row past the limit, two numbers reach the driver."""
+    size = df.limit(max_rows + 1).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("bytes")
     ).head()
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes

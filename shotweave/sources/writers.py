@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 2_000_000
 
@@ -29,10 +29,11 @@ def fingerprints(table: DataFrame, path: str, partition_by: Sequence[str] = ("da
 
 
 def instructions(df: DataFrame, path: str, partition_by: Sequence[str] = ("shot", "dataset", "task_id"),
-                 mode: str = "overwrite") -> None:
-    """JSON lines with ``instruction, input, output``."""
+                 mode: str = "overwrite", numbers: bool = False) -> None:
+    """JSON lines with ``instruction, input, output``; with ``numbers`` (regression) the output is a JSON number."""
     columns = [c for c in partition_by if c in df.columns]
-    rows = df.select(*columns, "instruction", "input", "output")
+    output = F.col("output").cast("double").alias("output") if numbers else "output"
+    rows = df.select(*columns, "instruction", "input", output)
     writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
     (writer.partitionBy(*columns) if columns else writer).json(path)
 
@@ -43,18 +44,15 @@ def tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def scores(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Score table (one row per task) as one CSV file."""
-    df.coalesce(1).write.mode(mode).csv(path, header=True)
+    df.repartition(1).write.mode(mode).csv(path, header=True)
 
 
 def load_or_create(spark: SparkSession, path: str, create: Callable[[], DataFrame]) -> DataFrame:
     """Read a persisted split, or create and persist it first.
 
-    Creation is hash-based, so an interrupted attempt is simply repeated.
+    Creation is hash-based, so an attempt that left no success marker is simply repeated.
     """
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         create().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)

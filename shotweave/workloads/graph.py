@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave.operators import graph
-from shotweave.plans.skew import skew_join
 from shotweave.workloads.registry import query, table
 
 # Thresholds that cascade over several rounds on the stand-in tables.
@@ -56,16 +55,15 @@ def bipartite_core(spark, d):
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("task1"))
-    wanted = lines.filter(F.col("l_discount") >= 0.08)
-    return skew_join(wanted, orders, ["l_orderkey"], ["l_suppkey", "l_extendedprice"]).select(
+    return lines.join(orders, "l_orderkey").select(
         "task1", F.col("l_suppkey").alias("task2"), F.col("l_extendedprice").alias("score"))
 
 
 EDGES_SQL = """
 edges AS (SELECT o_custkey AS task1, l_suppkey AS task2, l_extendedprice AS score
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_discount >= 0.08::DOUBLE)"""
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -101,5 +99,5 @@ def pair_max_score(spark, d):
         F.col("c_nationkey").alias("task"), F.concat(F.lit("c"), F.col("c_custkey")).alias("member")).unionByName(
         table(spark, d, "supplier").select(
             F.col("s_nationkey").alias("task"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("member")))
-    scored = skew_join(lines, orders, ["l_orderkey"], ["member2", "score"])
+    scored = lines.join(orders, "l_orderkey")
     return graph.task_pair_scores(members, scored.select("member1", "member2", "score"))

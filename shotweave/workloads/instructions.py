@@ -60,10 +60,10 @@ def _pick_sql(seed: int, ids: str) -> str:
 
 
 @query("WITH " + _prompts_sql("assay") + f""",
-chosen AS (SELECT doc_id FROM {rank_sql("documents", "doc_id", 0)} WHERE r <= floor(0.8::DOUBLE * n)),
+chosen AS (SELECT doc_id, CASE WHEN r <= floor(0.8::DOUBLE * n) THEN 'train' ELSE 'valid' END AS split FROM {rank_sql("documents", "doc_id", 0)}),
 signed AS (SELECT doc_id, 'quality' AS task, 2 * quality - 1 AS label FROM labels UNION ALL SELECT doc_id, 'toxic', 2 * toxic - 1 FROM labels)
 SELECT d.text AS smiles, p.text AS text, CASE WHEN s.label > 0 THEN 'Yes' ELSE 'No' END AS label,
-       source || '-' || d.doc_id AS chemid, s.task AS assayid
+       source || '-' || d.doc_id AS chemid, s.task AS assayid, split
 FROM signed s JOIN chosen USING (doc_id) JOIN documents d USING (doc_id) JOIN prompts p ON p.task = s.task AND {_pick_sql(0, "s.task")}
 WHERE len(list_filter(string_split_regex(d.text, '[ \\t\\n\\r]+'), lambda t: t <> '')) >= 1
   AND length(d.text) - length(replace(d.text, '(', '')) = length(d.text) - length(replace(d.text, ')', ''))""")
@@ -74,7 +74,7 @@ def assay_instructions(spark, d):
     entities = docs.select(F.col("doc_id").alias("mol_id"), F.concat_ws("-", "source", "doc_id").alias("ext_id"),
                            F.col("text").alias("smiles"))
     signed = signed_labels(spark, d).withColumnRenamed("doc_id", "mol_id")
-    return rows.assay_rows(signed, ids.filter(F.col("split") == "train"), valid, entities, _prompt_lists(spark, "assay"))
+    return rows.assay_rows(signed, ids, valid, entities, _prompt_lists(spark, "assay"))
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -161,27 +161,45 @@ def prompt_augment(spark, d):
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    """A user turn, the answer that follows it, and the conversation's system text if it has one."""
+    """Every user turn, the answer that follows it (empty if none does), and the conversation's system texts in turn order."""
     talk = table(spark, d, "conversations")
     asked = talk.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("instruction"))
     answers = talk.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
-    system = talk.filter(F.col("role") == "system").groupBy("conv_id").agg(F.min("text").alias("input"))
-    return asked.join(answers, ["conv_id", "turn"]).join(system, "conv_id", "left")
+    texts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    system = talk.filter(F.col("role") == "system").groupBy("conv_id").agg(
+        F.array_join(F.transform(texts, lambda t: t["text"]), "\n").alias("input"))
+    return asked.join(answers, ["conv_id", "turn"], "left").join(system, "conv_id", "left").fillna("", ["output"])
 
 
+# The published template.
+HEAD_PLAIN = """Below is an instruction that describes a task. Write a response that appropriately completes the request.
+
+### Instruction:
+"""
+HEAD_INPUT = """Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.
+
+### Instruction:
+"""
+INPUT = """
+
+### Input:
+"""
+ANSWER = """
+
+### Response:
+"""
+
 TURNS_SQL = """
 WITH turns AS (
-  SELECT a.conv_id, a.turn, a.text AS instruction, s.text AS input, b.text AS output
-  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant'
-  LEFT JOIN (SELECT conv_id, min(text) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id) s ON s.conv_id = a.conv_id
+  SELECT a.conv_id, a.turn, a.text AS instruction, s.text AS input, coalesce(b.text, '') AS output
+  FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant'
+  LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id) s ON s.conv_id = a.conv_id
   WHERE a.role = 'user'),
 rendered AS (
   SELECT *, CASE WHEN coalesce(input, '') = ''
-    THEN replace('Below is an instruction that describes a task. Write a response that appropriately completes the request.||### Instruction:|', '|', chr(10))
-      || instruction || replace('||### Response:|', '|', chr(10))
-    ELSE replace('Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.||### Instruction:|', '|', chr(10))
-      || instruction || replace('||### Input:|', '|', chr(10)) || input || replace('||### Response:|', '|', chr(10)) END AS prompt FROM turns)
+    THEN '""" + HEAD_PLAIN + """' || instruction || '""" + ANSWER + """'
+    ELSE '""" + HEAD_INPUT + """' || instruction || '""" + INPUT + """' || input || '""" + ANSWER + """' END AS prompt FROM turns)
 """
 
 
@@ -194,13 +212,13 @@ def render_template(spark, d):
 
 @query(TURNS_SQL + """,
 tok AS (SELECT conv_id, turn,
-  list_filter(string_split_regex(prompt || output, '[ \\t\\n\\r]+'), lambda x: x <> '')[1:256] AS f,
-  list_filter(string_split_regex(prompt, '[ \\t\\n\\r]+'), lambda x: x <> '')[1:256] AS u FROM rendered),
-closed AS (SELECT *, CASE WHEN len(f) < 256 THEN list_append(f, '</s>') ELSE f END AS full_tokens FROM tok)
+  list_filter(string_split_regex(prompt || output, '[ \\t\\n\\r]+'), lambda x: x <> '')AS f,
+  list_filter(string_split_regex(prompt, '[ \\t\\n\\r]+'), lambda x: x <> '')AS u FROM rendered),
+closed AS (SELECT *, list_append(f, '</s>') AS full_tokens FROM tok)
 SELECT conv_id, turn, len(full_tokens) AS n_tokens, len(u) AS prompt_length,
   array_to_string(list_concat(list_transform(range(len(u)), lambda x: '-100'), full_tokens[len(u) + 1:]), ' ') AS labels FROM closed""")
 def response_mask(spark, d):
-    made = rows.tokenized_rows(_turns(spark, d), max_tokens=256, keep=["conv_id", "turn"])
+    made = rows.tokenized_rows(_turns(spark, d), keep=["conv_id", "turn"])
     return made.select("conv_id", "turn", F.size("tokens").cast("bigint").alias("n_tokens"),
                        F.col("prompt_length").cast("bigint").alias("prompt_length"), F.array_join("labels", " ").alias("labels"))
 
@@ -271,6 +289,6 @@ def kshot_test_far(spark, d):
     return _kshot_test(spark, d, kshot.FAR)
 
 
-@query(_kshot_sql(TEST_POOL, 1000, (2, 4, 6, 8), BALANCED_BLOCK, "'molecular property'"))
+@query(_kshot_sql(TEST_POOL, 1_000_000, (2, 4, 6, 8), BALANCED_BLOCK, "'molecular property'"))
 def kshot_test_balanced(spark, d):
     return _kshot_test(spark, d, kshot.BALANCED)

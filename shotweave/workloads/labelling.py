@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from shotweave import catalog
 from shotweave.functions import cleaning, labels as lab, text as txt
 from shotweave.operators import melt, metrics
-from shotweave.plans.skew import skew_join
 from shotweave.session import spread
 from shotweave.workloads.registry import query, table
 
@@ -197,7 +196,7 @@ def better_result(spark, d):
     names = F.create_map(*[F.lit(x) for x in ("F", "hiv", "O", "esol", "P", "tox21")])
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    orders = skew_join(orders, customers, ["o_custkey"], ["o_orderkey"])
+    orders = orders.join(customers, "o_custkey")
     kinds = catalog.datasets(spark).select("name", "kind")
     return orders.withColumn("name", names[F.col("o_orderstatus")]).join(F.broadcast(kinds), "name").select(
         "o_orderkey", "kind", lab.better(F.col("o_totalprice"), F.col("c_acctbal") * 30, F.col("kind")).alias("better"))

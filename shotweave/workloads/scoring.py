@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shotweave.functions import text as txt
 from shotweave.operators import metrics
-from shotweave.plans.skew import skew_join
 from shotweave.workloads.labelling import signed_labels
 from shotweave.workloads.registry import query, table
 
@@ -91,7 +90,7 @@ def metric_regression(spark, d):
     number = (F.col("l_quantity") * F.col("p_retailprice")).cast("decimal(18,2)").cast("string")
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount")
-    answers = skew_join(lines, price, ["l_partkey"], ["l_orderkey", "l_linenumber"]).select(
+    answers = lines.join(price, "l_partkey").select(
         F.col("l_returnflag").alias("task"), F.col("l_extendedprice").alias("y"),
         F.when(F.col("l_discount") == 0, "unknown").otherwise(F.concat(F.lit("about "), number, F.lit(" units"))).alias("text"))
     scored = metrics.regression(answers.withColumn("p", txt.first_number(F.col("text"))), ["task"])

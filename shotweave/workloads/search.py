@@ -18,7 +18,7 @@ def bits_sql(relation: str, key: str, text: str, name: str = "bits", n_bits: int
     return f"""
 {name}_tok AS (
   SELECT DISTINCT {key} AS key, t FROM (
-    SELECT {key}, unnest(string_split_regex(lower({text}), '[^a-z0-9]+')) AS t FROM {relation}) WHERE t <> ''),
+    SELECT {key}, unnest(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM {relation}) WHERE t <> ''),
 {name} AS (SELECT DISTINCT key, ('0x' || substr(md5(t), {digit}, 4))::INT % {n_bits} AS bit FROM {name}_tok)"""
 
 

@@ -142,7 +142,7 @@ def mix_0_4(spark, d):
 WITH c AS (SELECT event_id, event_type, r, floor(n * 0.6::DOUBLE) AS a, floor(n * 0.1::DOUBLE) AS b
   FROM {rank_sql("events", "event_id", 5, "event_type")})
 SELECT event_id, event_type, CASE WHEN r <= a THEN 0 WHEN r <= a + b THEN 1 WHEN r <= a + 2 * b THEN 2
-  WHEN r <= a + 3 * b THEN 3 ELSE 4 END AS shot FROM c WHERE r <= a + 4 * b""")
+  WHEN r <= a + 3 * b THEN 3 ELSE 4 END AS shot FROM c""")
 def mix_01234(spark, d):
     return splits.mix_01234(_task_rows(spark, d), ["event_id"], ["event_type"], seed=5).select("event_id", "event_type", "shot")
 
