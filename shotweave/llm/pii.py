@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm.dedup_exact import split_by_ids
+from shotweave.llm.dedup_exact import fresh, split_by_ids
 from shotweave.llm.flat import pieces
 from shotweave.llm.registry import query, table
 from shotweave.session import cut_lineage
@@ -195,15 +195,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     All columns stay, a null text stays null. Only texts with added spans shuffle; the fixed forms are replaced where they are read."""
     scanned = cut_lineage(scan(docs, id_col, text_col))
     new = discover(scanned)
+    found_id, found_spans = fresh("_found_id", docs.columns), fresh("_found_spans", docs.columns)
     found = cut_lineage(
         scanned.select("doc_id", F.explode("seen").alias("s")).filter("not s.seed")
         .select("doc_id", "s.start", "s.end", "s.instance").join(new, "instance").groupBy("doc_id")
         .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).select(
-            F.col("doc_id").alias("_found_id"), F.col("spans").alias("_found_spans")))
+            F.col("doc_id").alias(found_id), F.col("spans").alias(found_spans)))
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
-    some, none = split_by_ids(docs, found.select("_found_id"), id_col)
-    some = some.join(found, F.col(id_col).eqNullSafe(F.col("_found_id")), "left").select(*docs.columns, "_found_spans")
-    none = none.withColumn("_found_spans", F.lit(None).cast("array<struct<start int, end int>>"))
+    some, none = split_by_ids(docs, found.select(found_id), id_col)
+    some = some.join(found, F.col(id_col).eqNullSafe(F.col(found_id)), "left").select(*docs.columns, found_spans)
+    none = none.withColumn(found_spans, F.lit(None).cast("array<struct<start int, end int>>"))
 
     def clean(text: str, extra: list | None) -> str:
         spans = sorted([(a, b, k) for k, a, b in base_spans(text)]
@@ -217,7 +218,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, j = batch.schema.get_field_index(text_col), batch.schema.get_field_index("_found_spans")
+            i, j = batch.schema.get_field_index(text_col), batch.schema.get_field_index(found_spans)
             texts = [None if t is None else clean(t, s)
                      for t, s in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist())]
             columns = [pa.array(texts, pa.string()) if k == i else c for k, c in enumerate(batch.columns) if k != j]
