@@ -3,60 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEY_LIMIT = 1024
-HOT_KEY_MIN_ROWS = 1_000_000
-SALTS = 64
+HOT_SHARE = 10_000
 LOOKUP_ROWS = 200_000
 LOOKUP_BYTES = 64 << 20
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_MIN_ROWS,
-             limit: int = HOT_KEY_LIMIT) -> DataFrame:
-    """The heaviest keys of ``df``: at most ``limit`` rows, so safe to collect and to broadcast.
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
+    """Keys with at least ``min_rows`` rows and more than 1 in ``HOT_SHARE`` of all: by arithmetic fewer than ``HOT_SHARE`` rows
+    (keys, ``_rows``), so safe to collect and to broadcast, and none is left out."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= min_rows)
+    total = df.count()
+    return counts.filter(F.col("_rows") * HOT_SHARE > total)
 
-    Only used to decide which keys are salted; keys beyond the limit join
-    normally, so results never depend on it.
-    """
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(limit)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
 
+def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_on: Sequence[str] = (), how: str = "inner",
+              min_rows: int | None = None, hot_from: DataFrame | None = None) -> DataFrame:
+    """Equi-join of a left side that may hold a third of its rows under one key.
 
-def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_on: Sequence[str], how: str = "inner",
-              min_rows: int = HOT_KEY_MIN_ROWS, salts: int = SALTS, hot_from: DataFrame | None = None) -> DataFrame:
-    """Equi-join in which the rows of hot left keys are spread over ``salts`` tasks.
+    Without ``min_rows`` it is the plain join: both sides are shuffled, and the adaptive planner splits partitions that turn out
+    large, for every ``how`` named below. Nothing runs while the query is built.
 
-    The matching right rows, and only those, are repeated once per salt.
-    ``spread_on`` are left columns that differ between the rows of a key.
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; for each of them a
-    left row meets exactly the right rows of its own salt, so the result is
-    that of the plain join. Keys are counted in ``hot_from`` where ``left`` itself
-    is costly to compute twice (the count runs when the join is built); any table
-    with about the same key frequencies will do. Without hot keys this is the plain join.
+    With ``min_rows`` hot left keys are counted first (in ``hot_from``, a written table with the same key frequencies,
+    where ``left`` is costly), each is dealt over one salt per ``min_rows`` rows by ``spread_on``, and its right rows are repeated
+    per salt; for joins that the planner cannot split, such as those whose other side is already in place. ``how`` is
+    ``inner``, ``left``, ``left_semi`` or ``left_anti``; left rows with a NULL key match nothing and skip the join.
     """
     on = list(on)
+    if min_rows is None:
+        return left.join(right, on, how)
     listed = hot_keys(left if hot_from is None else hot_from, on, min_rows)
     rows = listed.collect()
     if not rows:
         return left.join(right, on, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(rows, listed.schema))
-    salted_left = (
-        left.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
-                    .otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
+    known = reduce(and_, [F.col(k).isNotNull() for k in on])
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, listed.schema).select(
+        *on, F.ceil(F.col("_rows") / min_rows).cast("int").alias("_salts")))
+    salted_left = left.filter(known).join(hot, on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread_on), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    joined = salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
+    if how in ("inner", "left_semi"):
+        return joined
+    return joined.unionByName(left.filter(~known), allowMissingColumns=True)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> bool:

@@ -149,3 +149,25 @@ def test_response_mask(spark):
     assert one(spark, txt.response_mask(tokens, F.lit(2))) == ["-100", "-100", "c", "d"]
     assert one(spark, txt.response_mask(tokens, F.lit(5))) == ["-100"] * 5
     assert one(spark, txt.answer_tokens(tokens, F.lit(3))) == ["d"]
+
+
+@pytest.mark.parametrize("value, want", [
+    (12345678.0, "12345678.0"), (1e-4, "0.0001"), (-0.845, "-0.845"), (1e-7, "0.0000001"), (0.0049999999, "0.0049999999"),
+    (123456789.125, "123456789.125"), (2.0, "2.0"), (0.0, "0.0"), (1.5e25, "15000000000000000000000000.0"), (float("nan"), "NaN")])
+def test_number_text_is_lossless(spark, value, want):
+    assert one(spark, lab.number_text(F.lit(value))) == want
+    assert value != value or float(one(spark, lab.number_text(F.lit(value)))) == value
+
+
+@pytest.mark.parametrize("value", ["1e19", "NaN", "inf", "-inf", "1e400", "", "9" * 60])
+def test_no_label_ends_a_job(spark, value):
+    for kind in ("int", "float", "str"):
+        one(spark, lab.label_text(F.lit(value), F.lit(kind)))
+    one(spark, lab.negate_text(F.lit(value)))
+
+
+def test_tokens_of_any_script(spark):
+    from shotweave.functions import fingerprints as fpx
+    assert one(spark, fpx.tokens(F.lit("Éléphant, ПРИВЕТ 世界 a-1"))) == ["éléphant", "привет", "世界", "a", "1"]
+    with pytest.raises(ValueError):
+        fpx.feature_bits(F.array(F.lit("a")), 1 << 17)

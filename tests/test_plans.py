@@ -54,8 +54,9 @@ def test_skew_join_equals_join(spark, rows, how):
     left = spark.createDataFrame(rows, "id bigint, g string")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), ("z", 4)], "g string, v int")
     plain = left.join(right, ["g"], how)
-    salted = skew.skew_join(left, right, ["g"], ["id"], how, min_rows=100, salts=7).select(*plain.columns)
+    salted = skew.skew_join(left, right, ["g"], ["id"], how, min_rows=100).select(*plain.columns)
     assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+    assert sorted(map(repr, skew.skew_join(left, right, ["g"], how=how).select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
     assert skew.hot_keys(left, ["g"], 1500).count() == 1
 
 

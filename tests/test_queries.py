@@ -6,6 +6,8 @@ from compare import connect, difference
 from shotweave.workloads import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
+# Queries whose thresholds leave no row of the smallest tables.
+MAY_BE_EMPTY = {"bipartite_core"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,7 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert difference(QUERIES[name](spark, FOLDER), con, SQL[name]) in (None, "empty")
+    assert difference(QUERIES[name](spark, FOLDER), con, SQL[name]) in ((None, "empty") if name in MAY_BE_EMPTY else (None,))
 
 
 def test_entry(spark):

@@ -82,6 +82,15 @@ def test_load_or_create(spark, tmp_path):
     for _ in range(2):
         assert writers.load_or_create(spark, str(tmp_path / "split"), create).count() == 3
     assert len(calls) == 1
+    (tmp_path / "half" / "_temporary").mkdir(parents=True)
+    assert writers.load_or_create(spark, str(tmp_path / "half"), create).count() == 3
+
+
+def test_regression_outputs_are_json_numbers(spark, tmp_path):
+    df = spark.createDataFrame([("do", "C", "-0.845"), ("do", "D", "12345678.0")], "instruction string, input string, output string")
+    writers.instructions(df, str(tmp_path / "r"), (), numbers=True)
+    lines = [json.loads(x) for f in (tmp_path / "r").glob("*.json") for x in f.read_text().splitlines()]
+    assert sorted(x["output"] for x in lines) == [-0.845, 12345678.0]
 
 
 def test_property_csv_and_catalogue(spark, tmp_path):

@@ -101,7 +101,9 @@ def test_fractions_must_add_up(spark):
 def test_mixes(spark):
     df = spark.range(17).selectExpr("id", "'t' AS task")
     shots = Counter(r["shot"] for r in splits.mix_01234(df, ["id"], ["task"]).collect())
-    assert shots == {0: 10, 1: 1, 2: 1, 3: 1, 4: 1}
+    assert shots == {0: 10, 1: 1, 2: 1, 3: 1, 4: 4}
+    dropped = Counter(r["shot"] for r in splits.mix_01234(df, ["id"], ["task"], drop_rest=True).collect())
+    assert dropped == {0: 10, 1: 1, 2: 1, 3: 1, 4: 1}
     five = spark.range(5).selectExpr("id", "'t' AS task")
     assert Counter(r["shot"] for r in splits.mix_0_4(five, ["id"], ["task"]).collect()) == {0: 2, 4: 3}
     rows = five.selectExpr("id", "task", "explode(array(0, 4)) AS shot", "'x' AS instruction")
