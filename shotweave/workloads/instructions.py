@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shotweave import catalog
 from shotweave.functions import labels as lab
-from shotweave.operators import melt, rows, splits
+from shotweave.functions import text as txt
+from shotweave.operators import melt, rows, similarity, splits
 from shotweave.plans import kshot
 from shotweave.session import cut_lineage, spread
 from shotweave.workloads.labelling import signed_labels
@@ -30,6 +31,7 @@ PROMPTS = {
     },
 }
 ZERO_SHOT = {"quality": "Judge the text. Use any language. Is it of high quality?\n", "toxic": "Is the text toxic?\n"}
+ZERO_SHOT_NUMBERS = {"mass": "Weigh the text. Give the number.\n", "share": "What share of the space does the text take?\n"}
 AUGMENTED = [
     ("documents", "quality", "rewrite", 0, "Rate this text. "), ("documents", "quality", "rewrite", 1, "Is it good?"),
     ("documents", "quality", "expand", 0, "Read the whole text with care. Is it of high quality?"),
@@ -131,11 +133,28 @@ def _doc_split(spark: SparkSession, d: str) -> DataFrame:
 def _zero_shot(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     long = melt.masked_labels(docs, table(spark, d, "labels"), "doc_id", ["quality", "toxic"])
+    return _zero_shot_rows(spark, d, long, ZERO_SHOT, "cla")
+
+
+def _zero_shot_rows(spark: SparkSession, d: str, long: DataFrame, texts: dict, kind: str) -> DataFrame:
+    docs = table(spark, d, "documents")
     held_out = _doc_split(spark, d).filter(F.col("split") == "test").select("doc_id")
     test = long.join(held_out, "doc_id").join(docs.select("doc_id", "text"), "doc_id").select(
         F.lit("documents").alias("dataset"), "task", F.col("doc_id").alias("row_id"), F.col("text").alias("smiles"), "label")
-    prompts = spark.createDataFrame([("documents", t, i) for t, i in ZERO_SHOT.items()], "dataset string, task string, instruction string")
-    return rows.zero_shot_rows(test, prompts)
+    prompts = spark.createDataFrame([("documents", t, i) for t, i in texts.items()], "dataset string, task string, instruction string")
+    return rows.zero_shot_rows(test, prompts, kind)
+
+
+def numeric_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Two regression tasks on the labelled documents: numbers of many digits, from 1e7 up and from 1e-3 down."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    wide = docs.select("doc_id", (F.col("n_chars") * 100000.125).alias("mass"), (F.col("n_chars") / 2.0**25).alias("share"))
+    return wide.unpivot(["doc_id"], ["mass", "share"], "task", "label")
+
+
+NUMERIC_SQL = """(SELECT doc_id, 'mass' AS task, n_chars * 100000.125::DOUBLE AS y FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT doc_id, 'share', n_chars / 33554432.0::DOUBLE FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
+NUMBER_TEXT_SQL = r"(CASE WHEN y < 1 THEN regexp_replace(y::VARCHAR::DECIMAL(38,37)::VARCHAR, '(\.\d+?)0+$', '\1') ELSE y::VARCHAR END)"
 
 
 ZERO_SQL = "WITH RECURSIVE" + greedy_sql("documents", "source", "doc_id") + f""",
@@ -151,6 +170,14 @@ def zero_shot_rows(spark, d):
     return _zero_shot(spark, d)
 
 
+@query("WITH RECURSIVE" + greedy_sql("documents", "source", "doc_id") + f"""
+SELECT 'documents' AS dataset, task, doc_id AS row_id, instruction, text AS input, {NUMBER_TEXT_SQL} AS output
+FROM {NUMERIC_SQL} l JOIN documents d USING (doc_id) JOIN assigned ON grp = source
+JOIN (VALUES {_values(ZERO_SHOT_NUMBERS.items())}) p(task, instruction) USING (task) WHERE split = 'test'""")
+def zero_shot_rows_reg(spark, d):
+    return _zero_shot_rows(spark, d, numeric_labels(spark, d), ZERO_SHOT_NUMBERS, "reg")
+
+
 @query(ZERO_SQL + f""",
 parts AS (SELECT * FROM (VALUES {_values(AUGMENTED)}) p(dataset, task, aug, i, text) WHERE aug <> 'name'),
 aug AS (SELECT dataset, task, aug, string_agg(text, '' ORDER BY i) AS instruction FROM parts GROUP BY ALL)
@@ -210,6 +237,27 @@ def render_template(spark, d):
         catalog.render(F.col("instruction"), F.col("input"), F.col("output")).alias("full_prompt"))
 
 
+@query(TURNS_SQL + """,
+tok AS (SELECT conv_id, turn,
+  list_append(list_filter(string_split_regex(prompt || output, '[ \\t\\n\\r]+'), lambda x: x <> ''), '</s>') AS f,
+  len(list_filter(string_split_regex(prompt, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS u FROM rendered)
+SELECT conv_id, turn, array_to_string(f[u + 1:], ' ') AS answer FROM tok""")
+def answer_tokens(spark, d):
+    made = rows.tokenized_rows(_turns(spark, d), keep=["conv_id", "turn"])
+    return made.select("conv_id", "turn", F.array_join(
+        txt.answer_tokens(F.col("tokens"), F.col("prompt_length")), " ").alias("answer"))
+
+
+@query(TURNS_SQL + """,
+tok AS (SELECT conv_id, turn, string_split(prompt || output, '.') AS f, string_split(prompt, '.') AS u FROM rendered)
+SELECT conv_id, turn, len(f) + CASE WHEN f[len(f)] = '' THEN 0 ELSE 1 END AS n_tokens, len(u) AS prompt_length FROM tok""")
+def custom_tokenizer(spark, d):
+    """Rows cut by a caller's tokenizer, here at full stops; its own empty last piece closes a text."""
+    made = rows.tokenized_rows(_turns(spark, d), keep=["conv_id", "turn"], end="", tokenize=lambda t: F.split(t, r"\.", -1))
+    return made.select("conv_id", "turn", F.size("tokens").cast("bigint").alias("n_tokens"),
+                       F.col("prompt_length").cast("bigint").alias("prompt_length"))
+
+
 @query(TURNS_SQL + """,
 tok AS (SELECT conv_id, turn,
   list_filter(string_split_regex(prompt || output, '[ \\t\\n\\r]+'), lambda x: x <> '')AS f,
@@ -234,21 +282,35 @@ def _kshot_inputs(spark: SparkSession, d: str):
     return entities, prints, instructions
 
 
-def _kshot_test(spark: SparkSession, d: str, style: str) -> DataFrame:
+def _kshot_test(spark: SparkSession, d: str, style: str, search=similarity.nearest) -> DataFrame:
     entities, prints, instructions = _kshot_inputs(spark, d)
     signed = signed_labels(spark, d).withColumnRenamed("doc_id", "key")
     zero_one = signed.withColumn("label", (F.col("label") + 1) / 2)
     both = cut_lineage(kshot.task_rows(prints, zero_one).join(_doc_split(spark, d).withColumnRenamed("doc_id", "key"), "key"))
     train, test = (both.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    return kshot.test_prompts(entities, test, train, instructions, style)
+    return kshot.test_prompts(entities, test, train, instructions, style, search=search)
 
 
-def _kshot_sql(pool: str, width: int, shots: tuple[int, ...], block: str, subject: str) -> str:
+def _kshot_regression(spark: SparkSession, d: str, style: str) -> DataFrame:
+    entities, prints, _ = _kshot_inputs(spark, d)
+    instructions = spark.createDataFrame(list(ZERO_SHOT_NUMBERS.items()), "task string, instruction string")
+    labels = numeric_labels(spark, d).withColumnRenamed("doc_id", "key")
+    both = cut_lineage(kshot.task_rows(prints, labels).join(_doc_split(spark, d).withColumnRenamed("doc_id", "key"), "key"))
+    train, test = (both.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    return kshot.test_prompts(entities, test, train, instructions, style, yes_no=False)
+
+
+CLASSES_SQL = "(SELECT doc_id, 'quality' AS task, quality AS y FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels)"
+CLASS_TEXT_SQL = "CASE WHEN y = 1 THEN 'Yes' ELSE 'No' END"
+
+
+def _kshot_sql(pool: str, width: int, shots: tuple[int, ...], block: str, subject: str, labels: str = CLASSES_SQL,
+               label: str = CLASS_TEXT_SQL, texts: dict = ZERO_SHOT) -> str:
     values = ", ".join(f"({s})" for s in shots)
     return "WITH RECURSIVE" + fp_sql("documents", "doc_id", "text", "docs") + "," + greedy_sql("documents", "source", "doc_id") + f""",
-inst AS (SELECT * FROM (VALUES {_values(ZERO_SHOT.items())}) p(task, instruction)),
-all_rows AS (SELECT l.doc_id AS key, l.task, CASE WHEN y = 1 THEN 'Yes' ELSE 'No' END AS label, text, split, fp
-  FROM (SELECT doc_id, 'quality' AS task, quality AS y FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) l
+inst AS (SELECT * FROM (VALUES {_values(texts.items())}) p(task, instruction)),
+all_rows AS (SELECT l.doc_id AS key, l.task, {label} AS label, text, split, fp
+  FROM {labels} l
   JOIN documents d USING (doc_id) JOIN assigned ON grp = source LEFT JOIN docs ON docs.key = l.doc_id),
 {pool},
 near AS (SELECT * FROM (
@@ -292,3 +354,35 @@ def kshot_test_far(spark, d):
 @query(_kshot_sql(TEST_POOL, 1_000_000, (2, 4, 6, 8), BALANCED_BLOCK, "'molecular property'"))
 def kshot_test_balanced(spark, d):
     return _kshot_test(spark, d, kshot.BALANCED)
+
+
+@query(_kshot_sql(TEST_POOL, 8, (1, 2, 3, 4, 6, 8), NEAR_BLOCK, "'molecular property'", NUMERIC_SQL, NUMBER_TEXT_SQL,
+                  ZERO_SHOT_NUMBERS))
+def kshot_test_near_reg(spark, d):
+    return _kshot_regression(spark, d, kshot.NEAR)
+
+
+@query(_kshot_sql(TEST_POOL, 8, (2, 3, 4, 6, 8), FAR_BLOCK, "'molecular property'", NUMERIC_SQL, NUMBER_TEXT_SQL,
+                  ZERO_SHOT_NUMBERS))
+def kshot_test_far_reg(spark, d):
+    return _kshot_regression(spark, d, kshot.FAR)
+
+
+# --- augmented styles ---------------------------------------------------------------------------------------------
+
+STYLED = [
+    ("property", "p_size", "rewrite", 0, "How large is the part?"), ("property", "p_size", "rewrite", 1, "State the size of the part."),
+    ("property", "p_retailprice", "rewrite", 0, "State the price."), ("property", "p_size", "shorten", 0, "Size?"),
+    ("property", "large", "rewrite", 0, "Would you call the part large?"),
+]
+
+
+@query("WITH" + MELT_SQL + f""",
+prompts AS (SELECT *, count(*) OVER (PARTITION BY task) AS n FROM (VALUES {_values([t[1:] for t in STYLED])}) p(task, aug, i, text)
+  WHERE aug = 'rewrite')
+SELECT p_name AS smiles, text, label, p_partkey::VARCHAR AS chemid, key AS assayid
+FROM long JOIN prompts ON task = key AND {_pick_sql(0, "p_partkey || ':' || key")}""")
+def property_instructions_styled(spark, d):
+    prompts = spark.createDataFrame(STYLED, "corpus string, task string, aug string, variant_no int, text string")
+    columns = ["p_size", "p_retailprice", "large"]
+    return rows.property_rows(_parts(spark, d), "p_partkey", "p_name", columns, rows.prompt_lists(prompts, "property", "rewrite"))

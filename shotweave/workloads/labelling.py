@@ -187,6 +187,17 @@ def label_negate(spark, d):
     return labels.select("l_orderkey", "l_linenumber", "l_partkey", "label", lab.negate_text(F.col("label")).alias("negated"))
 
 
+@query("""
+WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'Y' WHEN 2 THEN p_retailprice::VARCHAR ELSE p_brand END AS value FROM part)
+SELECT p_partkey, CASE value WHEN 'N' THEN 0 WHEN 'Y' THEN 1 ELSE TRY_CAST(value AS DOUBLE) END AS code FROM t
+""")
+def label_code(spark, d):
+    kind = F.col("p_size") % 4
+    value = (F.when(kind == 0, "N").when(kind == 1, "Y").when(kind == 2, F.col("p_retailprice").cast("string"))
+             .otherwise(F.col("p_brand")))
+    return table(spark, d, "part").select("p_partkey", lab.label_code(value).alias("code"))
+
+
 @query("""
 SELECT o_orderkey, kind, CASE kind WHEN 'cla' THEN o_totalprice > c_acctbal * 30 ELSE o_totalprice < c_acctbal * 30 END AS better
 FROM orders JOIN customer ON o_custkey = c_custkey

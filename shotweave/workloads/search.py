@@ -66,6 +66,16 @@ def fp_popcount(spark, d):
                         F.col("words")[0].alias("w0"), F.col("words")[1].alias("w1"))
 
 
+@query("""
+SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[2]::DOUBLE AS second, 2 AS n_basic, len(embedding) AS n_rich FROM embeddings
+""")
+def feature_slice(spark, d):
+    basic, rich = fpx.basic_features(F.col("embedding")), fpx.basic_features(F.col("embedding"), rich=True)
+    return table(spark, d, "embeddings").select(
+        "vec_id", basic[0].cast("double").alias("first"), basic[1].cast("double").alias("second"),
+        F.size(basic).cast("bigint").alias("n_basic"), F.size(rich).cast("bigint").alias("n_rich"))
+
+
 BOTH_SQL = "WITH" + bits_sql("documents", "doc_id", "text", "small") + "," + bits_sql(
     "documents", "doc_id", "text", "large", 2048, CIRCULAR_DIGIT) + """,
 mixed AS (SELECT key, bit FROM small UNION ALL SELECT key, bit + 192 FROM large)"""
@@ -213,3 +223,15 @@ def fp_incremental(spark, d):
     indexed = table(spark, d, "labels").select(F.col("doc_id").alias("key"))
     new = similarity.not_indexed(table(spark, d, "documents").select("doc_id", "text"), "doc_id", indexed)
     return _word_columns(similarity.fingerprint_table(new, "doc_id", "text"), "key")
+
+
+@query("WITH" + fp_sql("documents", "doc_id", "text", "docs") + """
+SELECT a.key AS doc_id, bit_count(xor(a.fp, b.fp))::BIGINT AS distance FROM docs a JOIN docs b ON b.key = a.key + 1""")
+def custom_distance(spark, d):
+    """A caller's own distance between fingerprints: the number of bits in which they differ."""
+    def differing(a, b):
+        return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, fpx.KEYS_WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+    words = document_words(spark, d).withColumnRenamed("key", "doc_id").filter("words IS NOT NULL")
+    pairs = similarity.pair_distances(_next_pairs(words.select("doc_id", "words")), differing, "words", "next_words")
+    return pairs.select("doc_id", F.col("distance").cast("bigint").alias("distance"))

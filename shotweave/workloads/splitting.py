@@ -147,6 +147,31 @@ def mix_01234(spark, d):
     return splits.mix_01234(_task_rows(spark, d), ["event_id"], ["event_type"], seed=5).select("event_id", "event_type", "shot")
 
 
+def _shot_tables(spark: SparkSession, d: str, shots: tuple[int, ...]) -> DataFrame:
+    """The per-shot tables a mixture selects from: one table of prompt rows for each shot count."""
+    rows = _task_rows(spark, d)
+    return melt.union_all(*[rows.select("event_id", "event_type", F.lit(s).alias("shot"), F.concat_ws(
+        " ", F.lit(f"{s} examples:"), "event_type", F.col("event_id").cast("string")).alias("input")) for s in shots])
+
+
+@query(f"""SELECT event_id, event_type, shot, shot || ' examples: ' || event_type || ' ' || event_id AS input
+FROM (SELECT event_id, event_type, CASE WHEN r <= floor(n / 2) THEN 0 ELSE 4 END AS shot FROM {rank_sql("events", "event_id", 5, "event_type")})""")
+def mix_rows_0_4(spark, d):
+    mix = splits.mix_0_4(_task_rows(spark, d), ["event_id"], ["event_type"], seed=5)
+    return splits.pick_shots(mix, _shot_tables(spark, d, (0, 4)), ["event_id", "event_type"])
+
+
+@query(f"""
+WITH c AS (SELECT event_id, event_type, r, floor(n * 0.6::DOUBLE) AS a, floor(n * 0.1::DOUBLE) AS b
+  FROM {rank_sql("events", "event_id", 5, "event_type")}),
+m AS (SELECT event_id, event_type, CASE WHEN r <= a THEN 0 WHEN r <= a + b THEN 1 WHEN r <= a + 2 * b THEN 2
+  WHEN r <= a + 3 * b THEN 3 ELSE 4 END AS shot FROM c)
+SELECT *, shot || ' examples: ' || event_type || ' ' || event_id AS input FROM m""")
+def mix_rows_01234(spark, d):
+    mix = splits.mix_01234(_task_rows(spark, d), ["event_id"], ["event_type"], seed=5)
+    return splits.pick_shots(mix, _shot_tables(spark, d, (0, 1, 2, 3, 4)), ["event_id", "event_type"])
+
+
 @query(f"SELECT o_orderkey, r - 1 AS pos FROM {rank_sql('orders', 'o_orderkey', 42)}")
 def shuffle_rows(spark, d):
     return splits.shuffle_positions(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=42)
