@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotweave.plans.ranking import running_totals
-
 
 def margin_score(yes_logit: Column, no_logit: Column) -> Column:
     """Score of the Yes class."""
@@ -45,10 +45,16 @@ def roc_auc(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "score"
     per_score = df.filter(F.col(y) >= 0).groupBy(*by, score).agg(
         F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_q")
     )
-    running = running_totals(per_score, by, [score], {"_q": "_q_to"})
-    pairs = F.col("_p").cast("double") * (F.col("_q_to") - F.col("_q") + F.col("_q") / F.lit(2.0))
-    sums = running.groupBy(*by).agg(
-        F.sum("_p").alias("positives"), F.sum("_q").alias("_negatives"), F.sum(pairs).alias("_pairs")
+    ordered = per_score.repartitionByRange(*by, score).sortWithinPartitions(*by, score).select(*by, "_p", "_q")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", _p bigint, _q bigint, _pairs double, _piece int"
+    pieces = ordered.mapInPandas(_piece_sums(by), schema)
+    # One row per group and partition; what lies in earlier partitions counts as lower scores for all of a piece.
+    before = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    sums = pieces.withColumn("_before", before).groupBy(*by).agg(
+        F.sum("_p").alias("positives"), F.sum("_q").alias("_negatives"),
+        F.sum(F.col("_pairs") + F.col("_p").cast("double") * F.col("_before")).alias("_pairs")
     )
     scorable = (F.col("positives") > 0) & (F.col("_negatives") > 0)
     auc = F.when(scorable, F.col("_pairs") / F.col("positives") / F.col("_negatives")).otherwise(F.lit(0.0))
@@ -59,6 +65,33 @@ def roc_auc(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "score"
     return scored
 
 
+def _piece_sums(by: list[str]):
+    """Per group of a sorted partition: positives, negatives, and pairs of a positive over a lower negative (ties half)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece = TaskContext.get().partitionId()
+        held = None
+        for frame in frames:
+            groups = frame.groupby(by, dropna=False, sort=False) if by else frame.groupby(lambda _: 0)
+            frame["_pairs"] = frame["_p"] * (groups["_q"].cumsum() - frame["_q"] / 2.0)
+            sums = groups[["_p", "_q", "_pairs"]].sum()
+            sums = (sums.reset_index() if by else sums)[[*by, "_p", "_q", "_pairs"]].assign(_piece=piece)
+            if held is not None:
+                same = all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(held[by].iloc[0], sums[by].iloc[0]))
+                if same:
+                    negatives = held["_q"].iloc[0]
+                    sums.loc[sums.index[0], "_pairs"] += held["_pairs"].iloc[0] + sums["_p"].iloc[0] * negatives
+                    sums.loc[sums.index[0], "_p"] += held["_p"].iloc[0]
+                    sums.loc[sums.index[0], "_q"] += negatives
+                else:
+                    yield held
+            yield sums.iloc[:-1]
+            held = sums.iloc[-1:]
+        if held is not None:
+            yield held
+
+    return run
+
+
 def missing_ratio(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of tasks without a score, and the mean score of the others."""
     return scored.groupBy(*by).agg(

@@ -32,6 +32,7 @@ from shotweave.session import cut_lineage, task_slots
 BLOCK_ROWS = 2048
 BAND_RATIO = 1.15
 TWO_STEP_BLOCKS = 16
+FEW_QUERIES = 20_000
 SMALL_BUCKET = 256
 GROUP = "_all"
 SLACK = 1e-12
@@ -320,6 +321,57 @@ def nearest(queries: DataFrame, candidates: DataFrame | None, k: int, by: Sequen
     return _per_row(q_rows, best, inner, k, exclude_self, by)
 
 
+def nearest_few(queries: DataFrame, candidates: DataFrame, k: int, max_queries: int = FEW_QUERIES) -> DataFrame:
+    """Exact :func:`nearest` for a query side that is small: ``(query_id, rank, key, distance)``.
+
+    The queries' fingerprints go to every task (their number is checked against ``max_queries`` first; beyond it
+    :func:`nearest` takes over). Each task reads its candidates once and keeps the best ``k`` per query, so the corpus is neither
+    written nor shuffled; only ``queries * k`` rows per task are.
+    """
+    asked = queries.select(F.col("key").cast("bigint").alias("key"), fpx.words_to_bytes(F.col("words")).alias("fp")).filter(
+        "fp IS NOT NULL").limit(max_queries + 1).collect()
+    if len(asked) > max_queries:
+        return nearest(queries, candidates, k)
+    ids = np.array([r["key"] for r in asked], np.int64)
+    q_bits = np.frombuffer(b"".join(bytes(r["fp"]) for r in asked), np.uint32).reshape(len(asked), -1).T.copy() if asked else None
+
+    def first(row: np.ndarray, dist: np.ndarray, key: np.ndarray):
+        sort = np.lexsort((key, dist, row))
+        row, dist, key = row[sort], dist[sort], key[sort]
+        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+        return row[keep], dist[keep], key[keep]
+
+    def run(batches):
+        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for batch in batches:
+            if q_bits is None or not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            values = batch.column(1)
+            ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+            c_bits = np.frombuffer(values.buffers()[2], np.uint32, (ends[-1] - ends[0]) // 4, int(ends[0])).reshape(len(keys), -1).T
+            q_pc, c_pc = np.bitwise_count(q_bits).sum(0, dtype=np.int64), np.bitwise_count(c_bits).sum(0, dtype=np.int64)
+            for lo in range(0, len(keys), 2048):
+                part = slice(lo, lo + 2048)
+                shared = np.zeros((len(ids), len(keys[part])), np.int64)
+                for q, c in zip(q_bits, c_bits):
+                    shared += np.bitwise_count(q[:, None] & c[part])
+                union = q_pc[:, None] + c_pc[part] - shared
+                dist = np.where((q_pc[:, None] > 0) & (c_pc[part] > 0), 1.0 - shared / np.maximum(union, 1), np.inf)
+                limit = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
+                row, at = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+                best = first(*(np.concatenate(x) for x in zip(best, (row, dist[row, at], keys[part][at]))))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])],
+                                         names=["query_id", "key", "distance"])
+
+    packed = candidates.select(F.col("key").cast("bigint").alias("key"), fpx.words_to_bytes(F.col("words")).alias("fp")).filter(
+        "fp IS NOT NULL")
+    hits = packed.mapInArrow(run, "query_id bigint, key bigint, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "key")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "key", "distance")
+
+
 # --- MinHash bands ----------------------------------------------------------------------------------------------
 
 

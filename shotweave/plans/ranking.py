@@ -68,7 +68,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     """
     by, order = list(by), list(order)
     pieces = cut_lineage(
-        df.repartitionByRange(task_slots(df.sparkSession), *by, *order).withColumn("_piece", F.spark_partition_id())
+        df.repartitionByRange(*by, *order).withColumn("_piece", F.spark_partition_id())
     )
     pieces = pieces.withColumn("_k", F.struct(F.struct(F.lit(0).alias("_all"), *by).alias("g"), "_piece"))
     totals = pieces.groupBy("_k").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shotweave.functions import fingerprints as fpx
 from shotweave.operators import similarity
 from shotweave.plans.ranking import hash_uniform
+from shotweave.plans.skew import lookup_join
 from shotweave.session import cut_lineage, spread
 from shotweave.workloads.registry import query, table
 
@@ -153,11 +154,18 @@ SELECT query_id, rank, key, distance FROM (
   FROM {queries} q, {candidates} c WHERE {extra}) WHERE rank <= {k}"""
 
 
-@query("WITH" + fp_sql("documents", "doc_id", "text", "docs") + "," + fp_sql("benchmark", "item_id", "text", "items")
-       + knn_sql("items", "docs", 8))
+@query("WITH" + fp_sql("documents", "doc_id", "text", "docs") + "," + fp_sql("benchmark", "item_id", "text", "items") + ",\n"
+       + "near AS (" + knn_sql("items", "docs", 8) + """)
+SELECT near.*, text AS smiles, quality AS label FROM near JOIN documents ON doc_id = key LEFT JOIN labels USING (doc_id)""")
 def knn_topk(spark, d):
+    """Few queries against the whole corpus; string and label of each neighbour are read by the keys found."""
     items = similarity.fingerprint_table(table(spark, d, "benchmark"), "item_id", "text")
-    return similarity.nearest(items, document_words(spark, d), 8)
+    found = cut_lineage(similarity.nearest_few(items, document_words(spark, d), 8))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("smiles"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    wanted = lookup_join(labels, found.select("key").distinct(), ["key"], [], "left_semi")
+    return lookup_join(docs, found, ["key"], []).join(wanted, "key", "left").select(
+        "query_id", "rank", "key", "distance", "smiles", "label")
 
 
 NOSELF_SQL = "WITH" + fp_sql("documents", "doc_id", "text", "docs") + knn_sql("docs", "docs", 4, "q.key <> c.key")

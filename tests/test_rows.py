@@ -159,3 +159,22 @@ def test_dense_core(spark):
     assert {(r[0], r[1]): r[2] for r in got.collect()} == core and core
     assert graph.dense_core(got, threshold=5, threshold_pos_neg=4).count() == len(core)
     assert graph.dense_core(df, threshold=100).count() == 0
+
+
+def test_auc_of_a_hot_group_over_many_pieces(spark):
+    import random
+
+    from shotweave.operators import metrics
+    rng = random.Random(3)
+    rows = [("hot" if i % 5 else None, rng.randrange(400), int(rng.random() < 0.4)) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "task string, score int, y int")
+        got = {r["task"]: r["auc"] for r in metrics.roc_auc(df, ["task"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for task in ("hot", None):
+        mine = [(s, y) for t, s, y in rows if t == task]
+        pos, neg = [s for s, y in mine if y], [s for s, y in mine if not y]
+        wins = sum((a > b) + (a == b) / 2 for a in pos for b in neg)
+        assert abs(got[task] - wins / len(pos) / len(neg)) < 1e-12

@@ -141,3 +141,15 @@ def test_search_plan_limits_before_the_shuffle(spark, rows, capsys):
     order = Window.partitionBy("task", "words").orderBy("key")
     table.withColumn("n", F.row_number().over(order)).filter("n <= 5").explain()
     assert capsys.readouterr().out.count("WindowGroupLimit") == 2
+
+
+def test_few_queries_equal_the_block_search(spark):
+    rows = make_rows()
+    table = frame(spark, rows)
+    few = table.filter("key < 300")
+    for k in (1, 5, 400):
+        want = similarity.nearest(few.select("key", "words"), table.select("key", "words"), k)
+        got = similarity.nearest_few(few, table.repartition(3), k)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    assert similarity.nearest_few(few, table, 2, max_queries=3).count() == similarity.nearest_few(few, table, 2).count()
+    assert similarity.nearest_few(few.limit(0), table, 2).count() == 0
