@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def roc_auc(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "score"
     ordered = per_score.repartitionByRange(*by, score).sortWithinPartitions(*by, score).select(*by, "_p", "_q")
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", _p bigint, _q bigint, _pairs double, _piece int"
-    pieces = ordered.mapInPandas(_piece_sums(by), schema)
+    pieces = ordered.mapInArrow(_piece_sums(by), schema)
     # One row per group and partition; what lies in earlier partitions counts as lower scores for all of a piece.
     before = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
@@ -67,31 +68,50 @@ def roc_auc(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "score"
 
 def _piece_sums(by: list[str]):
     """Per group of a sorted partition: positives, negatives, and pairs of a positive over a lower negative (ties half)."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId()
-        held = None
-        for frame in frames:
-            groups = frame.groupby(by, dropna=False, sort=False) if by else frame.groupby(lambda _: 0)
-            frame["_pairs"] = frame["_p"] * (groups["_q"].cumsum() - frame["_q"] / 2.0)
-            sums = groups[["_p", "_q", "_pairs"]].sum()
-            sums = (sums.reset_index() if by else sums)[[*by, "_p", "_q", "_pairs"]].assign(_piece=piece)
-            if held is not None:
-                same = all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(held[by].iloc[0], sums[by].iloc[0]))
-                if same:
-                    negatives = held["_q"].iloc[0]
-                    sums.loc[sums.index[0], "_pairs"] += held["_pairs"].iloc[0] + sums["_p"].iloc[0] * negatives
-                    sums.loc[sums.index[0], "_p"] += held["_p"].iloc[0]
-                    sums.loc[sums.index[0], "_q"] += negatives
+        open_key, open_sums = None, None
+
+        def emit(keys: list, sums: list, types: list) -> pa.RecordBatch:
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*keys), types)]
+            p, q, pairs = zip(*sums)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(pairs, pa.float64()),
+                                               pa.array([piece] * len(sums), pa.int32())], names=[*by, "_p", "_q", "_pairs", "_piece"])
+
+        types = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(c).type for c in by]
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))))) or [()] * batch.num_rows
+            p, q = (batch.column(len(by) + k).to_numpy() for k in range(2))
+            new = [0, *(i for i in range(1, len(keys)) if not _same(keys[i], keys[i - 1]))]
+            size = np.diff([*new, len(keys)])
+            total = np.cumsum(q)
+            before = np.repeat(total[new] - q[new], size)
+            pairs = np.add.reduceat(p * (total - before - q / 2.0), new)
+            rows = list(zip(np.add.reduceat(p, new).tolist(), np.add.reduceat(q, new).tolist(), pairs.tolist()))
+            heads = [keys[i] for i in new]
+            if open_sums is not None:
+                if _same(open_key, heads[0]):
+                    (p0, q0, r0), (p1, q1, r1) = open_sums, rows[0]
+                    rows[0] = p0 + p1, q0 + q1, r0 + r1 + p1 * q0
                 else:
-                    yield held
-            yield sums.iloc[:-1]
-            held = sums.iloc[-1:]
-        if held is not None:
-            yield held
+                    heads.insert(0, open_key)
+                    rows.insert(0, open_sums)
+            if len(rows) > 1:
+                yield emit(heads[:-1], rows[:-1], types)
+            open_key, open_sums = heads[-1], rows[-1]
+        if open_sums is not None:
+            yield emit([open_key], [open_sums], types)
 
     return run
 
 
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
 def missing_ratio(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of tasks without a score, and the mean score of the others."""
     return scored.groupBy(*by).agg(
