@@ -23,6 +23,7 @@ CHUNK_ERRORS = 1
 PAIRS_PER_TASK_KEY = 500
 SKETCH_SYMBOLS = 64
 SKETCH_DISTANCE = 32
+PARITY_BITS = 1024
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +92,20 @@ def signature_keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return np.stack(keys, 1), np.stack(sketch, 1)
 
 
+def parity_sketch(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per row ``PARITY_BITS`` bits as longs: whether an odd number of its shingles fall on a bit. The bits in which two rows differ
+    are those of their symmetric difference, so there are never more of them than shingles in it."""
+    rows = len(offsets) - 1
+    at = np.repeat(np.arange(rows), np.diff(offsets)) * PARITY_BITS + (values & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=rows * PARITY_BITS).reshape(rows, PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
+def parity_distance(x: str, y: str) -> Column:
+    words = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PARITY_BITS // 64)]
+    return sum(words[1:], words[0])
+
+
 def sketch_distance(x: str, y: str) -> Column:
     """Number of symbols in which two sketches (arrays of longs) differ."""
     total = F.lit(0)
@@ -103,8 +118,11 @@ def sketch_distance(x: str, y: str) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, h1, h2, keys, sketch``: set size, 128-bit digest of the set, index keys (none for an empty set), and
-    the signature."""
+    """``doc_id, n_shingles, h1, h2, keys, sketch, parity``: set size, 128-bit digest of the set, index keys (none for an empty set),
+    the signature and the parity sketch."""
+    def longs(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             values, offsets = shingles(*flat_text(piece, "text"))
@@ -117,11 +135,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 pa.array(keys[n > 0].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)),
                                               pa.array(h2.view(np.int64)), lists,
-                                              pa.array(list(sketch.view(np.int64)), pa.list_(pa.int64()))],
-                                             names=["doc_id", "n_shingles", "h1", "h2", "keys", "sketch"])
+                                              longs(sketch.view(np.int64)), longs(parity_sketch(values, offsets))],
+                                             names=["doc_id", "n_shingles", "h1", "h2", "keys", "sketch", "parity"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sketch array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, "
+                                "sketch array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,9 +161,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``a`` may be the same document for many pairs: such documents are counted, the hot ones (at most 1000) get one copy of
     their set per ``PAIRS_PER_TASK_KEY`` pairs, and their pairs are dealt over the copies.
     """
-    degree = cut_lineage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_PER_TASK_KEY)
-                         .orderBy(F.desc("n")).limit(1000)
-                         .select("a", F.ceil(F.col("n") / PAIRS_PER_TASK_KEY).cast("int").alias("copies")))
+    degree = (pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_PER_TASK_KEY)
+              .orderBy(F.desc("n"), "a").limit(1000)
+              .select("a", F.ceil(F.col("n") / PAIRS_PER_TASK_KEY).cast("int").alias("copies")))
     salted = pairs.join(F.broadcast(degree), "a", "left").select(
         "a", "b", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("copies"))).cast("int").alias("s"))
     copies = sets.join(F.broadcast(degree), sets["doc_id"] == degree["a"], "left").select(
@@ -184,20 +203,19 @@ def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
                          .select("key", "doc_id", "pivot"))
     stars = cut_lineage(placed.filter("doc_id != pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(
         F.count(F.lit(1)).alias("n")).select("a", "b"))
-    wanted = cut_lineage(placed.select("doc_id").distinct())
+    wanted = placed.select("doc_id").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     maybe, _ = split_by_ids(source, wanted)
     sets = cut_lineage(shingle_sets(maybe).join(wanted, "doc_id", "left_semi"))
     links = cut_lineage(confirmed(stars, sets, percent))
     labels = connected_components(links)
-    more = cut_lineage(_open_pairs(placed, labels, stars, rows.select("doc_id", "n_shingles", "sketch"), percent))
+    more = cut_lineage(_open_pairs(placed, labels, stars, rows.select("doc_id", "n_shingles", "sketch", "parity"), percent))
     if not more.isEmpty():
         links = cut_lineage(links.unionByName(confirmed(more, sets, percent)))
         labels = connected_components(links)
-    labels = cut_lineage(labels)
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "size", F.coalesce("component", "rep").alias("class_component"))
-    out = join_groups(narrow, cut_lineage(classes), ["h1", "h2"], "size")
+    out = join_groups(narrow, classes, ["h1", "h2"], "size")
     out = out.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_component", "component", "doc_id").alias("component_id")
                       ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -207,19 +225,22 @@ def _open_pairs(placed: DataFrame, labels: DataFrame, done: DataFrame, rows: Dat
     """Distinct pairs of bucket members in different components that were not compared yet.
 
     Buckets whose members all lie in one component are left out, so a group of near copies is never expanded into its pairs.
-    Of the rest come only pairs whose sizes allow the similarity and whose signatures differ in at most ``SKETCH_DISTANCE`` of
-    ``SKETCH_SYMBOLS`` symbols (a pair at similarity 0.75 differs in more with probability 1e-7); documents that merely share a
-    frequent passage go no further than this test inside the join.
+    Of the rest come only pairs that can still be similar. Sets with intersection I and union U have I + U shingles together and U - I in
+    their symmetric difference; so at similarity p the difference is at most (1 - p) / (1 + p) of the sum of sizes, and the
+    parity sketches differ in no more bits. This test loses nothing and settles sets up to about a thousand shingles. For larger
+    ones the signatures must not differ in more than ``SKETCH_DISTANCE`` of ``SKETCH_SYMBOLS`` symbols (a pair at similarity 0.75
+    does with probability 1e-7). Both run inside the join, so documents that merely share passages leave no rows.
     """
-    named = cut_lineage(placed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    named = placed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     left = cut_lineage(named.join(mixed, "key", "left_semi").join(rows.dropDuplicates(["doc_id"]), "doc_id").select(
         "key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"),
-        F.col("sketch").alias("sa")))
-    right = left.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
+        F.col("sketch").alias("sa"), F.col("parity").alias("pa")))
+    right = left.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("sa").alias("sb"), F.col("pa").alias("pb"))
     close = ((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
              & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+             & (F.lit(100 + percent) * parity_distance("pa", "pb") <= F.lit(100 - percent) * (F.col("na") + F.col("nb")))
              & (sketch_distance("sa", "sb") <= SKETCH_DISTANCE))
     left, right = afresh(left, "key"), afresh(right, "key").withColumnRenamed("key", "other_key")
     pairs = left.join(right, (F.col("key") == F.col("other_key")) & close).select("a", "b").distinct()

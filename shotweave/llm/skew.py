@@ -16,7 +16,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     """Left join of ``rows`` to ``groups`` (one row per key, ``size`` = its number of rows in ``rows``).
 
     Groups with more than a thousandth of the grouped rows, at most 1000 by arithmetic, are broadcast; the keys left for
-    the shuffled join are all small. ``groups`` should be a checkpoint, as its size is measured.
+    the shuffled join are all small. ``groups`` is read twice, its size is measured first.
     """
     keys = list(keys)
     total = groups.agg(F.sum(size)).first()[0] or 0
@@ -35,19 +35,20 @@ def afresh(df: DataFrame, key: str) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` for every end of ``edges(a, b)``; the component is its smallest node.
+    """``node, component`` for every end of ``edges(a, b)`` (a checkpoint or table, it is read in every round); the component is its
+    smallest node.
 
     Every round takes the smallest label of the neighbours and then the label of that label, so distances halve; the number of
-    rounds grows with the logarithm of the longest path. Tables are checkpointed each round. Minima are pre-aggregated, joins
+    rounds grows with the logarithm of the longest path. Labels are checkpointed once a round. Minima are pre-aggregated, joins
     on hot nodes can be split by the adaptive planner.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component"))
     while True:
         near = afresh(both, "a").join(afresh(labels, "node").withColumnRenamed("node", "a"), "a")
         low = near.groupBy(F.col("b").alias("node")).agg(F.min("component").alias("low"))
-        step = cut_lineage(labels.join(low, "node", "left").select(
-            "node", F.least("component", "low").alias("component"), F.col("component").alias("old")))
+        step = labels.join(low, "node", "left").select(
+            "node", F.least("component", "low").alias("component"), F.col("component").alias("old"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
         jumped = cut_lineage(afresh(step, "component").join(afresh(up, "component"), "component", "left").select(
             "node", F.least("component", F.coalesce("top", "component")).alias("component"), "old"))
