@@ -407,7 +407,8 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
     Tanimoto similarity of bit sets is their Jaccard similarity, so a candidate of
     similarity s is seen with probability ``1 - (1 - s**rows)**bands``. Buckets of up
     to ``SMALL_BUCKET`` candidates are equi-joined; larger ones go through the block
-    search, which emits top-k rows instead of pairs and splits any bucket over tasks. No bucket is capped.
+    search, which emits top-k rows instead of pairs and splits any bucket over tasks. No bucket is capped. Queries that
+    the bands leave with fewer than ``k`` are searched exactly, so every query gets ``k`` rows if that many candidates exist.
     """
     inner = [*by, GROUP]
     exclude_self = candidates is None
@@ -453,7 +454,13 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
         from_large = _search_blocks(hot_q, hot_c, layout, bucket, keep, lambda b: F.lit(True))
         hits = from_small.unionByName(from_large.select(*inner, "fp", "distance", "key"))
     hits = hits.dropDuplicates([*inner, "fp", "key"])
-    return _per_row(q_rows, _best_rows(hits, inner, keep), inner, k, exclude_self, by)
+    best = cut_lineage(_best_rows(hits, inner, keep))
+    asked = distinct_c.drop("members") if exclude_self else _distinct(q_rows, inner, 1).drop("members")
+    short = cut_lineage(asked.join(best.filter(F.size("hits") >= keep), [*inner, "fp"], "left_anti"))
+    if not short.isEmpty():
+        rest = _exact(short, distinct_c, inner, keep, 0.0, block_rows, None)
+        best = best.filter(F.size("hits") >= keep).unionByName(rest)
+    return _per_row(q_rows, best, inner, k, exclude_self, by)
 
 
 # --- quality of a search ----------------------------------------------------------------------------------------
