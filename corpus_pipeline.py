@@ -54,10 +54,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``."""
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), len(STAGES) - 1
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
+        if k == last:
             return out
-        docs = scratch.write(out)
+        written = scratch.write(out)
+        if k:
+            scratch.drop(docs)
+        docs = written
     return docs
