@@ -24,7 +24,7 @@ from shotweave.llm.flat import flat_text, gather, pieces, prefix_hash, ramp, str
 from shotweave.llm.registry import query, table
 
 NO_RANK = np.int64(1) << 40
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 # The code points of the property White_Space.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -36,12 +36,11 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 def char_classes() -> np.ndarray:
     """Class of every code point, from the Unicode properties L and N."""
     table_ = np.zeros(0x110000, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
-    at = np.array(points)
-    for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-        for m in regex.finditer(pattern, text):
-            table_[at[m.start():m.end()]] = value
+    for block in range(0, 0x110000, 0x1000):
+        text = "".join(map(chr, range(block, block + 0x1000)))
+        for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+            for m in regex.finditer(pattern, text):
+                table_[block + m.start():block + m.end()] = value
     table_[WHITE] = SPACE
     return table_
 

@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     tags = repeated_strings(docs, width, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             lists = batch.column(3)
             items = lists.flatten()
             cuts = np.r_[0, np.cumsum(np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)))].astype(int)

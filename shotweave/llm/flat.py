@@ -6,6 +6,9 @@ of an odd number, so the hash of any stretch of the array is one subtraction and
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +21,18 @@ BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers live on from stage to stage, and what their allocators keep adds up beside the
+    memory of the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, target: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into slices of about ``target`` text bytes; one longer text is a slice of its own."""
+    """Cut record batches into slices of about ``target`` text bytes; one longer text is a slice of its own. Memory is given back
+    when a batch is done."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -28,6 +41,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, target: int = CHUNK_B
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch, sizes, block
+        release()
 
 
 def flat_text(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:

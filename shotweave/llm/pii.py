@@ -122,7 +122,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 4 << 20):
+        for piece in pieces(batches, "text"):
             base, seen = [], []
             for text in piece.column(1).to_pylist():
                 text = text or ""
@@ -217,7 +217,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             i, j = batch.schema.get_field_index(text_col), batch.schema.get_field_index(found_spans)
             texts = [None if t is None else clean(t, s)
                      for t, s in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist())]
