@@ -29,8 +29,7 @@ DIM = 32
 NOISE = 8
 BATCH = 2048
 EPOCHS = 3
-DRAWS_PER_ROW = 2
-MAX_DRAWS = 400_000
+ROWS_PER_PART = 400_000
 RATE = 0.15
 
 
@@ -158,36 +157,42 @@ class LogBilinear:
             out[u * SYMBOLS:(u + 1) * SYMBOLS] = s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
         return out
 
-    def train(self, codes: np.ndarray, counts: np.ndarray, draws: int, seed: int) -> None:
-        """Noise-contrastive estimation by Adagrad on positions drawn in proportion to their counts."""
+    def train(self, codes: np.ndarray, counts: np.ndarray, least: int, seed: int) -> None:
+        """Noise-contrastive estimation by Adagrad in whole passes over all rows, as many as show ``least`` rows, at least one.
+
+        In every pass a row weighs its count: rows above the mean count are shown several times with equal parts of it (so no single
+        step is ruled by one row), all others once. That makes fewer than twice as many steps as rows."""
         rng = np.random.default_rng(seed)
-        ends = np.cumsum(counts)
+        times = np.ceil(counts / counts.mean()).astype(np.int64)
+        shown = np.repeat(np.arange(len(codes)), times)
+        weights = counts / counts.mean() / times
         noise_ends = np.cumsum(self.noise)
         log_kq = np.log(NOISE * self.noise)
         squares = [np.full(p.shape, 1e-2) for p in self.parameters()]
-        for _ in range(max(1, draws // BATCH)):
-            code = codes[np.searchsorted(ends, rng.random(BATCH) * ends[-1], side="right").clip(max=len(codes) - 1)]
+        for at in (part for _ in range(max(1, -(-least // len(shown))))
+                   for part in np.array_split(rng.permutation(shown), -(-len(shown) // BATCH))):
+            code, size = codes[at], len(at)
             s, context = code % SYMBOLS, code // SYMBOLS
             u, v = context // SYMBOLS, context % SYMBOLS
             x = self.one * self.r[u] + self.two * self.r[v]
-            noise = np.searchsorted(noise_ends, rng.random((BATCH, NOISE)), side="right").clip(max=SYMBOLS - 1)
+            noise = np.searchsorted(noise_ends, rng.random((size, NOISE)), side="right").clip(max=SYMBOLS - 1)
             tried = np.concatenate([s[:, None], noise], 1)
             q = self.q[tried]
             score = np.einsum("bd,bkd->bk", x, q) + self.b[tried] - log_kq[tried]
             g = 1 / (1 + np.exp(-score.clip(-30, 30)))
             g[:, 0] -= 1
-            g /= BATCH
+            g *= weights[at, None] / size
             gx = np.einsum("bk,bkd->bd", g, q)
             grads = [np.zeros_like(self.r), np.zeros_like(self.q), (gx * self.r[u]).sum(0), (gx * self.r[v]).sum(0),
                      np.bincount(tried.ravel(), g.ravel(), SYMBOLS)]
-            one_hot = np.zeros((SYMBOLS, BATCH))
-            one_hot[u, np.arange(BATCH)] = 1
+            one_hot = np.zeros((SYMBOLS, size))
+            one_hot[u, np.arange(size)] = 1
             grads[0] = one_hot @ (gx * self.one)
-            one_hot[u, np.arange(BATCH)] = 0
-            one_hot[v, np.arange(BATCH)] = 1
+            one_hot[u, np.arange(size)] = 0
+            one_hot[v, np.arange(size)] = 1
             grads[0] += one_hot @ (gx * self.two)
-            weight = np.zeros((SYMBOLS, BATCH))
-            np.add.at(weight, (tried.ravel(), np.repeat(np.arange(BATCH), NOISE + 1)), g.ravel())
+            weight = np.zeros((SYMBOLS, size))
+            np.add.at(weight, (tried.ravel(), np.repeat(np.arange(size), NOISE + 1)), g.ravel())
             grads[1] = weight @ x
             for p, grad, square in zip(self.parameters(), grads, squares):
                 square += grad * grad
@@ -195,13 +200,16 @@ class LogBilinear:
 
 
 def fit(trigrams: DataFrame, epochs: int = EPOCHS) -> LogBilinear:
-    """Train on the counts of all positions, wherever they lie: in every epoch each partition of the count table (at most
-    ``SYMBOLS``³ rows in all, whatever the corpus) improves its own copy of the parameters, and the copies are averaged by the
-    mass they have seen. A copy is about 70 kB; one per partition comes back."""
-    unigram = np.zeros(SYMBOLS)
-    for r in trigrams.groupBy((F.col("code") % SYMBOLS).alias("s")).agg(F.sum("c").alias("c")).collect():
+    """Train on every row of the count table (at most ``SYMBOLS``³ rows, whatever the corpus): in every epoch each partition improves
+    its own copy of the parameters in whole passes over its rows, weighted by their counts, and the copies are averaged by the mass
+    they have seen. A larger table has more partitions, of about ``ROWS_PER_PART`` rows. A copy is about 140 kB; one per partition
+    comes back."""
+    unigram, rows = np.zeros(SYMBOLS), 0
+    for r in trigrams.groupBy((F.col("code") % SYMBOLS).alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
         unigram[r["s"]] = r["c"]
+        rows += r["n"]
     model = LogBilinear.start(unigram)
+    trigrams = trigrams.repartition(max(1, -(-rows // ROWS_PER_PART)), "code")
     for epoch in range(epochs):
         params, noise = model.parameters(), model.noise
 
@@ -212,7 +220,7 @@ def fit(trigrams: DataFrame, epochs: int = EPOCHS) -> LogBilinear:
                 return
             counts = np.concatenate([c for _, c in parts])
             own = LogBilinear(*(p.copy() for p in params), noise)
-            own.train(codes, counts, min(DRAWS_PER_ROW * len(codes) + 20 * BATCH, MAX_DRAWS), 100 * epoch + int(codes[0] % 97))
+            own.train(codes, counts, 20 * BATCH, 100 * epoch + int(codes[0] % 97))
             raw = np.concatenate([p.ravel() for p in own.parameters()]).astype("<f8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([float(counts.sum())]), pa.array([raw], pa.binary())], names=["mass", "raw"])
 

@@ -313,6 +313,22 @@ def test_language_model_is_normalised():
     assert np.allclose(np.exp(model.table().astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_language_model_trains_on_every_row():
+    seen = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            seen.append(np.asarray(at))
+            return np.asarray(self)[at]
+
+    rng = np.random.default_rng(2)
+    counts = np.r_[rng.integers(1, 4, 3 * lm.BATCH), 5000]
+    model = lm.LogBilinear.start(rng.integers(0, 100, lm.SYMBOLS))
+    model.train(np.sort(rng.integers(0, lm.SYMBOLS ** 3, len(counts))).view(Watched), counts, lm.BATCH, 1)
+    times = np.bincount(np.concatenate(seen), minlength=len(counts))
+    assert (times == np.ceil(counts / counts.mean())).all() and times.sum() < 2 * len(counts)
+
+
 def test_contexts_do_not_cross_rows():
     target, code = lm.contexts(np.array([5, 6, 7, 8]), np.array([0, 2, 2, 4]))
     assert target.tolist() == [5, 6, 0, 0, 7, 8, 0]
