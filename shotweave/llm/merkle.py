@@ -12,26 +12,61 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm.flat import CHUNK_BYTES, flat_text, mix, pieces, prefix_hash, stretch_hash, words_of
+from shotweave.llm.flat import CHUNK_BYTES, flat_text, mix, pieces, prefix_hash, ramp, stretch_hash, words_of
 from shotweave.llm.registry import query, table
 from shotweave.session import cut_lineage
 
 PIECE_WORDS = 2
 SECTION_PARAGRAPHS = 4
 DIGEST = 8          # hex digits of an inner node
-LEAF = 5            # hex digits of a leaf
+LEAF = 5            # hex digits of a leaf, at least; see leaf_digits
+LONG = 64           # bytes after which a piece is cut inside
+CUT_BYTES = 16      # one in so many places inside a long piece is a cut
+WINDOW = 8          # bytes that decide on a cut
 ROWS_PER_RANGE = 500
 MAX_RANGES = 100_000
 FIRST = -(1 << 63)
 
 
+def leaf_digits(leaves: int) -> int:
+    """Hex digits of every leaf of a tree: so many that a leaf has its like in an unrelated tree of that size with a chance of at most
+    1 in 256."""
+    return LEAF + max(0, ((max(leaves, 1) - 1).bit_length() + 3) // 4 - 3)
+
+
+def inner_cuts(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where to cut inside the pieces ``data[start:end]``: where the hash of the last ``WINDOW`` bytes says so (the first of places
+    closer than that to each other); stretches of more than ``LONG`` bytes without such a place, as in repetitions, every ``LONG`` bytes
+    from the place of the largest hash at their begin. Never inside a character."""
+    at = np.repeat(start, end - start) + ramp(end - start)
+    piece = np.repeat(np.arange(len(start)), end - start)
+    fit = (at - start[piece] >= WINDOW) & ((data[at] & 0xC0) != 0x80)
+    at, piece = at[fit], piece[fit]
+    hit = stretch_hash(prefix, at - WINDOW, at) % np.uint64(CUT_BYTES) == 0
+    at, piece = at[hit], piece[hit]
+    apart = np.ones(len(at), bool)
+    apart[1:] = (np.diff(at) >= WINDOW) | (np.diff(piece) > 0)
+    low, high = np.sort(np.r_[start, at[apart]]), np.sort(np.r_[at[apart], end])
+    low, high = low[high - low > LONG], high[high - low > LONG]
+    near = low[:, None] + np.arange(WINDOW, LONG)
+    hashes = np.where((data[near] & 0xC0) != 0x80, stretch_hash(prefix, near - WINDOW, near), np.uint64(0))
+    low = low + WINDOW + hashes.argmax(1)                      # the same place of the repeated bytes, wherever they begin
+    times = (high - low - 1) // LONG + 1
+    extra = np.repeat(low, times) + ramp(times) * LONG
+    for _ in range(3):
+        extra = extra - ((data[extra] & 0xC0) == 0x80)
+    return np.r_[at[apart], extra]
+
+
 def trees(data: np.ndarray, offsets: np.ndarray) -> list[str]:
-    """The fingerprint of every row: ``root|section(paragraph.leaf…,…);…`` in hex digits.
+    """The fingerprint of every row: ``root|section(paragraph.leaf…,…);…`` in hex digits; where leaves have more than ``LEAF``
+    digits, their number follows the root (``root:6|…``).
 
     Leaves are pieces of a paragraph of about ``PIECE_WORDS`` words, paragraphs are lines, sections are runs of about
     ``SECTION_PARAGRAPHS`` paragraphs. Pieces and sections end where the hash of their last word or paragraph says so, so an edit
-    moves no boundary outside its own place. Every inner node is the hash of its children, and the leaves cover every byte, so
-    equal texts, and only they (up to hash collisions of 64 bits), have equal roots.
+    moves no boundary outside its own place; pieces over ``LONG`` bytes (no blanks, or words that end none) are cut inside by their bytes.
+    The leaves of a tree are as wide as :func:`leaf_digits` says. Every inner node is the hash of its children, and the leaves cover
+    every byte, so equal texts, and only they (up to hash collisions of 64 bits), have equal roots.
     """
     n = len(data)
     prefix = prefix_hash(data)
@@ -48,6 +83,10 @@ def trees(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     stop[chosen] = True
     stop[0] = False
     end = np.flatnonzero(stop)
+    begin = np.r_[0, end[:-1]]
+    long = end - begin > LONG
+    stop[inner_cuts(data, prefix, begin[long], end[long])] = True
+    end = np.flatnonzero(stop)
     leaf = stretch_hash(prefix, np.r_[0, end[:-1]], end)
     row_of = np.searchsorted(offsets, end, side="left") - 1
     closes = np.flatnonzero(paragraph_end[end])                # index of the last leaf of each paragraph
@@ -56,16 +95,17 @@ def trees(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     weighted = mix(leaf + (position.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     paragraph = mix(np.add.reduceat(weighted, first)) if len(end) else leaf
     section_ends = (paragraph >> np.uint64(9)) % np.uint64(SECTION_PARAGRAPHS) == 0
-    leaf_hex = (leaf >> np.uint64(64 - 4 * LEAF)).astype(">u4").tobytes().hex()
+    leaf_hex = leaf.astype(">u8").tobytes().hex()
     node_hex = (paragraph >> np.uint64(64 - 4 * DIGEST)).astype(">u4").tobytes().hex()
     paragraph_row = row_of[closes] if len(end) else row_of
     at = np.searchsorted(paragraph_row, np.arange(rows + 1))
     out = []
     for r in range(rows):
         a, b = int(at[r]), int(at[r + 1])
+        width = leaf_digits(int(closes[b - 1] + 1 - first[a]) if b > a else 0)
         sections, current, hashes, ids = [], [], [], []
         for p in range(a, b):
-            leaves = "".join(leaf_hex[8 * k + 8 - LEAF:8 * k + 8] for k in range(first[p], closes[p] + 1))
+            leaves = "".join(leaf_hex[16 * k:16 * k + width] for k in range(first[p], closes[p] + 1))
             current.append(node_hex[8 * p:8 * p + 8] + "." + leaves)
             ids.append(int(paragraph[p]))
             if section_ends[p] or p == b - 1:
@@ -73,20 +113,26 @@ def trees(data: np.ndarray, offsets: np.ndarray) -> list[str]:
                 sections.append(digest[:DIGEST // 2].hex() + "(" + ",".join(current) + ")")
                 hashes.append(digest)
                 current, ids = [], []
-        out.append(hashlib.blake2b(b"".join(hashes), digest_size=8).hexdigest() + "|" + ";".join(sections))
+        out.append(hashlib.blake2b(b"".join(hashes), digest_size=8).hexdigest()
+                   + (f":{width}|" if width > LEAF else "|") + ";".join(sections))
     return out
 
 
+def leaf_width(fingerprint: str) -> int:
+    return int(fingerprint.partition("|")[0].partition(":")[2] or LEAF)
+
+
 def parse(fingerprint: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
     """(root, sections), a section being (digest, paragraphs) and a paragraph (digest, leaves)."""
     root, _, body = fingerprint.partition("|")
+    width = leaf_width(fingerprint)
     sections = []
     for part in body.split(";") if body else []:
         digest, _, inner = part.partition("(")
         paragraphs = []
         for p in inner[:-1].split(","):
             node, _, leaves = p.partition(".")
-            paragraphs.append((node, [leaves[k:k + LEAF] for k in range(0, len(leaves), LEAF)]))
+            paragraphs.append((node, [leaves[k:k + width] for k in range(0, len(leaves), width)]))
         sections.append((digest, paragraphs))
     return root, sections
 
@@ -124,12 +170,13 @@ def open_branches(a: str, b: str):
 
 def likeness(a: str, b: str) -> float:
     """Shared leaves over all leaves of both trees (multisets), 1 for equal roots, 0 for nothing in common. Only differing
-    branches are opened. Two empty texts have likeness 1."""
+    branches are opened. Leaves of unequal width are compared at the smaller one. Two empty texts have likeness 1."""
     left, right, same = open_branches(a, b)
     if not left and not right and a.partition("|")[0] == b.partition("|")[0]:
         return 1.0
-    x = Counter(leaf for *_, leaves in left for leaf in leaves)
-    y = Counter(leaf for *_, leaves in right for leaf in leaves)
+    width = min(leaf_width(a), leaf_width(b))
+    x = Counter(leaf[:width] for *_, leaves in left for leaf in leaves)
+    y = Counter(leaf[:width] for *_, leaves in right for leaf in leaves)
     common = same + sum((x & y).values())
     total = 2 * same + sum(x.values()) + sum(y.values())
     return common / (total - common) if total > common else float(total == 0)

@@ -179,6 +179,25 @@ def test_fingerprint_ranges_and_edits(spark):
     assert merkle.likeness(a, a) == 1.0
 
 
+def test_fingerprints_of_texts_without_blanks_and_of_repeats():
+    rng = random.Random(3)
+    signs = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(4000))
+    other = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(1000))
+    code = "".join(rng.choice("ABCDEFGHabcdefgh0123+/") for _ in range(8000))
+    for text, end in ((signs, other), (code, other), ("w" * 8000, other), *((f"{w} " * 2000, other) for w in "abcdefgh")):
+        edited = text[:len(text) * 3 // 4] + end[:len(text) // 4]
+        near, shifted, apart = (merkle.trees(*merkle._flat([t]))[0] for t in (edited, text[:50] + "x" + text[50:], other))
+        own = merkle.trees(*merkle._flat(["before it", text]))[1]
+        assert 0.3 < merkle.likeness(own, near) < 1
+        assert merkle.likeness(own, shifted) > 0.9 and merkle.likeness(own, apart) < 0.05
+
+
+def test_fingerprints_of_long_unrelated_texts():
+    rng = random.Random(4)
+    a, b = (merkle.trees(*merkle._flat([" ".join(k + str(rng.randrange(10 ** 9)) for _ in range(60000))]))[0] for k in "pq")
+    assert merkle.leaf_width(a) == 6 and merkle.likeness(a, b) < 0.005 and merkle.likeness(a, a) == 1.0
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
