@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave.llm.flat import flat_text, lower_ascii, mix, pieces
 from shotweave.llm.registry import query, table
 from shotweave.llm.scratch import Scratch
-from shotweave.llm.spans import Tally, WordTable, list_chunks, runs_of, two_hashes
+from shotweave.llm.spans import Tally, WordTable, flat_lists, list_chunks, runs_of, two_hashes
 from shotweave.plans.ranking import running_totals
 
 LONGEST = 5
@@ -29,6 +29,8 @@ TOP = 2000
 DICTIONARY = 1 << 21
 TRIE_PHRASES = 1 << 20
 CHUNK_NUMBERS = 1 << 20
+SHARD_PHRASES = 1 << 14
+FAN_IN = 64
 UNKNOWN = "und"
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 GAPS = b" \t"
@@ -170,7 +172,6 @@ class Trie:
     check: np.ndarray
     number: np.ndarray
     phrases: np.ndarray
-    sizes: np.ndarray
 
     @classmethod
     def of(cls, alphabet: int, levels: list[np.ndarray]) -> Trie:
@@ -241,7 +242,7 @@ class Trie:
             offset += len(phrases)
         padding = alphabet + 1
         base, check, number = (np.concatenate([a, np.full(padding, f, np.int32)]) for a, f in ((base, 0), (check, -1), (number, -1)))
-        return cls(alphabet, base, check, number, rows, (rows > 0).sum(axis=1))
+        return cls(alphabet, base, check, number, rows)
 
     def walk(self, x: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For every length from 1 on the positions of ``x`` at which a known phrase of that length starts, and its slots. All
@@ -289,7 +290,9 @@ def candidate_pass(texts: DataFrame, trie, alphabet: int, size: int, least: int)
 
 
 def trie_counts(texts: DataFrame, trie, longest: int) -> DataFrame:
-    """``words, a``: occurrences of every phrase of the trie, accepting slots counted in an array per task and summed over tasks."""
+    """``words, a``: occurrences of every phrase of the trie. Every task counts accepting slots in one array and returns what it saw in
+    shards of ``SHARD_PHRASES`` phrases, one row each; shards of up to ``FAN_IN`` tasks are summed at a time, so no group grows with
+    the number of tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = trie.value
         counts = np.zeros(len(known.phrases), np.int64)
@@ -298,12 +301,37 @@ def trie_counts(texts: DataFrame, trie, longest: int) -> DataFrame:
                 if size > 1:
                     counts += np.bincount(known.number[slot], minlength=len(counts))
         some = np.flatnonzero(counts)
-        sizes = known.sizes[some]
-        flat = known.phrases[some]
-        words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat[flat > 0]))
-        yield pa.RecordBatch.from_arrays([words, pa.array(counts[some])], names=["words", "a"])
+        shards, heads = np.unique(some // SHARD_PHRASES, return_index=True)
+        ends = pa.array(np.r_[heads, len(some)], pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(shards), pa.ListArray.from_arrays(ends, pa.array((some % SHARD_PHRASES).astype(np.int32))),
+            pa.ListArray.from_arrays(ends, pa.array(counts[some]))], names=["shard", "at", "c"])
+
+    def summed(rows: pa.Table) -> np.ndarray:
+        out = np.zeros(SHARD_PHRASES, np.int64)
+        np.add.at(out, flat_lists(rows["at"])[0], flat_lists(rows["c"])[0])
+        return out
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        counts = summed(rows)
+        some = np.flatnonzero(counts)
+        return pa.table({"shard": [key[0].as_py()], "task": [key[1].as_py()], "at": pa.array([some.astype(np.int32)], pa.list_(pa.int32())),
+                         "c": pa.array([counts[some]], pa.list_(pa.int64()))})
+
+    def spell(key: tuple, rows: pa.Table) -> pa.Table:
+        known, counts = trie.value, summed(rows)
+        some = np.flatnonzero(counts)
+        flat = known.phrases[some + key[0].as_py() * SHARD_PHRASES]
+        ends = pa.array(np.r_[0, np.cumsum((flat > 0).sum(axis=1))], pa.int32())
+        return pa.table({"words": pa.ListArray.from_arrays(ends, pa.array(flat[flat > 0])), "a": counts[some]})
 
-    return texts.mapInArrow(run, "words array<int>, a long").groupBy("words").agg(F.sum("a").alias("a"))
+    columns = "shard long, at array<int>, c array<long>"
+    parts, tasks = texts.mapInArrow(run, columns).withColumn("task", F.spark_partition_id()), texts.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        parts = parts.withColumn("task", F.expr(f"task div {FAN_IN}").cast("int")).groupBy("shard", "task").applyInArrow(
+            add, "shard long, task int, at array<int>, c array<long>")
+        tasks = -(-tasks // FAN_IN)
+    return parts.groupBy("shard").applyInArrow(spell, "words array<int>, a long")
 
 
 def frequent_phrases(texts: DataFrame, alphabet: int, scratch: Scratch, longest: int, least: int,
@@ -367,7 +395,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
 
     Pieces end at ``.,;:!?`` and line breaks, words at blanks and tabs, A-Z count as a-z. A phrase needs ``least`` occurrences; its score
     is that of its worst cut, and it is dropped when a longer candidate around it occurs as often. Languages are ranked apart,
-    by score, occurrences and phrase; a row-number limit on parts of a language comes first, so none is one task's work.
+    by score, occurrences and phrase, over range partitions, so that none is one task's work.
 
     A null language is ``und``, a null text has no words. Rows repeating an id count as texts of their own; ids and other columns are
     not read. Empty tables, or such without frequent phrases, give an empty result.
@@ -403,12 +431,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     around = inside.groupBy("words").agg(F.max("a").alias("longer"))
     kept = phrases.join(around, "words", "left").filter("longer IS NULL OR 100 * longer < 100 * a").join(worst, "words")
     rows = scratch.write(kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.n", F.col("cut.score").cast("long").alias("score")))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salts = max(1, -(-rows.count() // (100 * top)))
-    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(salts))).orderBy(*order)
-    first = rows.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= top) if salts > 1 else rows
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ordered = rows.select("*", (-F.col("score")).alias("_score"), (-F.col("a")).alias("_a"), F.lit(1).cast("long").alias("_one"))
+    ranked = running_totals(ordered, ["lang"], ["_score", "_a", "phrase"], {"_one": "_rank"})
+    return ranked.filter(F.col("_rank") <= top).select("lang", F.col("_rank").cast("int").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def _phrases_sql(size: int) -> str:
