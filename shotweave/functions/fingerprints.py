@@ -6,10 +6,13 @@ operators take such functions as arguments.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,13 +23,15 @@ PART_BYTES = {"maccs": 21, "ecfp4": 256, "fcfp4": 256}
 CLOSE = 0.2
 
 UNROLLED_WORDS = 8
+TOKEN_GAP = r"[^\p{L}\p{N}]+"
+CACHED_TOKENS = 1 << 18
 
 Distance = Callable[[Column, Column], Column]
 
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case tokens of letters and digits of any script."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), TOKEN_GAP), lambda t: t != ""))
 
 
 def feature_bits(features: Column, n_bits: int = KEYS_BITS, digit: int = 1) -> Column:
@@ -75,6 +80,58 @@ def text_words(text: Column, n_bits: int = KEYS_BITS, n_words: int = KEYS_WORDS,
         F.size(parts) > 0, bits_to_words(feature_bits(parts, n_bits, digit), n_words)))
 
 
+class TokenBits(dict):
+    """Bit number by token; the hash of a token that is not cached is taken again."""
+
+    def __init__(self, n_bits: int, digit: int):
+        super().__init__()
+        self.n_bits, self.digit = n_bits, digit
+
+    def __missing__(self, token: str) -> int:
+        bit = int(hashlib.md5(token.encode()).hexdigest()[self.digit - 1:self.digit + 3], 16) % self.n_bits
+        if len(self) < CACHED_TOKENS:
+            self[token] = bit
+        return bit
+
+
+@lru_cache(maxsize=8)
+def token_bits(n_bits: int, digit: int) -> TokenBits:
+    """One cache per worker process and layout."""
+    return TokenBits(n_bits, digit)
+
+
+def pack_tokens(texts: pa.Array, n_bits: int, n_words: int, digit: int) -> pa.Array:
+    """Fingerprint words of texts whose tokens stand between single blanks; null for texts without a token."""
+    bit = token_bits(n_bits, digit)
+    on = np.zeros((len(texts), 32 * n_words), bool)
+    known = np.zeros(len(texts), bool)
+    for i, text in enumerate(texts):
+        found = set((text.as_py() or "").split(" "))
+        found.discard("")
+        if found:
+            known[i] = True
+            on[i, list(map(bit.__getitem__, found))] = True
+    words = np.packbits(on, axis=1, bitorder="little").view("<u4").astype(np.int64)
+    ends = pa.array(np.arange(len(texts) + 1) * n_words, pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(words.ravel()), mask=pa.array(~known))
+
+
+def encode_text(text: Column, n_bits: int = KEYS_BITS, n_words: int = KEYS_WORDS, digit: int = 1) -> Column:
+    """The same words as :func:`text_words`, encoded in Arrow batches.
+
+    Case and token borders are decided by the same JVM functions; a worker splits at blanks, looks its tokens up in a cache of hashes
+    and sets the bits of a whole batch at once.
+    """
+    if n_bits > 1 << 16:
+        raise ValueError("four hex digits reach 65536 bits")
+
+    @F.arrow_udf("array<bigint>")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pack_tokens(texts, n_bits, n_words, digit)
+
+    return packed(F.regexp_replace(F.lower(text), TOKEN_GAP, " "))
+
+
 def words_to_bytes(words: Column) -> Column:
     """Packed binary, four big-endian bytes per word."""
     return F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), 8, "0")), ""))

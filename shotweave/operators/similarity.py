@@ -45,7 +45,7 @@ Encoder = Callable[[pd.Series], pd.Series]
 def fingerprint_table(df: DataFrame, key: str, text: str, *keep: str, n_bits: int = fpx.KEYS_BITS,
                       n_words: int = fpx.KEYS_WORDS) -> DataFrame:
     """``(key, keep…, words, popcount)``; NULL words where the text has no token."""
-    words = df.select(F.col(key).alias("key"), *keep, fpx.text_words(F.col(text), n_bits, n_words).alias("words"))
+    words = df.select(F.col(key).alias("key"), *keep, fpx.encode_text(F.col(text), n_bits, n_words).alias("words"))
     return words.withColumn("popcount", fpx.popcount(F.col("words"), n_words))
 
 

@@ -86,8 +86,8 @@ def _composite(spark: SparkSession, d: str, encodable: bool = False) -> DataFram
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     if encodable:
         docs = similarity.encodable(docs, "text")
-    small = fpx.text_words(F.col("text"))
-    large = fpx.text_words(F.col("text"), fpx.CIRCULAR_BITS, fpx.CIRCULAR_WORDS, CIRCULAR_DIGIT)
+    small = fpx.encode_text(F.col("text"))
+    large = fpx.encode_text(F.col("text"), fpx.CIRCULAR_BITS, fpx.CIRCULAR_WORDS, CIRCULAR_DIGIT)
     return docs.select("doc_id", fpx.concat_words(small, large).alias("words"))
 
 

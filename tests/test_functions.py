@@ -171,3 +171,23 @@ def test_tokens_of_any_script(spark):
     assert one(spark, fpx.tokens(F.lit("Éléphant, ПРИВЕТ 世界 a-1"))) == ["éléphant", "привет", "世界", "a", "1"]
     with pytest.raises(ValueError):
         fpx.feature_bits(F.array(F.lit("a")), 1 << 17)
+
+
+ODD_TEXTS = [None, "", " \t", "...", "One one ONE", "İstanbul ΣΑΣ Σας straße STRASSE ß", "日本 語 x²y½", "a_b-c d e f\x00g", "é é",
+             "𝔘𝔫𝔦 ①② Ⅷ", "word " * 30_000, "x" * 200_000, " ".join(f"t{i}" for i in range(5000)), "a" + "퟿" + "b"]
+
+
+@pytest.mark.parametrize("layout", [(166, 6, 1), (2048, 64, 5), (7, 1, 2), (40, 2, 9)])
+def test_encoder_equals_the_expression(spark, layout):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS * 3)], "i int, t string").repartition(3)
+    words = rows.select("i", fpx.text_words(F.col("t"), *layout).alias("a"), fpx.encode_text(F.col("t"), *layout).alias("b")).collect()
+    assert len(words) == 3 * len(ODD_TEXTS)
+    assert all(r["a"] == r["b"] for r in words)
+    assert {r["i"] % len(ODD_TEXTS) for r in words if r["b"] is None} == {0, 1, 2, 3}
+
+
+def test_encoder_without_cache(monkeypatch):
+    monkeypatch.setattr(fpx, "CACHED_TOKENS", 2)
+    bits = fpx.TokenBits(166, 1)
+    assert [bits[t] for t in "abcabc"] == [fpx.TokenBits(166, 1)[t] for t in "abcabc"]
+    assert len(bits) == 2
