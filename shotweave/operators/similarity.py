@@ -26,14 +26,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions import fingerprints as fpx
-from shotweave.plans.skew import fits_broadcast, skew_join
+from shotweave.plans.skew import fits_broadcast, lookup_join, skew_join
 from shotweave.session import cut_lineage, task_slots
 
 BLOCK_ROWS = 2048
 BAND_RATIO = 1.15
 TWO_STEP_BLOCKS = 16
-FEW_QUERIES = 20_000
+FEW_BYTES = 4 << 20
+FEW_ROWS = 1 << 21
 SMALL_BUCKET = 256
+EARLY_LIMIT = 1000
 GROUP = "_all"
 SLACK = 1e-12
 TILE_PAIRS = 131_072
@@ -96,7 +98,12 @@ def _encoded(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def _distinct(encoded: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
     """``(by, fp, pc, members)``: distinct fingerprints with their ``keep`` smallest keys."""
     order = Window.partitionBy(*by, "fp").orderBy("key")
-    first = encoded.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
+    first = encoded
+    if keep > EARLY_LIMIT:
+        # The planner limits rows before the shuffle up to this number only; beyond it parts of a group are limited first.
+        part = Window.partitionBy(*by, "fp", F.pmod(F.xxhash64("key"), F.lit(task_slots(encoded.sparkSession)))).orderBy("key")
+        first = first.withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= keep)
+    first = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
     return first.groupBy(*by, "fp").agg(
         F.first("pc").alias("pc"), F.array_sort(F.collect_list("key")).alias("members")
     )
@@ -121,8 +128,8 @@ def _best_possible(pc: Column, block: Column) -> Column:
             .when(pc > block["hi"], block["hi"] / pc.cast("double")).otherwise(F.lit(1.0)))
 
 
-def _topk_kernel(k: int, by: Sequence[str]):
-    """Best ``k`` rows per query of one block pair, by (distance, key), after expanding copies."""
+def _block_search(k: int):
+    """Best ``k`` rows per query of one block pair, by (distance, key), after expanding copies: query row, distance, key."""
     def bits(table: pa.Table) -> np.ndarray:
         packed = np.frombuffer(b"".join(table["fp"].to_pylist()), dtype=np.uint32)
         words = packed.reshape(table.num_rows, -1)
@@ -130,18 +137,6 @@ def _topk_kernel(k: int, by: Sequence[str]):
             words = words.view(np.uint64)
         return np.ascontiguousarray(words.T)
 
-    def run(key: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        members = candidates["members"].combine_chunks()
-        if queries.num_rows and candidates.num_rows:
-            q_rows, dist, keys = _search(queries, candidates, members)
-        else:
-            q_rows, dist, keys = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-        columns = {b: queries[b].combine_chunks().take(pa.array(q_rows)) for b in by}
-        columns["fp"] = queries["fp"].combine_chunks().take(pa.array(q_rows))
-        columns["distance"] = pa.array(dist)
-        columns["key"] = pa.array(keys)
-        return pa.table(columns)
-
     def _first(row: np.ndarray, dist: np.ndarray, item: np.ndarray):
         """The first k per row by (distance, item)."""
         sort = np.lexsort((item, dist, row))
@@ -161,7 +156,9 @@ def _topk_kernel(k: int, by: Sequence[str]):
         keep = before[tie_start] - before[row_start] < k
         return row[keep], dist[keep], item[keep]
 
-    def _search(queries: pa.Table, candidates: pa.Table, members: pa.ListArray):
+    def search(queries: pa.Table, candidates: pa.Table, members: pa.ListArray):
+        if not queries.num_rows or not candidates.num_rows:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
         starts = members.offsets.to_numpy()
         flat = members.values.to_numpy()
         order = np.argsort(flat[starts[:-1]], kind="stable")
@@ -197,6 +194,21 @@ def _topk_kernel(k: int, by: Sequence[str]):
             out.append((row + lo, dist, key))
         return tuple(np.concatenate(part) for part in zip(*out))
 
+    return search
+
+
+def _topk_kernel(k: int, by: Sequence[str]):
+    """:func:`_block_search` of a pair of groups."""
+    search = _block_search(k)
+
+    def run(key: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        q_rows, dist, keys = search(queries, candidates, candidates["members"].combine_chunks())
+        columns = {b: queries[b].combine_chunks().take(pa.array(q_rows)) for b in by}
+        columns["fp"] = queries["fp"].combine_chunks().take(pa.array(q_rows))
+        columns["distance"] = pa.array(dist)
+        columns["key"] = pa.array(keys)
+        return pa.table(columns)
+
     return run
 
 
@@ -261,8 +273,9 @@ def _best_rows(hits: DataFrame, by: Sequence[str], k: int) -> DataFrame:
 
 def _exact(queries: DataFrame, candidates: DataFrame, by: Sequence[str], k: int, floor: float, block_rows: int,
            two_steps: bool | None) -> DataFrame:
-    """Best k rows per distinct query, as :func:`_best_rows`."""
-    start = queries.select(*by, "fp", "pc", F.lit(float(floor)).alias("floor"))
+    """Best k rows per distinct query, as :func:`_best_rows`. Queries may bring a column ``floor`` of their own."""
+    own_floor = F.col("floor") if "floor" in queries.columns else F.lit(float(floor))
+    start = queries.select(*by, "fp", "pc", own_floor.alias("floor"))
     layout = _layout(start, candidates, by, block_rows)
 
     def within_reach(block: Column) -> Column:
@@ -321,52 +334,55 @@ def nearest(queries: DataFrame, candidates: DataFrame | None, k: int, by: Sequen
     return _per_row(q_rows, best, inner, k, exclude_self, by)
 
 
-def nearest_few(queries: DataFrame, candidates: DataFrame, k: int, max_queries: int = FEW_QUERIES) -> DataFrame:
+def nearest_few(queries: DataFrame, candidates: DataFrame, k: int, max_queries: int | None = None) -> DataFrame:
     """Exact :func:`nearest` for a query side that is small: ``(query_id, rank, key, distance)``.
 
-    The queries' fingerprints go to every task (their number is checked against ``max_queries`` first; beyond it
-    :func:`nearest` takes over). Each task reads its candidates once and keeps the best ``k`` per query, so the corpus is neither
-    written nor shuffled; only ``queries * k`` rows per task are.
+    The queries' fingerprints go to every task, at most ``FEW_BYTES`` of them and so many that their results stay under ``FEW_ROWS`` rows a
+    task (``max_queries`` replaces both; beyond it :func:`nearest` takes over). Each task reads its candidates once, slice by slice, and
+    carries every query's ``k``-th similarity on as the floor of the next slice, so the corpus is neither written nor
+    shuffled; only ``queries * k`` rows per task are.
     """
-    asked = queries.select(F.col("key").cast("bigint").alias("key"), fpx.words_to_bytes(F.col("words")).alias("fp")).filter(
-        "fp IS NOT NULL").limit(max_queries + 1).collect()
-    if len(asked) > max_queries:
+    packed = queries.select(F.col("key").cast("bigint").alias("key"), fpx.words_to_bytes(F.col("words")).alias("fp")).filter("fp IS NOT NULL")
+    if max_queries is None:
+        width = packed.select(F.octet_length("fp")).first()
+        max_queries = min(FEW_BYTES // max(1, width[0] if width else 1), FEW_ROWS // k)
+    rows = packed.limit(max_queries + 1).collect()
+    if len(rows) > max_queries:
         return nearest(queries, candidates, k)
-    ids = np.array([r["key"] for r in asked], np.int64)
-    q_bits = np.frombuffer(b"".join(bytes(r["fp"]) for r in asked), np.uint32).reshape(len(asked), -1).T.copy() if asked else None
+    ids = np.array([r["key"] for r in rows], np.int64)
+    prints = pa.array([bytes(r["fp"]) for r in rows], pa.binary())
+    search = _block_search(k)
 
-    def first(row: np.ndarray, dist: np.ndarray, key: np.ndarray):
-        sort = np.lexsort((key, dist, row))
-        row, dist, key = row[sort], dist[sort], key[sort]
-        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
-        return row[keep], dist[keep], key[keep]
+    def sizes(fp: pa.Array) -> np.ndarray:
+        return np.bitwise_count(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1)).sum(axis=1, dtype=np.int64)
 
     def run(batches):
+        asked = np.flatnonzero(sizes(prints) > 0) if len(prints) else np.zeros(0, np.int64)
+        asking = prints.take(pa.array(asked))
+        q_pc = sizes(asking) if len(asked) else np.zeros(0, np.int64)
+        floor = np.zeros(len(asked))
         best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         for batch in batches:
-            if q_bits is None or not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            values = batch.column(1)
-            ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
-            c_bits = np.frombuffer(values.buffers()[2], np.uint32, (ends[-1] - ends[0]) // 4, int(ends[0])).reshape(len(keys), -1).T
-            q_pc, c_pc = np.bitwise_count(q_bits).sum(0, dtype=np.int64), np.bitwise_count(c_bits).sum(0, dtype=np.int64)
-            for lo in range(0, len(keys), 2048):
-                part = slice(lo, lo + 2048)
-                shared = np.zeros((len(ids), len(keys[part])), np.int64)
-                for q, c in zip(q_bits, c_bits):
-                    shared += np.bitwise_count(q[:, None] & c[part])
-                union = q_pc[:, None] + c_pc[part] - shared
-                dist = np.where((q_pc[:, None] > 0) & (c_pc[part] > 0), 1.0 - shared / np.maximum(union, 1), np.inf)
-                limit = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
-                row, at = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
-                best = first(*(np.concatenate(x) for x in zip(best, (row, dist[row, at], keys[part][at]))))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])],
+            for lo in range(0, batch.num_rows if len(asked) else 0, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                c_pc = sizes(part.column(1))
+                some = np.flatnonzero(c_pc)
+                keys = part.column(0).take(pa.array(some))
+                members = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1), pa.int32()), keys)
+                found = search(pa.table({"fp": asking, "pc": q_pc, "floor": floor}),
+                               pa.table({"fp": part.column(1).take(pa.array(some)), "pc": c_pc[some]}), members)
+                row, dist, key = (np.concatenate(x) for x in zip(best, found))
+                order = np.lexsort((key, dist, row))
+                row, dist, key = row[order], dist[order], key[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                best = row[place < k], dist[place < k], key[place < k]
+                floor[row[place == k - 1]] = 1.0 - dist[place == k - 1] - SLACK
+        yield pa.RecordBatch.from_arrays([pa.array(ids[asked[best[0]]]), pa.array(best[2]), pa.array(best[1])],
                                          names=["query_id", "key", "distance"])
 
-    packed = candidates.select(F.col("key").cast("bigint").alias("key"), fpx.words_to_bytes(F.col("words")).alias("fp")).filter(
+    corpus = candidates.select(F.col("key").cast("bigint").alias("key"), fpx.words_to_bytes(F.col("words")).alias("fp")).filter(
         "fp IS NOT NULL")
-    hits = packed.mapInArrow(run, "query_id bigint, key bigint, distance double")
+    hits = corpus.mapInArrow(run, "query_id bigint, key bigint, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "key")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "key", "distance")
@@ -386,59 +402,92 @@ def bit_orders(n_bits: int, n_hashes: int, seed: int = 0) -> np.ndarray:
 
 def _band_keys(n_bits: int, bands: int, rows: int, seed: int):
     orders = bit_orders(n_bits, bands * rows, seed)
-
-    @F.pandas_udf("array<string>")
-    def band_keys(fp: pd.Series) -> pd.Series:
-        words = np.frombuffer(b"".join(fp), dtype=">u4").reshape(len(fp), -1)
-        on = ((words[:, :, None] >> np.arange(32, dtype=np.uint32)) & 1).astype(bool).reshape(len(fp), -1)[:, :n_bits]
-        mins = np.stack([np.where(on, order, n_bits).min(axis=1) for order in orders], axis=1)
-        return pd.Series([
-            ["-".join(map(str, row[b * rows:(b + 1) * rows])) for b in range(bands)] for row in mins.tolist()
-        ])
+    exact = (n_bits + 1) ** rows < 1 << 63
+
+    @F.arrow_udf("array<bigint>")
+    def band_keys(fp: pa.Array) -> pa.Array:
+        words = np.frombuffer(b"".join(fp.to_pylist()), dtype=">u4").reshape(len(fp), -1)
+        on = np.unpackbits(words.astype("<u4").view(np.uint8), axis=1, bitorder="little")[:, :n_bits].astype(bool)
+        keys = np.zeros((len(fp), bands), np.uint64)
+        for i, order in enumerate(orders):
+            band = keys[:, i // rows]
+            band *= np.uint64(n_bits + 1 if exact else 0x9E3779B97F4A7C15)
+            band += np.where(on, order, n_bits).min(axis=1).astype(np.uint64)
+        ends = pa.array(np.arange(len(fp) + 1) * bands, pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))
 
     return band_keys
 
 
+def certain_similarity(bands: int, rows: int, certainty: float) -> float:
+    """Smallest similarity that a band shows with probability ``certainty``: where ``1 - (1 - s**rows)**bands`` reaches it."""
+    return (1.0 - (1.0 - certainty) ** (1.0 / bands)) ** (1.0 / rows)
+
+
 def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Sequence[str] = (),
                 n_bits: int = fpx.KEYS_BITS, n_words: int = fpx.KEYS_WORDS, bands: int = 16, rows: int = 8,
-                seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate :func:`nearest`: candidates share a MinHash band with the query, then the exact distance decides.
-
-    Tanimoto similarity of bit sets is their Jaccard similarity, so a candidate of
-    similarity s is seen with probability ``1 - (1 - s**rows)**bands``. Buckets of up
-    to ``SMALL_BUCKET`` candidates are equi-joined; larger ones go through the block
-    search, which emits top-k rows instead of pairs and splits any bucket over tasks. No bucket is capped. Queries that
-    the bands leave with fewer than ``k`` are searched exactly, so every query gets ``k`` rows if that many candidates exist.
+                seed: int = 0, block_rows: int = BLOCK_ROWS, certainty: float = 0.95,
+                small_rows: int = TWO_STEP_BLOCKS * BLOCK_ROWS) -> DataFrame:
+    """:func:`nearest` with a certified share of approximation: every true neighbour is found with probability ``certainty`` at least.
+
+    Tanimoto similarity of bit sets is their Jaccard similarity, so a candidate of similarity s shares a MinHash band with the query
+    with probability ``1 - (1 - s**rows)**bands``. A query stops after the bands if it has ``k`` hits and the last of them is at least as
+    similar as :func:`certain_similarity`: nearer ones were then seen with that probability too. All other queries go to the exact
+    search, which starts from the similarity the bands reached, so few blocks are left to visit. Groups of at most
+    ``small_rows`` distinct candidates are searched exactly from the start, as that is cheaper than their bands.
+
+    Buckets of up to ``SMALL_BUCKET`` candidates are equi-joined; larger ones go through the block
+    search, which emits top-k rows instead of pairs and splits any bucket over tasks. No bucket is capped.
     """
     inner = [*by, GROUP]
     exclude_self = candidates is None
     keep = k + 1 if exclude_self else k
     q_rows = _encoded(queries, by)
     c_rows = q_rows if exclude_self or candidates is queries else _encoded(candidates, by)
-    band_keys = _band_keys(n_bits, bands, rows, seed)
+    c = cut_lineage(_distinct(c_rows, inner, keep))
+    q = c.drop("members") if exclude_self else cut_lineage(_distinct(q_rows, inner, 1).drop("members"))
+    large = cut_lineage(c.groupBy(*inner).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small_rows).select(*inner))
+    if large.isEmpty():
+        return _per_row(q_rows, _exact(q, c, inner, keep, 0.0, block_rows, None), inner, k, exclude_self, by)
+
+    def of_large(side: DataFrame) -> DataFrame:
+        return lookup_join(side, large, inner, ["fp"], "left_semi")
+
+    seen = cut_lineage(_band_search(of_large(q), of_large(c), inner, keep, _band_keys(n_bits, bands, rows, seed), n_words, block_rows))
+    last = F.element_at("hits", keep)["distance"]
+    enough = F.size("hits") >= keep
+    served = enough & (last <= F.lit(1.0 - certain_similarity(bands, rows, certainty)))
+    done = seen.filter(served)
+    reached = seen.filter(~served).select(*inner, "fp", F.when(enough, 1.0 - last - SLACK).alias("floor"))
+    # One shuffled join tells served queries from the others and gives the others their floor.
+    state = reached.withColumn("_done", F.lit(False)).unionByName(
+        done.select(*inner, "fp", F.lit(None).cast("double").alias("floor"), F.lit(True).alias("_done")))
+    left = q.join(state, [*inner, "fp"], "left").filter(~F.coalesce("_done", F.lit(False)))
+    left = cut_lineage(left.select(*inner, "fp", "pc", F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(0.0)).alias("floor")))
+    best = done.unionByName(_exact(left, c, inner, keep, 0.0, block_rows, False))
+    return _per_row(q_rows, best, inner, k, exclude_self, by)
 
-    tasks = task_slots(queries.sparkSession)
+
+def _band_search(q: DataFrame, c: DataFrame, inner: Sequence[str], keep: int, band_keys, n_words: int, block_rows: int) -> DataFrame:
+    """The first ``keep`` rows that share a band, per query that shares any, as :func:`_best_rows`."""
+    tasks = task_slots(q.sparkSession)
 
     def banded(distinct: DataFrame) -> DataFrame:
         return distinct.repartition(tasks, "fp").select("*", F.posexplode(band_keys("fp")).alias("_lsh", "_bucket"))
 
-    distinct_c = cut_lineage(_distinct(c_rows, inner, keep))
-    c = cut_lineage(banded(distinct_c))
-    q = c.drop("members") if exclude_self else cut_lineage(banded(_distinct(q_rows, inner, 1)).drop("members"))
+    c, q = cut_lineage(banded(c)), banded(q)
     bucket = [*inner, "_lsh", "_bucket"]
     large = cut_lineage(c.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_BUCKET)
                         .select(*bucket))
 
     def small(side: DataFrame) -> DataFrame:
         # A fixed partition count keeps AQE from packing these few bytes, and the pairs they make, into one task.
-        return side.join(large, bucket, "left_anti").repartition(tasks, *bucket).withColumn("_w", fpx.bytes_to_words(F.col("fp"), n_words))
-
-    def hot(side: DataFrame) -> DataFrame:
-        return side.join(large, bucket, "left_semi")
+        return lookup_join(side, large, bucket, ["fp"], "left_anti").repartition(tasks, *bucket).withColumn(
+            "_w", fpx.bytes_to_words(F.col("fp"), n_words))
 
     left = small(q).select(*bucket, "fp", F.col("pc").alias("_qn"), F.col("_w").alias("_qw"))
     right = small(c).select(*bucket, F.col("pc").alias("_cn"), F.col("_w").alias("_cw"), "members")
-    pairs = skew_join(left, right, bucket, ["fp"], hot_from=q).withColumn(
+    pairs = skew_join(left, _fresh(right), bucket, ["fp"]).withColumn(
         "_both", fpx.shared_bits(F.col("_qw"), F.col("_cw"), n_words)
     )
     distance = F.lit(1.0) - F.col("_both").cast("double") / (F.col("_qn") + F.col("_cn") - F.col("_both"))
@@ -446,21 +495,14 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
     # A bucket's own best k are all it can add, and they are found where the join left its pairs.
     order = Window.partitionBy(*bucket, "fp").orderBy("distance", "key")
     best_of_bucket = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
-    from_small = best_of_bucket.select(*inner, "fp", "distance", "key")
-    hits = from_small
+    hits = best_of_bucket.select(*inner, "fp", "distance", "key")
     if not large.isEmpty():
-        hot_q, hot_c = hot(q).select(*bucket, "fp", "pc", F.lit(0.0).alias("floor")), hot(c)
+        hot_q, hot_c = (lookup_join(side, large, bucket, ["fp"], "left_semi") for side in (q, c))
+        hot_q = hot_q.select(*bucket, "fp", "pc", F.lit(0.0).alias("floor"))
         layout = _layout(hot_q, hot_c, bucket, block_rows)
         from_large = _search_blocks(hot_q, hot_c, layout, bucket, keep, lambda b: F.lit(True))
-        hits = from_small.unionByName(from_large.select(*inner, "fp", "distance", "key"))
-    hits = hits.dropDuplicates([*inner, "fp", "key"])
-    best = cut_lineage(_best_rows(hits, inner, keep))
-    asked = distinct_c.drop("members") if exclude_self else _distinct(q_rows, inner, 1).drop("members")
-    short = cut_lineage(asked.join(best.filter(F.size("hits") >= keep), [*inner, "fp"], "left_anti"))
-    if not short.isEmpty():
-        rest = _exact(short, distinct_c, inner, keep, 0.0, block_rows, None)
-        best = best.filter(F.size("hits") >= keep).unionByName(rest)
-    return _per_row(q_rows, best, inner, k, exclude_self, by)
+        hits = hits.unionByName(from_large.select(*inner, "fp", "distance", "key"))
+    return _best_rows(hits.dropDuplicates([*inner, "fp", "key"]), inner, keep)
 
 
 # --- quality of a search ----------------------------------------------------------------------------------------

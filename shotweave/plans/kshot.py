@@ -22,19 +22,19 @@ def task_rows(fingerprints: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train_prompts(entities: DataFrame, rows: DataFrame, instructions: DataFrame,
-                  shots: Sequence[int] = prompts.TRAIN_SHOTS, search=similarity.nearest) -> DataFrame:
+                  shots: Sequence[int] = prompts.TRAIN_SHOTS, search=similarity.nearest_lsh) -> DataFrame:
     """Training rows: every labelled entity with its nearest other entities of the same task.
 
     ``entities(key, smiles)``, ``rows(key, task, words, label)``, ``instructions(task, instruction)``. ``search`` is called like
-    :func:`shotweave.operators.similarity.nearest`, which is exact; :func:`~shotweave.operators.similarity.nearest_lsh` is
-    the one for large tables.
+    :func:`shotweave.operators.similarity.nearest`; the default is exact in tasks of moderate size and finds every neighbour with
+    a stated probability in larger ones.
     """
     found = cut_lineage(search(rows.select("key", "task", "words"), None, max(shots), by=["task"]))
     return _assemble(entities, rows, rows, instructions, found, shots, prompts.train_subject(F.col("task")), {})
 
 
 def test_prompts(entities: DataFrame, test: DataFrame, train: DataFrame, instructions: DataFrame, style: str = NEAR,
-                 yes_no: bool = True, shots: Sequence[int] | None = None, search=similarity.nearest) -> DataFrame:
+                 yes_no: bool = True, shots: Sequence[int] | None = None, search=similarity.nearest_lsh) -> DataFrame:
     """Test rows: every test entity with its nearest *training* entities of the same task.
 
     ``style`` orders the examples near-first, far-first, or balances the classes. Balanced examples are searched class by

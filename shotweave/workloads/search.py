@@ -182,8 +182,13 @@ def knn_threshold(spark, d):
     return similarity.nearest(document_words(spark, d), None, 10, min_similarity=0.8)
 
 
+# 16 bands of 8 rows serve queries whose last neighbour has similarity 0.81 at least; dissimilar documents rarely share a band.
+BANDS, ROWS, CERTAINTY = 16, 8, 0.95
+
+
 def _lsh_sql(bands: int, rows: int, k: int) -> str:
-    """Band keys from the bit with the smallest md5 per hash function."""
+    """Band keys from the bit with the smallest md5 per hash function; a query is served if its last neighbour is near enough."""
+    reach = 1.0 - similarity.certain_similarity(bands, rows, CERTAINTY)
     return "WITH" + fp_sql("documents", "doc_id", "text", "docs") + f""",
 orders AS (
   SELECT h, bit, row_number() OVER (PARTITION BY h ORDER BY md5('0:' || h || ':' || bit)) AS place
@@ -195,7 +200,8 @@ pairs AS (
 near AS (
   SELECT qk AS query_id, ck AS key, 1 - bit_count(q.fp & c.fp)::DOUBLE / bit_count(q.fp | c.fp) AS distance
   FROM pairs JOIN docs q ON q.key = qk JOIN docs c ON c.key = ck),
-served AS (SELECT query_id FROM near GROUP BY query_id HAVING count(*) >= {k}),
+served AS (SELECT query_id FROM (SELECT query_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS n FROM near)
+  WHERE n = {k} AND distance <= {reach!r}::DOUBLE),
 whole AS (SELECT * FROM near WHERE query_id IN (FROM served) UNION ALL
   SELECT q.key, c.key, 1 - bit_count(q.fp & c.fp)::DOUBLE / bit_count(q.fp | c.fp)
   FROM docs q JOIN docs c ON q.key <> c.key WHERE q.key NOT IN (FROM served))
@@ -203,13 +209,13 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, key
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, key) <= {k}"""
 
 
-# Bands wide enough for the similarities of nearest documents: 20 of 5 rows see 0.5 with probability 0.47, 0.7 with 0.97.
-BANDS, ROWS = 20, 5
+def _certified(words: DataFrame) -> DataFrame:
+    return similarity.nearest_lsh(words, None, 4, bands=BANDS, rows=ROWS, certainty=CERTAINTY, small_rows=0)
 
 
 @query(_lsh_sql(BANDS, ROWS, 4))
 def knn_lsh(spark, d):
-    return similarity.nearest_lsh(document_words(spark, d), None, 4, bands=BANDS, rows=ROWS)
+    return _certified(document_words(spark, d))
 
 
 @query(_lsh_sql(BANDS, ROWS, 4).replace("SELECT query_id, row_number()", ", found AS (SELECT query_id, row_number()", 1)
@@ -217,7 +223,7 @@ def knn_lsh(spark, d):
 SELECT avg((f.key IS NOT NULL)::INT::DOUBLE) AS recall FROM exact e LEFT JOIN found f USING (query_id, key)""")
 def knn_lsh_recall(spark, d):
     words = cut_lineage(document_words(spark, d))
-    return similarity.recall(similarity.nearest_lsh(words, None, 4, bands=BANDS, rows=ROWS), similarity.nearest(words, None, 4))
+    return similarity.recall(_certified(words), similarity.nearest(words, None, 4))
 
 
 @query("WITH" + fp_sql("documents", "doc_id", "text", "docs") + """

@@ -99,19 +99,65 @@ def test_many_copies_and_ties(spark):
 
 def test_lsh_hot_buckets_equal_joined_buckets(spark, rows, monkeypatch):
     table = frame(spark, rows)
-    joined = found(similarity.nearest_lsh(table, None, 4, by=["task"], bands=12, rows=3))
+    joined = found(similarity.nearest_lsh(table, None, 4, by=["task"], bands=12, rows=3, small_rows=0))
     monkeypatch.setattr(similarity, "SMALL_BUCKET", 2)
-    blocked = found(similarity.nearest_lsh(table, None, 4, by=["task"], bands=12, rows=3, block_rows=8))
+    blocked = found(similarity.nearest_lsh(table, None, 4, by=["task"], bands=12, rows=3, block_rows=8, small_rows=0))
     assert blocked == joined and joined
 
 
 def test_lsh_recall(spark, rows):
     table = frame(spark, rows)
     exact = similarity.nearest(table, None, 4, min_similarity=0.7)
-    approximate = similarity.nearest_lsh(table, None, 4, bands=24, rows=3)
+    approximate = similarity.nearest_lsh(table, None, 4, bands=24, rows=3, small_rows=0)
     assert similarity.recall(approximate, exact).head()["recall"] > 0.95
 
 
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1"])
+def test_certified_recall_on_documents(spark, name):
+    from shotweave.workloads import QUERIES
+
+    assert QUERIES["knn_lsh_recall"](spark, f"/root/testdata/{name}").head()["recall"] >= 0.9
+
+
+def test_certain_similarity():
+    s = similarity.certain_similarity(16, 8, 0.95)
+    assert 1 - (1 - s**8) ** 16 == pytest.approx(0.95)
+    assert similarity.certain_similarity(64, 8, 0.95) < s < similarity.certain_similarity(16, 8, 0.99)
+
+
+def test_uncertain_queries_are_searched_exactly(spark, rows):
+    """With bands that certify nothing but copies, the result is the exact one."""
+    table = frame(spark, rows)
+    for by in ([], ["task"]):
+        got = similarity.nearest_lsh(table, None, 5, by=by, bands=2, rows=8, certainty=1 - 1e-15, small_rows=0, block_rows=16)
+        assert found(got) == brute(rows, rows, 5, bool(by), True)
+
+
+@pytest.mark.parametrize("small_rows", [30, 1000])
+def test_small_groups_are_searched_exactly(spark, rows, small_rows):
+    """The hot task has more distinct fingerprints than 30, the cold one fewer."""
+    got = found(similarity.nearest_lsh(frame(spark, rows), None, 5, by=["task"], bands=4, rows=6, small_rows=small_rows))
+    want = brute(rows, rows, 5, True, True)
+    cold = {k for k, t, _ in rows if t == "cold"}
+    assert {g for g in got if g[0] in cold} == {w for w in want if w[0] in cold}
+    assert {g[:2] for g in got} == {w[:2] for w in want}
+    assert small_rows == 30 or got == want
+
+
+def test_wide_bands_fall_back_to_hashed_keys(spark):
+    rng = random.Random(4)
+    rows = [(i, "t", sorted(rng.sample(range(2048), 60)) if i % 4 else list(range(0, 120, 2))) for i in range(80)]
+    words = spark.createDataFrame(rows, "key bigint, task string, bits array<int>").select(
+        "key", fpx.bits_to_words(F.col("bits"), 64).alias("words"))
+    got = similarity.nearest_lsh(words, None, 3, n_bits=2048, n_words=64, bands=4, rows=8, small_rows=0)
+    assert found(got) == brute(rows, rows, 3, False, True)
+
+
+def test_more_copies_than_the_early_limit(spark, rows, monkeypatch):
+    monkeypatch.setattr(similarity, "EARLY_LIMIT", 3)
+    assert found(similarity.nearest(frame(spark, rows), None, 7)) == brute(rows, rows, 7, False, True)
+
+
 def test_self_recall(spark, rows):
     distinct = {}
     for key, _, bits in rows:
