@@ -22,6 +22,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ FEW_BYTES = 4 << 20
 FEW_ROWS = 1 << 21
 SMALL_BUCKET = 256
 EARLY_LIMIT = 1000
+IS_ASKED, ASKS, ASKS_AND_IS_ASKED = 0, 1, 2
 GROUP = "_all"
 SLACK = 1e-12
 TILE_PAIRS = 131_072
@@ -197,6 +199,66 @@ def _block_search(k: int):
     return search
 
 
+def _bucket_kernel(k: int, bucket: Sequence[str], inner: Sequence[str]):
+    """Best ``k`` rows of every asking row among the asked rows of its bucket; rows come sorted by bucket, a bucket that
+    reaches into the next batch waits for it."""
+    def first(row: np.ndarray, dist: np.ndarray, key: np.ndarray) -> np.ndarray:
+        sort = np.lexsort((key, dist, row))
+        return sort[np.arange(len(row)) - np.searchsorted(row[sort], row[sort]) < k]
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.ones(table.num_rows, bool)
+        new[1:] = False
+        for name in bucket:
+            values = table[name].combine_chunks()
+            new[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    def search(table: pa.Table, runs: np.ndarray):
+        bits = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        size, side = table["pc"].to_numpy().astype(np.int64), table["_side"].to_numpy()
+        run = np.repeat(np.arange(len(runs)), np.diff(np.r_[runs, table.num_rows]))
+        asking, asked = np.flatnonzero(side != IS_ASKED), np.flatnonzero(side != ASKS)
+        low = np.searchsorted(run[asked], np.arange(len(runs)))
+        count = np.diff(np.r_[low, len(asked)])[run[asking]]
+        members = table["members"].combine_chunks()
+        ends, keys = members.offsets.to_numpy(), members.values.to_numpy()
+        tiles = np.cumsum(count) // (8 * TILE_PAIRS)
+        for tile in np.unique(tiles):
+            mine = tiles == tile
+            n, at = count[mine], low[run[asking[mine]]]
+            row = np.repeat(asking[mine], n)
+            cand = asked[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            shared = np.zeros(len(row), np.int64)
+            for word in range(bits.shape[1]):
+                shared += np.bitwise_count(bits[row, word] & bits[cand, word])
+            dist = 1.0 - shared / (size[row] + size[cand] - shared)
+            best = first(row, dist, keys[ends[cand]])
+            row, dist, cand = row[best], dist[best], cand[best]
+            times = ends[cand + 1] - ends[cand]
+            take = np.repeat(ends[cand] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            row, dist, key = np.repeat(row, times), np.repeat(dist, times), keys[take]
+            best = first(row, dist, key)
+            columns = [table[name].combine_chunks().take(pa.array(row[best])) for name in [*inner, "fp"]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(dist[best]), pa.array(key[best])],
+                                             names=[*inner, "fp", "distance", "key"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            runs = starts(table)
+            if len(runs) > 1:
+                yield from search(table.slice(0, runs[-1]).combine_chunks(), runs[:-1])
+                table = table.slice(runs[-1]).combine_chunks()
+            rest = table
+        if rest is not None and rest.num_rows:
+            yield from search(rest.combine_chunks(), starts(rest))
+
+    return run
+
+
 def _topk_kernel(k: int, by: Sequence[str]):
     """:func:`_block_search` of a pair of groups."""
     search = _block_search(k)
@@ -265,10 +327,10 @@ def _search_blocks(queries: DataFrame, candidates: DataFrame, layout: DataFrame,
 
 
 def _best_rows(hits: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    """``(by, fp, hits)`` with the first k of each query's block results as an array."""
+    """``(by, fp, hits)`` with the first k of each query's block results as an array; a result that several blocks give counts once."""
     order = Window.partitionBy(*by, "fp").orderBy("distance", "key")
-    first = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
-    return first.groupBy(*by, "fp").agg(F.array_sort(F.collect_list(F.struct("distance", "key"))).alias("hits"))
+    first = hits.withColumn("_n", F.dense_rank().over(order)).filter(F.col("_n") <= k)
+    return first.groupBy(*by, "fp").agg(F.array_sort(F.collect_set(F.struct("distance", "key"))).alias("hits"))
 
 
 def _exact(queries: DataFrame, candidates: DataFrame, by: Sequence[str], k: int, floor: float, block_rows: int,
@@ -436,7 +498,7 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
     search, which starts from the similarity the bands reached, so few blocks are left to visit. Groups of at most
     ``small_rows`` distinct candidates are searched exactly from the start, as that is cheaper than their bands.
 
-    Buckets of up to ``SMALL_BUCKET`` candidates are equi-joined; larger ones go through the block
+    Buckets of up to ``SMALL_BUCKET`` rows are compared where they were sorted together; larger ones go through the block
     search, which emits top-k rows instead of pairs and splits any bucket over tasks. No bucket is capped.
     """
     inner = [*by, GROUP]
@@ -446,14 +508,18 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
     c_rows = q_rows if exclude_self or candidates is queries else _encoded(candidates, by)
     c = cut_lineage(_distinct(c_rows, inner, keep))
     q = c.drop("members") if exclude_self else cut_lineage(_distinct(q_rows, inner, 1).drop("members"))
-    large = cut_lineage(c.groupBy(*inner).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small_rows).select(*inner))
-    if large.isEmpty():
+    large = c.groupBy(*inner).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small_rows).select(*inner)
+    all_large = small_rows <= 0
+    if not all_large:
+        large = cut_lineage(large)
+    if not all_large and large.isEmpty():
         return _per_row(q_rows, _exact(q, c, inner, keep, 0.0, block_rows, None), inner, k, exclude_self, by)
 
     def of_large(side: DataFrame) -> DataFrame:
-        return lookup_join(side, large, inner, ["fp"], "left_semi")
+        return side if all_large else lookup_join(side, large, inner, ["fp"], "left_semi")
 
-    seen = cut_lineage(_band_search(of_large(q), of_large(c), inner, keep, _band_keys(n_bits, bands, rows, seed), n_words, block_rows))
+    asking = None if exclude_self else of_large(q)
+    seen = cut_lineage(_band_search(asking, of_large(c), inner, keep, _band_keys(n_bits, bands, rows, seed), block_rows))
     last = F.element_at("hits", keep)["distance"]
     enough = F.size("hits") >= keep
     served = enough & (last <= F.lit(1.0 - certain_similarity(bands, rows, certainty)))
@@ -468,41 +534,38 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
     return _per_row(q_rows, best, inner, k, exclude_self, by)
 
 
-def _band_search(q: DataFrame, c: DataFrame, inner: Sequence[str], keep: int, band_keys, n_words: int, block_rows: int) -> DataFrame:
-    """The first ``keep`` rows that share a band, per query that shares any, as :func:`_best_rows`."""
-    tasks = task_slots(q.sparkSession)
+def _band_search(q: DataFrame | None, c: DataFrame, inner: Sequence[str], keep: int, band_keys,
+                 block_rows: int) -> DataFrame:
+    """The first ``keep`` rows that share a band, per query that shares any, as :func:`_best_rows`; without ``q`` the candidates ask."""
+    tasks = task_slots(c.sparkSession)
 
     def banded(distinct: DataFrame) -> DataFrame:
         return distinct.repartition(tasks, "fp").select("*", F.posexplode(band_keys("fp")).alias("_lsh", "_bucket"))
 
-    c, q = cut_lineage(banded(c)), banded(q)
+    c = cut_lineage(banded(c))
+    both = q is None
+    q = c.drop("members") if both else cut_lineage(banded(q))
     bucket = [*inner, "_lsh", "_bucket"]
-    large = cut_lineage(c.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_BUCKET)
-                        .select(*bucket))
-
-    def small(side: DataFrame) -> DataFrame:
-        # A fixed partition count keeps AQE from packing these few bytes, and the pairs they make, into one task.
-        return lookup_join(side, large, bucket, ["fp"], "left_anti").repartition(tasks, *bucket).withColumn(
-            "_w", fpx.bytes_to_words(F.col("fp"), n_words))
-
-    left = small(q).select(*bucket, "fp", F.col("pc").alias("_qn"), F.col("_w").alias("_qw"))
-    right = small(c).select(*bucket, F.col("pc").alias("_cn"), F.col("_w").alias("_cw"), "members")
-    pairs = skew_join(left, _fresh(right), bucket, ["fp"]).withColumn(
-        "_both", fpx.shared_bits(F.col("_qw"), F.col("_cw"), n_words)
-    )
-    distance = F.lit(1.0) - F.col("_both").cast("double") / (F.col("_qn") + F.col("_cn") - F.col("_both"))
-    near = pairs.select(*bucket, "fp", distance.alias("distance"), F.explode("members").alias("key"))
-    # A bucket's own best k are all it can add, and they are found where the join left its pairs.
-    order = Window.partitionBy(*bucket, "fp").orderBy("distance", "key")
-    best_of_bucket = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
-    hits = best_of_bucket.select(*inner, "fp", "distance", "key")
-    if not large.isEmpty():
+    sizes = c.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
+    if not both:
+        sizes = sizes.unionByName(q.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")))
+    large = cut_lineage(sizes.filter(F.col("_n") > SMALL_BUCKET).select(*bucket).distinct())
+    rows = c.select(*bucket, "fp", "pc", "members", F.lit(ASKS_AND_IS_ASKED if both else IS_ASKED).alias("_side"))
+    if not both:
+        asks = F.lit(None).cast(c.schema["members"].dataType).alias("members")
+        rows = rows.unionByName(q.select(*bucket, "fp", "pc", asks, F.lit(ASKS).alias("_side")))
+    some = not large.isEmpty()
+    small = (lookup_join(rows, large, bucket, ["fp"], "left_anti") if some else rows).dropna(subset=list(inner))
+    types = dict(c.dtypes)
+    schema = ", ".join(f"`{name}` {types[name]}" for name in inner) + ", fp binary, distance double, key bigint"
+    hits = small.repartition(tasks, *bucket).sortWithinPartitions(*bucket).mapInArrow(_bucket_kernel(keep, bucket, inner), schema)
+    if some:
         hot_q, hot_c = (lookup_join(side, large, bucket, ["fp"], "left_semi") for side in (q, c))
         hot_q = hot_q.select(*bucket, "fp", "pc", F.lit(0.0).alias("floor"))
         layout = _layout(hot_q, hot_c, bucket, block_rows)
         from_large = _search_blocks(hot_q, hot_c, layout, bucket, keep, lambda b: F.lit(True))
         hits = hits.unionByName(from_large.select(*inner, "fp", "distance", "key"))
-    return _best_rows(hits.dropDuplicates([*inner, "fp", "key"]), inner, keep)
+    return _best_rows(hits, inner, keep)
 
 
 # --- quality of a search ----------------------------------------------------------------------------------------
