@@ -36,6 +36,7 @@ TWO_STEP_BLOCKS = 16
 FEW_BYTES = 4 << 20
 FEW_ROWS = 1 << 21
 SMALL_BUCKET = 256
+LONG_LIST = 4096
 EARLY_LIMIT = 1000
 IS_ASKED, ASKS, ASKS_AND_IS_ASKED = 0, 1, 2
 GROUP = "_all"
@@ -199,7 +200,7 @@ def _block_search(k: int):
     return search
 
 
-def _bucket_kernel(k: int, bucket: Sequence[str], inner: Sequence[str]):
+def _bucket_kernel(k: int, bucket: Sequence[str], inner: Sequence[str], floor: float = 0.0):
     """Best ``k`` rows of every asking row among the asked rows of its bucket; rows come sorted by bucket, a bucket that
     reaches into the next batch waits for it."""
     def first(row: np.ndarray, dist: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -216,7 +217,9 @@ def _bucket_kernel(k: int, bucket: Sequence[str], inner: Sequence[str]):
 
     def search(table: pa.Table, runs: np.ndarray):
         bits = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        bits = bits.view(np.uint64) if bits.shape[1] % 2 == 0 else bits
         size, side = table["pc"].to_numpy().astype(np.int64), table["_side"].to_numpy()
+        place = table["_place"].to_numpy().astype(np.int64) if floor else None
         run = np.repeat(np.arange(len(runs)), np.diff(np.r_[runs, table.num_rows]))
         asking, asked = np.flatnonzero(side != IS_ASKED), np.flatnonzero(side != ASKS)
         low = np.searchsorted(run[asked], np.arange(len(runs)))
@@ -229,10 +232,17 @@ def _bucket_kernel(k: int, bucket: Sequence[str], inner: Sequence[str]):
             n, at = count[mine], low[run[asking[mine]]]
             row = np.repeat(asking[mine], n)
             cand = asked[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            if floor:
+                # Where a pair's first common bit makes the bucket, no more bits than those after it can be shared.
+                possible = np.minimum(size[row] - place[row], size[cand] - place[cand])
+                hopeful = possible >= floor / (1 + floor) * (size[row] + size[cand]) - ROUGH_SLACK
+                row, cand = row[hopeful], cand[hopeful]
             shared = np.zeros(len(row), np.int64)
             for word in range(bits.shape[1]):
                 shared += np.bitwise_count(bits[row, word] & bits[cand, word])
-            dist = 1.0 - shared / (size[row] + size[cand] - shared)
+            similarity = shared / (size[row] + size[cand] - shared)
+            near = similarity >= floor
+            row, cand, dist = row[near], cand[near], 1.0 - similarity[near]
             best = first(row, dist, keys[ends[cand]])
             row, dist, cand = row[best], dist[best], cand[best]
             times = ends[cand + 1] - ends[cand]
@@ -462,14 +472,18 @@ def bit_orders(n_bits: int, n_hashes: int, seed: int = 0) -> np.ndarray:
     return orders
 
 
+def _flags(fp: pa.Array, n_bits: int) -> np.ndarray:
+    words = np.frombuffer(b"".join(fp.to_pylist()), dtype=">u4").reshape(len(fp), -1)
+    return np.unpackbits(words.astype("<u4").view(np.uint8), axis=1, bitorder="little")[:, :n_bits].astype(bool)
+
+
 def _band_keys(n_bits: int, bands: int, rows: int, seed: int):
     orders = bit_orders(n_bits, bands * rows, seed)
     exact = (n_bits + 1) ** rows < 1 << 63
 
     @F.arrow_udf("array<bigint>")
     def band_keys(fp: pa.Array) -> pa.Array:
-        words = np.frombuffer(b"".join(fp.to_pylist()), dtype=">u4").reshape(len(fp), -1)
-        on = np.unpackbits(words.astype("<u4").view(np.uint8), axis=1, bitorder="little")[:, :n_bits].astype(bool)
+        on = _flags(fp, n_bits)
         keys = np.zeros((len(fp), bands), np.uint64)
         for i, order in enumerate(orders):
             band = keys[:, i // rows]
@@ -519,7 +533,12 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
         return side if all_large else lookup_join(side, large, inner, ["fp"], "left_semi")
 
     asking = None if exclude_self else of_large(q)
-    seen = cut_lineage(_band_search(asking, of_large(c), inner, keep, _band_keys(n_bits, bands, rows, seed), block_rows))
+    band_keys = _band_keys(n_bits, bands, rows, seed)
+
+    def banded(distinct: DataFrame) -> DataFrame:
+        return distinct.select("*", F.posexplode(band_keys("fp")).alias("_lsh", "_bucket"))
+
+    seen = cut_lineage(_bucket_search(asking, of_large(c), inner, keep, banded, block_rows))
     last = F.element_at("hits", keep)["distance"]
     enough = F.size("hits") >= keep
     served = enough & (last <= F.lit(1.0 - certain_similarity(bands, rows, certainty)))
@@ -534,40 +553,105 @@ def nearest_lsh(queries: DataFrame, candidates: DataFrame | None, k: int, by: Se
     return _per_row(q_rows, best, inner, k, exclude_self, by)
 
 
-def _band_search(q: DataFrame | None, c: DataFrame, inner: Sequence[str], keep: int, band_keys,
-                 block_rows: int) -> DataFrame:
-    """The first ``keep`` rows that share a band, per query that shares any, as :func:`_best_rows`; without ``q`` the candidates ask."""
-    tasks = task_slots(c.sparkSession)
-
-    def banded(distinct: DataFrame) -> DataFrame:
-        return distinct.repartition(tasks, "fp").select("*", F.posexplode(band_keys("fp")).alias("_lsh", "_bucket"))
+def _bucket_search(q: DataFrame | None, c: DataFrame, inner: Sequence[str], keep: int, keyed: Callable[[DataFrame], DataFrame],
+                   block_rows: int, floor: float = 0.0, small_bucket: int | None = None) -> DataFrame:
+    """The first ``keep`` rows that share a bucket, per query that shares any, as :func:`_best_rows`; without ``q`` the candidates ask.
 
-    c = cut_lineage(banded(c))
+    ``keyed`` repeats a row for each of its buckets ``(_lsh, _bucket)``. With a ``floor`` it also adds ``_place``, the number of set
+    bits before the one that makes the bucket, and only rows at least that similar count.
+    """
+    tasks = task_slots(c.sparkSession)
+    c = cut_lineage(keyed(c.repartition(tasks, "fp")))
     both = q is None
-    q = c.drop("members") if both else cut_lineage(banded(q))
+    q = c.drop("members") if both else cut_lineage(keyed(q.repartition(tasks, "fp")))
     bucket = [*inner, "_lsh", "_bucket"]
     sizes = c.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
     if not both:
         sizes = sizes.unionByName(q.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")))
-    large = cut_lineage(sizes.filter(F.col("_n") > SMALL_BUCKET).select(*bucket).distinct())
-    rows = c.select(*bucket, "fp", "pc", "members", F.lit(ASKS_AND_IS_ASKED if both else IS_ASKED).alias("_side"))
+    large = cut_lineage(sizes.filter(F.col("_n") > (small_bucket or SMALL_BUCKET)).select(*bucket).distinct())
+    place = ["_place"] if floor else []
+    rows = c.select(*bucket, "fp", "pc", "members", *place, F.lit(ASKS_AND_IS_ASKED if both else IS_ASKED).alias("_side"))
     if not both:
         asks = F.lit(None).cast(c.schema["members"].dataType).alias("members")
-        rows = rows.unionByName(q.select(*bucket, "fp", "pc", asks, F.lit(ASKS).alias("_side")))
+        rows = rows.unionByName(q.select(*bucket, "fp", "pc", asks, *place, F.lit(ASKS).alias("_side")))
     some = not large.isEmpty()
     small = (lookup_join(rows, large, bucket, ["fp"], "left_anti") if some else rows).dropna(subset=list(inner))
     types = dict(c.dtypes)
     schema = ", ".join(f"`{name}` {types[name]}" for name in inner) + ", fp binary, distance double, key bigint"
-    hits = small.repartition(tasks, *bucket).sortWithinPartitions(*bucket).mapInArrow(_bucket_kernel(keep, bucket, inner), schema)
+    hits = small.repartition(tasks, *bucket).sortWithinPartitions(*bucket).mapInArrow(_bucket_kernel(keep, bucket, inner, floor), schema)
     if some:
         hot_q, hot_c = (lookup_join(side, large, bucket, ["fp"], "left_semi") for side in (q, c))
-        hot_q = hot_q.select(*bucket, "fp", "pc", F.lit(0.0).alias("floor"))
+        hot_q = hot_q.select(*bucket, "fp", "pc", F.lit(floor).alias("floor"))
         layout = _layout(hot_q, hot_c, bucket, block_rows)
-        from_large = _search_blocks(hot_q, hot_c, layout, bucket, keep, lambda b: F.lit(True))
+        from_large = _search_blocks(hot_q, hot_c, layout, bucket, keep,
+                                    lambda b: _best_possible(F.col("pc"), b) >= F.lit(floor - SLACK))
         hits = hits.unionByName(from_large.select(*inner, "fp", "distance", "key"))
     return _best_rows(hits, inner, keep)
 
 
+# --- prefixes of rare bits --------------------------------------------------------------------------------------
+
+
+def bits_by_frequency(distinct: DataFrame, n_bits: int) -> np.ndarray:
+    """Bit numbers, rarest first, ties by number. Every task returns one row of ``n_bits`` counts."""
+    def run(batches):
+        counts = np.zeros(n_bits, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                counts += _flags(batch.column(0).slice(lo, BLOCK_ROWS), n_bits).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_bits)), pa.array(counts)], names=["bit", "n"])
+
+    counts = distinct.select("fp").mapInArrow(run, "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(n_bits, np.int64)
+    for r in counts:
+        n[r["bit"]] = r["n"]
+    return np.lexsort((np.arange(n_bits), n))
+
+
+def nearest_within(queries: DataFrame, candidates: DataFrame | None, k: int, min_similarity: float, by: Sequence[str] = (),
+                   n_bits: int = fpx.CIRCULAR_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """:func:`nearest` with a floor, through an inverted index on rare bits; exact.
+
+    Bits are ordered from rare to frequent. Two sets of similarity t and sizes of at least n share a bit among the first
+    ``n - ceil(t * n) + 1`` of either, so a row is listed under these bits only. Inside a list the sizes and the place of the bit bound what
+    a pair can share before its bits are compared. A list of more than ``LONG_LIST`` rows goes through the block search with its
+    size bound; no list is cut. For wide, sparse fingerprints; where most bits are
+    set, as in 166-bit prints of long texts, the bands of :func:`nearest` visit fewer pairs.
+    """
+    inner = [*by, GROUP]
+    exclude_self = candidates is None
+    keep = k + 1 if exclude_self else k
+    q_rows = _encoded(queries, by)
+    c_rows = q_rows if exclude_self or candidates is queries else _encoded(candidates, by)
+    c = cut_lineage(_distinct(c_rows, inner, keep))
+    q = None if exclude_self else cut_lineage(_distinct(q_rows, inner, 1).drop("members"))
+    order = bits_by_frequency(c, n_bits)
+
+    @F.arrow_udf("array<struct<bit:bigint,place:int>>")
+    def prefix(fp: pa.Array) -> pa.Array:
+        ranks, places, lengths = [], [], []
+        for lo in range(0, len(fp), BLOCK_ROWS):
+            on = _flags(fp.slice(lo, BLOCK_ROWS), n_bits)[:, order]
+            size = on.sum(axis=1)
+            length = size - np.ceil(min_similarity * size - ROUGH_SLACK).astype(np.int64) + 1
+            place = on.cumsum(axis=1, dtype=np.int32)
+            row, rank = np.nonzero(on & (place <= length[:, None]))
+            ranks.append(rank)
+            places.append(place[row, rank] - 1)
+            lengths.append(np.bincount(row, minlength=len(on)))
+        ends = pa.array(np.r_[0, np.cumsum(np.concatenate(lengths))], pa.int32()) if lengths else pa.array([0], pa.int32())
+        items = pa.StructArray.from_arrays([pa.array(np.concatenate(ranks or [[]]), pa.int64()),
+                                            pa.array(np.concatenate(places or [[]]), pa.int32())], names=["bit", "place"])
+        return pa.ListArray.from_arrays(ends, items)
+
+    def listed(distinct: DataFrame) -> DataFrame:
+        rows = distinct.select("*", F.explode(prefix("fp")).alias("_p"))
+        return rows.select("*", F.lit(0).alias("_lsh"), F.col("_p.bit").alias("_bucket"), F.col("_p.place").alias("_place")).drop("_p")
+
+    best = _bucket_search(q, c, inner, keep, listed, block_rows, float(min_similarity), LONG_LIST)
+    return _per_row(q_rows, best, inner, k, exclude_self, by)
+
+
 # --- quality of a search ----------------------------------------------------------------------------------------
 
 

@@ -186,6 +186,23 @@ def knn_threshold(spark, d):
 BANDS, ROWS, CERTAINTY = 16, 8, 0.95
 
 
+WIDE_SQL = "WITH" + bits_sql("documents", "doc_id", "text", "docs_bits", 2048, CIRCULAR_DIGIT) + """,
+docs AS (SELECT key, bitstring_agg(bit, 0, 2047) AS fp, count(*) AS pc FROM docs_bits GROUP BY key)"""
+
+
+@query(WIDE_SQL + knn_sql(
+    "docs", "docs", 10, "q.key <> c.key AND bit_count(q.fp & c.fp)::DOUBLE / bit_count(q.fp | c.fp) >= 0.8::DOUBLE"))
+def knn_threshold_wide(spark, d):
+    """2048-bit fingerprints through the index on rare bits."""
+    docs = similarity.encodable(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
+    words = fpx.encode_text(F.col("text"), fpx.CIRCULAR_BITS, fpx.CIRCULAR_WORDS, CIRCULAR_DIGIT)
+    return similarity.nearest_within(docs.select(F.col("doc_id").alias("key"), words.alias("words")), None, 10, 0.8)
+
+
+# 16 bands of 8 rows serve queries whose last neighbour has similarity 0.81 at least; dissimilar documents rarely share a band.
+BANDS, ROWS, CERTAINTY = 16, 8, 0.95
+
+
 def _lsh_sql(bands: int, rows: int, k: int) -> str:
     """Band keys from the bit with the smallest md5 per hash function; a query is served if its last neighbour is near enough."""
     reach = 1.0 - similarity.certain_similarity(bands, rows, CERTAINTY)

@@ -74,6 +74,24 @@ def test_floor(spark, rows, floor):
     assert found(got) == brute(rows, rows, 200, False, True, floor)
 
 
+@pytest.mark.parametrize("floor", [0.3, 0.8, 1.0])
+@pytest.mark.parametrize("limit", [2, 4096])
+def test_index_on_rare_bits(spark, rows, floor, limit, monkeypatch):
+    monkeypatch.setattr(similarity, "LONG_LIST", limit)
+    table = frame(spark, rows)
+    got = similarity.nearest_within(table, None, 6, floor, by=["task"], n_bits=192, block_rows=16)
+    assert found(got) == brute(rows, rows, 6, True, True, floor)
+    queries = make_rows(30, 5)
+    got = similarity.nearest_within(frame(spark, queries), table, 70, floor, n_bits=192, block_rows=16)
+    assert found(got) == brute(queries, rows, 70, False, False, floor)
+
+
+def test_index_of_nothing(spark, rows):
+    table = frame(spark, rows)
+    assert similarity.nearest_within(table.limit(0), table, 3, 0.5, n_bits=192).count() == 0
+    assert similarity.nearest_within(table, table.limit(0), 3, 0.5, n_bits=192).count() == 0
+
+
 def test_wide_fingerprints(spark):
     rng = random.Random(3)
     rows = [(i, "t", sorted(rng.sample(range(2048), 60)) if i % 5 else list(range(60))) for i in range(60)]
