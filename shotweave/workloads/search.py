@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotweave.functions import fingerprints as fpx
 from shotweave.operators import similarity
+from shotweave.operators.search_index import BandIndex
 from shotweave.plans.ranking import hash_uniform
 from shotweave.plans.skew import lookup_join
 from shotweave.session import cut_lineage, spread
@@ -203,25 +204,27 @@ def knn_threshold_wide(spark, d):
 BANDS, ROWS, CERTAINTY = 16, 8, 0.95
 
 
-def _lsh_sql(bands: int, rows: int, k: int) -> str:
+def _lsh_sql(bands: int, rows: int, k: int, queries: str = "docs", extra: str = "q.key <> c.key") -> str:
     """Band keys from the bit with the smallest md5 per hash function; a query is served if its last neighbour is near enough."""
     reach = 1.0 - similarity.certain_similarity(bands, rows, CERTAINTY)
-    return "WITH" + fp_sql("documents", "doc_id", "text", "docs") + f""",
+    sides = ["docs"] if queries == "docs" else ["docs", queries]
+    prints = ",".join(fp_sql({"docs": "documents", "items": "benchmark"}[s], {"docs": "doc_id", "items": "item_id"}[s], "text", s) for s in sides)
+    keys = ",".join(f"""
+{s}_mins AS (SELECT key, h, min(place) AS m FROM {s}_bits JOIN orders USING (bit) GROUP BY key, h),
+{s}_keys AS (SELECT key, h // {rows} AS band, string_agg(m, '-' ORDER BY h) AS bucket FROM {s}_mins GROUP BY key, h // {rows})""" for s in sides)
+    return "WITH" + prints + f""",
 orders AS (
   SELECT h, bit, row_number() OVER (PARTITION BY h ORDER BY md5('0:' || h || ':' || bit)) AS place
-  FROM range({bands * rows}) a(h), range(166) b(bit)),
-mins AS (SELECT key, h, min(place) AS m FROM docs_bits JOIN orders USING (bit) GROUP BY key, h),
-band_keys AS (SELECT key, h // {rows} AS band, string_agg(m, '-' ORDER BY h) AS bucket FROM mins GROUP BY key, h // {rows}),
-pairs AS (
-  SELECT DISTINCT a.key AS qk, b.key AS ck FROM band_keys a JOIN band_keys b USING (band, bucket) WHERE a.key <> b.key),
+  FROM range({bands * rows}) a(h), range(166) b(bit)),{keys},
+pairs AS (SELECT DISTINCT a.key AS qk, b.key AS ck FROM {queries}_keys a JOIN docs_keys b USING (band, bucket)),
 near AS (
   SELECT qk AS query_id, ck AS key, 1 - bit_count(q.fp & c.fp)::DOUBLE / bit_count(q.fp | c.fp) AS distance
-  FROM pairs JOIN docs q ON q.key = qk JOIN docs c ON c.key = ck),
+  FROM pairs JOIN {queries} q ON q.key = qk JOIN docs c ON c.key = ck WHERE {extra}),
 served AS (SELECT query_id FROM (SELECT query_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS n FROM near)
   WHERE n = {k} AND distance <= {reach!r}::DOUBLE),
 whole AS (SELECT * FROM near WHERE query_id IN (FROM served) UNION ALL
   SELECT q.key, c.key, 1 - bit_count(q.fp & c.fp)::DOUBLE / bit_count(q.fp | c.fp)
-  FROM docs q JOIN docs c ON q.key <> c.key WHERE q.key NOT IN (FROM served))
+  FROM {queries} q JOIN docs c ON {extra} WHERE q.key NOT IN (FROM served))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS rank, key, distance FROM whole
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, key) <= {k}"""
 
@@ -243,6 +246,18 @@ def knn_lsh_recall(spark, d):
     return similarity.recall(_certified(words), similarity.nearest(words, None, 4))
 
 
+@query(_lsh_sql(BANDS, ROWS, 8, "items", "true"))
+def index_search(spark, d):
+    """A search table made from one batch, appended to with what it lacks, and searched."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    index = BandIndex.open(spark, bands=BANDS, rows=ROWS)
+    first = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    index.append(similarity.fingerprint_table(first, "doc_id", "text"))
+    index.append(similarity.fingerprint_table(index.missing(docs, "doc_id"), "doc_id", "text"))
+    items = similarity.fingerprint_table(table(spark, d, "benchmark"), "item_id", "text")
+    return index.search(items, 8, CERTAINTY)
+
+
 @query("WITH" + fp_sql("documents", "doc_id", "text", "docs") + """
 SELECT count(*) AS queries, avg((key = first)::INT::DOUBLE) AS recall FROM (SELECT key, min(key) OVER (PARTITION BY fp) AS first FROM docs)
 """)
