@@ -5,6 +5,7 @@ All random choices order rows by md5 of ``seed:id``, so a split can be recreated
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from shotweave.plans.ranking import hash_order, hash_rank, running_totals
 from shotweave.plans.skew import lookup_join
-from shotweave.session import cut_lineage, task_slots
+from shotweave.session import cut_lineage
 
 TRAIN, VALID, TEST = "train", "valid", "test"
 FRACTIONS = (0.8, 0.1, 0.1)
+FILL_WINDOW = 100_000
 
 
 def check_fractions(*fractions: float) -> None:
@@ -122,45 +124,52 @@ def _assign(df: DataFrame, assigned: DataFrame, group: Sequence[str], key: str)
     return lookup_join(_keyed(df, group), cut_lineage(assigned), ["_group"], [key]).select(*df.columns, "split")
 
 
-def _fill(groups: DataFrame, room: int) -> DataFrame:
+def _first_fit(sizes: Sequence[int], room: int) -> tuple[list[int], int]:
+    """Places of the sizes that are taken in turn while they fit, and the room left."""
+    taken = []
+    for i, size in enumerate(sizes):
+        if size <= room:
+            taken.append(i)
+            room -= size
+            if not room:
+                break
+    return taken, room
+
+
+def _fill(groups: DataFrame, room: int, window: int = FILL_WINDOW) -> DataFrame:
     """Groups accepted by first-fit in ``(h, first)`` order into ``room`` places.
 
-    A round takes the longest run of groups that fits, skips the one that does
-    not, and goes on with the groups small enough for the places left.
-    Running sums come from hash buckets, and one row per round reaches the
-    driver. The places left shrink every round, so the loop ends; it is
-    usually a handful of rounds, at worst one per distinct size that
-    still fits.
+    A step sums the sizes of each hash bucket over the groups that still fit. Buckets are taken whole while their sums fit, and those
+    with nothing that fits are not there. From the first bucket that overflows on, ``window`` groups at most come to the driver and
+    are decided one by one, with all their skips. The number of jobs is two for every ``window`` groups that still fit, whatever
+    their sizes.
     """
-    rounds: list[tuple[str, str, int]] = []
-    after, left = "", room
-    while left > 0:
-        open_groups = groups.filter((F.col("_pos") > after) & (F.col("size") <= left))
-        run = _hash_running_sum(open_groups)
-        end = run.agg(
-            F.max(F.when(F.col("_run") <= left, F.col("_run"))).alias("taken"),
-            F.min(F.when(F.col("_run") > left, F.col("_pos"))).alias("stop"),
-        ).head()
-        if end["taken"] is None:
-            break
-        rounds.append((after, end["stop"], left))
-        if end["stop"] is None:
+    spans, taken, after = [], [], ""
+    while room > 0:
+        fitting = groups.filter((F.col("_b") > after) & (F.col("size") <= room))
+        buckets = fitting.groupBy("_b").agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("groups")).orderBy("_b").collect()
+        limit, whole = room, 0
+        while whole < len(buckets) and buckets[whole]["rows"] <= room:
+            room -= buckets[whole]["rows"]
+            whole += 1
+        if whole:
+            spans.append((after, buckets[whole - 1]["_b"], limit))
+        if whole == len(buckets):
             break
-        after, left = end["stop"], left - end["taken"]
+        last, count = whole, buckets[whole]["groups"]
+        while last + 1 < len(buckets) and count + buckets[last + 1]["groups"] <= window:
+            last += 1
+            count += buckets[last]["groups"]
+        inside = F.col("_b").between(buckets[whole]["_b"], buckets[last]["_b"]) & (F.col("size") <= room)
+        rows = fitting.filter(inside).select("_pos", "size").orderBy("_pos").collect()
+        places, room = _first_fit([r["size"] for r in rows], room)
+        taken += [(rows[i]["_pos"],) for i in places]
+        after = buckets[last]["_b"]
     inside = F.lit(False)
-    for start, stop, fits in rounds:
-        span = (F.col("_pos") > start) & (F.col("size") <= fits)
-        inside = inside | (span if stop is None else span & (F.col("_pos") < stop))
-    return groups.filter(inside)
-
-
-def _hash_running_sum(groups: DataFrame) -> DataFrame:
-    sums = groups.groupBy("_b").agg(F.sum("size").alias("_n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sums.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = Window.partitionBy("_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = groups.withColumn("_in", F.sum("size").over(local))
-    return within.join(shifts, "_b").withColumn("_run", F.col("_in") + F.col("_before"))
+    for start, stop, fits in spans:
+        inside = inside | ((F.col("_b") > start) & (F.col("_b") <= stop) & (F.col("size") <= fits))
+    single = groups.sparkSession.createDataFrame(taken, "_pos string")
+    return groups.filter(inside).unionByName(lookup_join(groups, single, ["_pos"], [], "left_semi").select(*groups.columns))
 
 
 def random_group_split(df: DataFrame, group: Sequence[str], key: str, seed: int = 0,
@@ -170,14 +179,14 @@ def random_group_split(df: DataFrame, group: Sequence[str], key: str, seed: int
     ``n_rows`` is the size the floors are taken from (the unfiltered table), by default that of ``df``.
     """
     check_fractions(*fractions)
-    digits = 1 if task_slots(df.sparkSession) <= 16 else 3
     place = hash_order(seed, *[F.col("_group")[g] for g in group])
-    ordered = cut_lineage(
-        group_sizes(_keyed(df, group), ["_group"], key)
-        .withColumn("_pos", F.concat_ws(":", place, F.lpad(F.col("first").cast("string"), 20, "0")))
-        .withColumn("_b", F.substring("_pos", 1, digits))
-    )
-    n = n_rows if n_rows is not None else ordered.agg(F.sum("size")).head()[0] or 0
+    ordered = cut_lineage(group_sizes(_keyed(df, group), ["_group"], key).withColumn(
+        "_pos", F.concat_ws(":", place, F.lpad(F.col("first").cast("string"), 20, "0"))))
+    counted = ordered.agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("groups")).head()
+    n = n_rows if n_rows is not None else counted["rows"] or 0
+    # Even buckets of at most a quarter of a window.
+    digits = max(1, math.ceil(math.log(max(1, 4 * counted["groups"] / FILL_WINDOW), 16)))
+    ordered = ordered.withColumn("_b", F.substring("_pos", 1, digits))
     valid = cut_lineage(_fill(ordered, int(fractions[1] * n)).select("_group", "_pos"))
     rest = cut_lineage(ordered.join(valid, "_pos", "left_anti").select(*ordered.columns))
     test = cut_lineage(_fill(rest, int(fractions[2] * n)).select("_group", "_pos"))
