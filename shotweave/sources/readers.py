@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave import catalog
+from shotweave.sources.shards import listing
 
 INSTRUCTION_SCHEMA = "instruction string, input string, output string"
 
@@ -54,13 +55,17 @@ def prompt_catalog(spark: SparkSession, path: str, augmented: bool = False) -> D
     return (catalog.explode_augmented if augmented else catalog.explode_catalog)(parsed, "nested")
 
 
-def shards(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Parquet shards with ``shard`` (file name without ending), ``first_key`` from the name, and ``key``.
+def shards(spark: SparkSession, folder: str, *columns: str, max_shards: int | None = None) -> DataFrame:
+    """Parquet shards with ``shard`` (file name without ending), ``first_key`` from the name, and ``key``; the first ``max_shards`` files
+    in the order of their names.
 
     The first key is the number before ``-``, or the one after the last ``_``. A row's key is
     the first key plus its position in the file.
     """
-    table = spark.read.option("pathGlobFilter", "*.parquet").parquet(folder)
+    if max_shards is None:
+        table = spark.read.option("pathGlobFilter", "*.parquet").parquet(folder)
+    else:
+        table = spark.read.parquet(*[path for _, path in listing(spark, folder, max_shards)])
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", "")
     first = F.when(name.contains("_"), F.regexp_extract(name, r"_(\d+)$", 1)).otherwise(
         F.regexp_extract(name, r"^(\d+)-", 1)

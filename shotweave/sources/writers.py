@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,33 @@ def scores(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def load_or_create(spark: SparkSession, path: str, create: Callable[[], DataFrame]) -> DataFrame:
     """Read a persisted split, or create and persist it first.
 
-    Creation is hash-based, so an attempt that left no success marker is simply repeated.
+    A new table is written aside and published by one rename that fails if the target is there. Of several creators one wins; the
+    others drop their own and read the winner's. A folder without success marker is an attempt that broke off and is replaced.
     """
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        create().write.mode("overwrite").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = hadoop.Path(target, "_SUCCESS")
+    if not system.exists(done):
+        aside = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+        create().write.parquet(aside.toString())
+        if not _publish(spark, system, aside, target) and not system.exists(done):
+            system.delete(target, True)
+            _publish(spark, system, aside, target)
+        system.delete(aside, True)
     return spark.read.parquet(path)
+
+
+def _publish(spark: SparkSession, system, aside, target) -> bool:
+    """Rename ``aside`` to ``target``; false if that is taken."""
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(system.makeQualified(aside), system.makeQualified(target), none)
+    except Py4JJavaError as error:
+        taken = ("FileAlreadyExistsException", "FileNotFoundException", "IOException")
+        if error.java_exception.getClass().getSimpleName() not in taken or not system.exists(target):
+            raise
+        return False
+    return True

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave.operators import checks, melt, splits
+from shotweave.session import ensure_checkpoint_dir
+from shotweave.sources import readers, shards
 from shotweave.workloads.registry import query, table
 
 
@@ -177,6 +181,35 @@ def shuffle_rows(spark, d):
     return splits.shuffle_positions(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=42)
 
 
+SHARD_ROWS = 300
+
+
+def _shuffled_shards(spark: SparkSession, d: str) -> str:
+    """Documents written as shuffled shards of the scratch folder; a thousand rows make a few files."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    shards.write_shuffled(table(spark, d, "documents"), "doc_id", folder, SHARD_ROWS, seed=42)
+    return folder
+
+
+@query(f"""
+SELECT doc_id, r - 1 AS key, (r - 1) // {SHARD_ROWS} * {SHARD_ROWS} AS first_key, n_chars
+FROM {rank_sql("documents", "doc_id", 42)}""")
+def shuffle_files(spark, d):
+    """The permutation as files, read again by position."""
+    return readers.shards(spark, _shuffled_shards(spark, d), "doc_id", "n_chars").select("doc_id", "key", "first_key", "n_chars")
+
+
+@query(f"""
+SELECT l.doc_id AS key, quality, d.doc_id AS found, n_chars FROM labels l
+JOIN {rank_sql("documents", "doc_id", 42)} d ON l.doc_id = r - 1""")
+def shard_lookup(spark, d):
+    """Rows at given positions of the shuffled files; files that hold none of them are not read."""
+    wanted = table(spark, d, "labels").select(F.col("doc_id").alias("key"), "quality")
+    rows = shards.at_positions(spark, _shuffled_shards(spark, d), wanted, "key", "doc_id", "n_chars")
+    return rows.withColumnRenamed("doc_id", "found")
+
+
 @query("""
 SELECT 'first' AS kind, * FROM (SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 10)
 UNION ALL SELECT 'random', * FROM (SELECT doc_id, n_chars FROM documents ORDER BY md5('1:' || doc_id), doc_id LIMIT 1)

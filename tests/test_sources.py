@@ -1,11 +1,15 @@
 """Round trips through the file formats."""
 
 import json
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from shotweave import catalog
-from shotweave.sources import readers, writers
+from shotweave.operators import splits
+from shotweave.sources import readers, shards, writers
 
 
 def test_benchmark_csv(spark, tmp_path):
@@ -63,6 +67,55 @@ def test_shards(spark, tmp_path):
     assert got == [(i, f"s{i}", "0-3" if i < 3 else "test_bace_3") for i in range(6)]
 
 
+def test_max_shards(spark, tmp_path):
+    shards.write_shuffled(spark.range(100), "id", f"file://{tmp_path}/s", 30)
+    names = [p.rsplit("/", 1)[1] for _, p in shards.listing(spark, str(tmp_path / "s"))]
+    assert names == ["000-029.parquet", "030-059.parquet", "060-089.parquet", "090-099.parquet"]
+    assert readers.shards(spark, str(tmp_path / "s"), max_shards=2).agg({"key": "max"}).head()[0] == 59
+    assert [f for f, _ in shards.listing(spark, str(tmp_path / "s"), 3)] == [0, 30, 60]
+
+
+def test_shuffled_files_hold_the_permutation(spark, tmp_path):
+    df = spark.range(1000).withColumnRenamed("id", "doc_id").repartition(7)
+    shards.write_shuffled(df, "doc_id", str(tmp_path / "s"), 64, seed=3)
+    want = [r["doc_id"] for r in splits.shuffled(df, "doc_id", 3).collect()]
+    rows = {r["key"]: r["doc_id"] for r in readers.shards(spark, str(tmp_path / "s")).collect()}
+    assert [rows[i] for i in range(1000)] == want
+    in_order = [x for _, p in shards.listing(spark, str(tmp_path / "s")) for x in pq.read_table(p.removeprefix("file:"))["doc_id"].to_pylist()]
+    assert in_order == want
+    shards.write_shuffled(df.limit(0), "doc_id", str(tmp_path / "none"))
+    assert shards.listing(spark, str(tmp_path / "none")) == []
+
+
+def test_only_needed_shards_are_read(spark, tmp_path, capsys):
+    shards.write_shuffled(spark.range(100), "id", str(tmp_path / "s"), 10)
+    keys = spark.createDataFrame([(5, "a"), (42, "b"), (42, "c"), (None, "d"), (-1, "e"), (1000, "f")], "key long, x string")
+    got = shards.at_positions(spark, str(tmp_path / "s"), keys, "key", "id")
+    rows = {r["key"]: r["id"] for r in readers.shards(spark, str(tmp_path / "s")).collect()}
+    assert sorted((r["key"], r["x"], r["id"]) for r in got.collect()) == [(5, "a", rows[5]), (42, "b", rows[42]), (42, "c", rows[42])]
+    assert {f.rsplit("/", 1)[1] for f in got.inputFiles()} == {"000-009.parquet", "040-049.parquet", "090-099.parquet"}
+    assert shards.at_positions(spark, str(tmp_path / "s"), keys.filter("key < 0"), "key", "id").count() == 0
+    assert shards.at_positions(spark, str(tmp_path / "s"), keys, "key", "id", max_shards=1).count() == 1
+
+
+def test_two_creators_at_once(spark, tmp_path):
+    started, made = threading.Barrier(2, timeout=60), []
+
+    def creator(number):
+        def create():
+            started.wait()
+            made.append(number)
+            return spark.range(50).selectExpr("id", f"{number} AS maker")
+
+        return {tuple(r) for r in writers.load_or_create(spark, str(tmp_path / "split"), create).collect()}
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(creator, (1, 2))
+    assert sorted(made) == [1, 2]
+    assert one == two and len(one) == 50 and len({m for _, m in one}) == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["split"]
+
+
 def test_fingerprints_and_scores(spark, tmp_path):
     df = spark.createDataFrame([("d", 0, 1, 5), ("d", 0, 2, 3)], "dataset string, task_id int, key bigint, popcount int")
     writers.fingerprints(df, str(tmp_path / "f"))
