@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ WITHOUT_INPUT = (
 )
 RESPONSE_MARKER = "### Response:"
 
+
+class Template(NamedTuple):
+    """A prompt with an input, one without, and the words that begin the answer."""
+
+    with_input: str
+    without_input: str
+    response: str
+
+
+TEMPLATES = {"alpaca": Template(WITH_INPUT, WITHOUT_INPUT, RESPONSE_MARKER)}
+
 CATALOG_SCHEMA = "map<string,map<string,array<string>>>"
 AUGMENTED_SCHEMA = "map<string,map<string,map<string,array<string>>>>"
 
@@ -91,11 +103,25 @@ def fill(template: str, **slots: Column) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def render(instruction: Column, input: Column, label: Column | None = None) -> Column:
-    """Full prompt; the template without input serves rows whose input is null or empty."""
+def load_template(spark: SparkSession, name: str = "alpaca", folder: str | None = None) -> Template:
+    """Template by its name: a built-in one, or ``<folder>/<name>.json`` with ``prompt_input``, ``prompt_no_input``, ``response_split``."""
+    name = name or "alpaca"
+    if folder is None:
+        if name not in TEMPLATES:
+            raise ValueError(f"unknown template {name}")
+        return TEMPLATES[name]
+    schema = "prompt_input string, prompt_no_input string, response_split string"
+    row = spark.read.schema(schema).json(f"{folder}/{name}.json", multiLine=True).first()
+    if row is None or row["prompt_input"] is None or row["prompt_no_input"] is None:
+        raise ValueError(f"{folder}/{name}.json is no template")
+    return Template(row["prompt_input"], row["prompt_no_input"], row["response_split"] or RESPONSE_MARKER)
+
+
+def render(instruction: Column, input: Column, label: Column | None = None, template: Template = TEMPLATES["alpaca"]) -> Column:
+    """Full prompt; the text without input serves rows whose input is null or empty."""
     text = F.when(
-        input.isNull() | (input == ""), fill(WITHOUT_INPUT, instruction=instruction)
-    ).otherwise(fill(WITH_INPUT, instruction=instruction, input=input))
+        input.isNull() | (input == ""), fill(template.without_input, instruction=instruction)
+    ).otherwise(fill(template.with_input, instruction=instruction, input=input))
     if label is None:
         return text
     return F.concat(text, F.coalesce(label, F.lit("")))

@@ -35,7 +35,7 @@ def largest_component(text: Column, separator: str = ".") -> Column:
 
     Blank parts are dropped. NULL if no part is left.
     """
-    parts = F.filter(F.split(text, F.concat(F.lit("["), F.lit(separator), F.lit("]"))), lambda p: strip(p) != "")
+    parts = F.filter(F.split(text, F.lit(f"\\Q{separator}\\E")), lambda p: strip(p) != "")
     sized = F.transform(
         parts, lambda p, i: F.struct(component_size(p).alias("size"), (-i).alias("back"), strip(p).alias("component"))
     )

@@ -115,9 +115,11 @@ def zero_shot_rows(test: DataFrame, prompts: DataFrame, kind: str = "cla") -> Da
     )
 
 
-def first_prompts(prompts: DataFrame) -> DataFrame:
-    """``(dataset, task, instruction)``: the first variant per task of a prompt table."""
-    return prompts.filter(F.col("variant_no") == 0).select(
+def first_prompts(prompts: DataFrame, style: str | None = None) -> DataFrame:
+    """``(dataset, task, instruction)``: the first variant per task of a prompt table; with a ``style``, the first that was rewritten in it
+    (``prompts`` has ``aug`` then), and tasks without one have no row."""
+    chosen = prompts if style is None else prompts.filter(F.col("aug") == style)
+    return chosen.filter(F.col("variant_no") == 0).select(
         F.col("corpus").alias("dataset"), "task", F.col("text").alias("instruction")
     )
 

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave import catalog
 from shotweave.sources.shards import listing
 
+Hook = Callable[[DataFrame], DataFrame]
+
 INSTRUCTION_SCHEMA = "instruction string, input string, output string"
 
 
-def benchmark_csv(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+def benchmark_csv(spark: SparkSession, path: str, dataset: str, pre_filter: Hook | None = None,
+                  pre_transform: Hook | None = None) -> DataFrame:
     """``(smiles, y)`` of a downstream data set: its string column and its label columns as array<double>.
 
-    Columns are taken by position; blank labels are NULL; quoted text may hold commas.
+    Columns are taken by position; blank labels are NULL; quoted text may hold commas. The hooks are functions of the whole table
+    and become part of its plan: first the filter, then the change.
     """
     _, _, smiles_at, y_from, y_to = catalog.dataset_entry(dataset)
     raw = spark.read.csv(path, header=True, quote='"', escape='"')
     names = raw.columns
     labels = [F.col(f"`{c}`").try_cast("double") for c in names[y_from:y_to]]
-    return raw.select(F.col(f"`{names[smiles_at]}`").alias("smiles"), F.array(*labels).alias("y"))
+    rows = raw.select(F.col(f"`{names[smiles_at]}`").alias("smiles"), F.array(*labels).alias("y"))
+    for hook in (pre_filter, pre_transform):
+        rows = rows.transform(hook) if hook else rows
+    return rows
 
 
 def property_csv(spark: SparkSession, path: str) -> DataFrame:

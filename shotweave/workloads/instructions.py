@@ -136,11 +136,15 @@ def _zero_shot(spark: SparkSession, d: str) -> DataFrame:
     return _zero_shot_rows(spark, d, long, ZERO_SHOT, "cla")
 
 
-def _zero_shot_rows(spark: SparkSession, d: str, long: DataFrame, texts: dict, kind: str) -> DataFrame:
+def _zero_shot_test(spark: SparkSession, d: str, long: DataFrame) -> DataFrame:
     docs = table(spark, d, "documents")
     held_out = _doc_split(spark, d).filter(F.col("split") == "test").select("doc_id")
-    test = long.join(held_out, "doc_id").join(docs.select("doc_id", "text"), "doc_id").select(
+    return long.join(held_out, "doc_id").join(docs.select("doc_id", "text"), "doc_id").select(
         F.lit("documents").alias("dataset"), "task", F.col("doc_id").alias("row_id"), F.col("text").alias("smiles"), "label")
+
+
+def _zero_shot_rows(spark: SparkSession, d: str, long: DataFrame, texts: dict, kind: str) -> DataFrame:
+    test = _zero_shot_test(spark, d, long)
     prompts = spark.createDataFrame([("documents", t, i) for t, i in texts.items()], "dataset string, task string, instruction string")
     return rows.zero_shot_rows(test, prompts, kind)
 
@@ -170,6 +174,19 @@ def zero_shot_rows(spark, d):
     return _zero_shot(spark, d)
 
 
+STYLE = "shorten"
+
+
+@query(ZERO_SQL + f"""SELECT dataset, task, row_id, styled AS instruction, input, output FROM zero
+JOIN (VALUES {_values([(t, text) for _, t, aug, i, text in AUGMENTED if aug == STYLE and i == 0])}) p(task, styled) USING (task)""")
+def zero_shot_styled(spark, d):
+    """Zero-shot rows whose prompts were rewritten in one style."""
+    augmented = spark.createDataFrame(AUGMENTED, "corpus string, task string, aug string, variant_no int, text string")
+    prompts = rows.first_prompts(augmented, STYLE)
+    long = melt.masked_labels(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", ["quality", "toxic"])
+    return rows.zero_shot_rows(_zero_shot_test(spark, d, long), prompts, "cla")
+
+
 @query("WITH RECURSIVE" + greedy_sql("documents", "source", "doc_id") + f"""
 SELECT 'documents' AS dataset, task, doc_id AS row_id, instruction, text AS input, {NUMBER_TEXT_SQL} AS output
 FROM {NUMERIC_SQL} l JOIN documents d USING (doc_id) JOIN assigned ON grp = source

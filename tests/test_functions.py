@@ -191,3 +191,23 @@ def test_encoder_without_cache(monkeypatch):
     bits = fpx.TokenBits(166, 1)
     assert [bits[t] for t in "abcabc"] == [fpx.TokenBits(166, 1)[t] for t in "abcabc"]
     assert len(bits) == 2
+
+
+def test_template_names(spark, tmp_path):
+    assert catalog.load_template(spark, "") == catalog.TEMPLATES["alpaca"]
+    with pytest.raises(ValueError):
+        catalog.load_template(spark, "other")
+    (tmp_path / "t.json").write_text('{"description": "x",\n "prompt_input": "{instruction}|{input}|",\n "prompt_no_input": "{instruction}|"}')
+    own = catalog.load_template(spark, "t", str(tmp_path))
+    assert own.response == catalog.RESPONSE_MARKER
+    assert one(spark, catalog.render(s("a"), s("b"), s("c"), own)) == "a|b|c"
+    assert one(spark, catalog.render(s("a"), s(""), template=own)) == "a|"
+    (tmp_path / "bad.json").write_text('{"prompt_input": "x"}')
+    with pytest.raises(ValueError):
+        catalog.load_template(spark, "bad", str(tmp_path))
+
+
+@pytest.mark.parametrize("separator", [".", "]", "^", "\\", "-", "||"])
+def test_component_separators(spark, separator):
+    part = cleaning.largest_component(s(separator.join(["CC", "CCCC", "C"])), separator)
+    assert one(spark, part.getField("component")) == "CCCC"
