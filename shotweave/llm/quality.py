@@ -1,4 +1,10 @@
-"""Document quality by co-training of a text-content and a page-metadata classifier."""
+"""Document quality by co-training of a text-content and a page-metadata classifier.
+
+The features of all rows are written once. In every round each classifier labels the rows of the pool it is surest of, in Spark, and
+the other is trained on them where they lie: every partition fits on the labelled sample and its own pseudo-labelled rows, and the
+parameters are averaged by the number of those rows. What reaches the driver is the bounded labelled sample, counts by confidence
+and averaged parameters.
+"""
 
 from __future__ import annotations
 
@@ -12,15 +18,16 @@ from pyspark.sql import functions as F
 
 from shotweave.llm.flat import flat_text, mix, pieces, prefix_hash, stretch_hash, words_of
 from shotweave.llm.registry import query, table
+from shotweave.llm.scratch import Scratch
 from shotweave.session import cut_lineage
 
 LABELLED_SAMPLE = 5000
-POOL_SAMPLE = 4000
 WORD_BUCKETS = 512
 CATEGORY_BUCKETS = 16
 ROUNDS = 4
 SHARE_PER_ROUND = 0.05
 CONFIDENT = 0.9
+BINS, REACH = 4000, 40.0
 
 
 def content_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -85,8 +92,10 @@ class Logistic:
     b: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> Logistic:
-        mean, scale, y = x.mean(0), x.std(0) + 1e-3, y.astype(np.float32)
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150, like: Logistic | None = None) -> Logistic:
+        """``like`` lends its standardisation, so that parameters of several fits can be averaged."""
+        mean, scale, y = (x.mean(0), x.std(0) + 1e-3, y) if like is None else (like.mean, like.scale, y)
+        y = y.astype(np.float32)
         z = ((x - mean) / scale).astype(np.float32)
         weight = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
         weight = weight.astype(np.float32)
@@ -119,35 +128,112 @@ class CoTrained:
         return sigmoid(self.combine.logit(np.stack([self.content.logit(a), self.metadata.logit(b)], 1).clip(-12, 12)))
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, share: float = SHARE_PER_ROUND,
+@dataclass
+class Cut:
+    """Which pool rows a view labels: those beyond a confidence bin, and a share of that bin's own rows."""
+
+    bin: int
+    share: float
+
+    def picks(self, bins: np.ndarray, dice: np.ndarray) -> np.ndarray:
+        return (bins > self.bin) | ((bins == self.bin) & (dice < self.share))
+
+
+def bins_of(logit: np.ndarray) -> np.ndarray:
+    """Confidence bin of log odds; the other class's is ``BINS - 1`` minus it."""
+    return np.clip(((logit + REACH) * (BINS / (2 * REACH))).astype(np.int64), 0, BINS - 1)
+
+
+def cut_of(counts: np.ndarray, limit: float, confident: float) -> Cut:
+    """The surest rows, ``limit`` of them on average, none under ``confident``."""
+    least = int(bins_of(np.array([np.log(confident / (1 - confident))]))[0]) + 1
+    beyond = np.r_[np.cumsum(counts[::-1])[::-1], 0]        # rows in this bin or a surer one
+    full = int(np.argmax(beyond <= limit))                  # from here on every row is taken
+    if full <= least:
+        return Cut(least - 1, 0.0)
+    left = limit - beyond[full]
+    return Cut(full - 1, min(1.0, left / max(1, counts[full - 1])))
+
+
+def matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    a = np.frombuffer(b"".join(batch.column("a").to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float32)
+    return a, np.frombuffer(b"".join(batch.column("b").to_pylist()), np.float32).reshape(batch.num_rows, -1)
+
+
+def confidence_counts(features: DataFrame, models: list[Logistic]) -> np.ndarray:
+    """Pool rows by view and confidence bin, summed over tasks."""
+    shared = features.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BINS), np.int64)
+        for batch in batches:
+            for k, x in enumerate(matrices(batch)):
+                counts[k] += np.bincount(bins_of(shared.value[k].logit(x)), minlength=BINS)
+        view, place = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (view, place, counts[view, place])], names=["view", "bin", "n"])
+
+    out = np.zeros((2, BINS), np.int64)
+    for r in features.filter("y < 0").mapInArrow(run, "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+        out[r["view"], r["bin"]] = r["n"]
+    return out
+
+
+def trained_where_they_lie(features: DataFrame, models: list[Logistic], cuts: list[tuple[Cut, Cut]],
+                           base: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[Logistic]:
+    """Each view trained on the labelled rows ``base`` and the rows the other view labels; a view that gets none stays as it is."""
+    shared = features.sparkSession.sparkContext.broadcast((models, cuts, base))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, cuts, base = shared.value
+        given = [[], []]
+        for batch in batches:
+            views, dice = matrices(batch), batch.column("dice").to_numpy()
+            for k in (0, 1):
+                bins = bins_of(models[k].logit(views[k]))
+                good, bad = cuts[k][0].picks(bins, dice), cuts[k][1].picks(BINS - 1 - bins, dice)
+                sure = good | bad
+                given[1 - k].append((views[1 - k][sure], good[sure].astype(float)))
+        rows = []
+        for k in (0, 1):
+            x, y = (np.concatenate(c) for c in zip(*given[k])) if given[k] else (np.zeros((0, 1)), np.zeros(0))
+            if len(y):
+                model = Logistic.fit(np.concatenate([base[k], x]), np.r_[base[2], y].astype(float), like=models[k])
+                rows += [(k, j, v * len(y), len(y)) for j, v in enumerate([*model.w.tolist(), float(model.b)])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+            (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["view", "at", "total", "n"])
+
+    sums = features.filter("y < 0").mapInArrow(run, "view long, at long, total double, n long").groupBy("view", "at").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
+    out = []
+    for k, old in enumerate(models):
+        mine = {r["at"]: r["total"] / r["n"] for r in sums if r["view"] == k}
+        values = np.array([mine[j] for j in range(len(mine))], np.float32)
+        out.append(Logistic(old.mean, old.scale, values[:-1], float(values[-1])) if mine else old)
+    return out
+
+
+def co_train(features: DataFrame, a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, share: float = SHARE_PER_ROUND,
              confident: float = CONFIDENT) -> CoTrained:
-    """Train on rows with ``y`` 0 or 1 and on the pool, whose ``y`` is -1.
+    """Train on the labelled rows ``a, b, y`` and on the pool, the rows of ``features(doc_id, y, a, b, dice)`` whose ``y`` is -1.
 
-    In each round either classifier labels the pool rows it is surest of (at most ``share`` of the pool a round for each class,
-    none under ``confident``), and these join the other's training rows. A fifth of the labelled rows is kept out of all
-    rounds to calibrate: a logistic regression on both log odds.
+    In round r either classifier labels, for each class, the ``r * share`` of the pool it is surest of, none under ``confident``, and
+    the other is trained on these rows; labels are given anew in every round. Without a pool, or without sure rows, the two
+    classifiers are those of the labelled rows. A fifth of the labelled rows is kept out of all rounds to calibrate: a
+    logistic regression on both log odds.
     """
-    labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     hold = np.zeros(len(y), bool)
-    hold[labelled[::5]] = len(labelled) >= 20
-    base = labelled[~hold[labelled]]
-    views = (a, b)
-    extra = [dict(), dict()]                    # rows given to a view by the other, with their pseudo-label
-
-    def fit(k: int) -> Logistic:
-        rows = np.r_[base, np.array(list(extra[k]), int)].astype(int)
-        return Logistic.fit(views[k][rows], np.r_[y[base], np.array(list(extra[k].values()))].astype(float))
-
-    models = [fit(0), fit(1)]
-    limit = int(share * len(pool))
-    for _ in range(rounds if limit else 0):
-        for k in (0, 1):
-            p = sigmoid(models[k].logit(views[k][pool]))
-            for value, sure in ((1, p), (0, 1 - p)):
-                for i in np.argsort(-sure, kind="stable")[:limit][np.sort(-sure)[:limit] <= -confident]:
-                    extra[1 - k].setdefault(int(pool[i]), value)
-        models = [fit(0), fit(1)]
-    rows = np.flatnonzero(hold) if hold.any() else base
+    hold[::5] = len(y) >= 20
+    views, known = (a, b), ~hold
+    base = a[known], b[known].astype(np.float32), y[known].astype(float)
+    models = [Logistic.fit(views[k][known], base[2]) for k in (0, 1)]
+    for r in range(1, rounds + 1):
+        counts = confidence_counts(features, models)
+        limit = r * share * counts[0].sum()
+        cuts = [(cut_of(counts[k], limit, confident), cut_of(counts[k][::-1], limit, confident)) for k in (0, 1)]
+        if not limit:
+            break
+        models = trained_where_they_lie(features, models, cuts, base)
+    rows = np.flatnonzero(hold) if hold.any() else np.arange(len(y))
     z = np.stack([models[k].logit(views[k][rows]) for k in (0, 1)], 1).clip(-12, 12)
     return CoTrained(*models, Logistic.fit(z, y[rows].astype(float), 1e-2))
 
@@ -158,21 +244,27 @@ def views_of(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return content_view(data, offsets), metadata_view(data, offsets, lang, source)
 
 
+def labelled_ids(labels: DataFrame, label_col: str, train: Column, n: int) -> DataFrame:
+    """``_id, y`` of at most ``n`` labelled ids, chosen by a hash; an id with labels of both classes is not labelled."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).filter(train).groupBy(
+        F.col("doc_id").cast("long").alias("_id")).agg(
+        F.min((F.col(label_col) == 1).cast("int")).alias("y"), F.max((F.col(label_col) == 1).cast("int")).alias("_most"))
+    return known.filter("y = _most").select("_id", "y").orderBy(F.xxhash64("_id"), "_id").limit(n)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "quality",
-                labelled: int = LABELLED_SAMPLE, pool: int = POOL_SAMPLE) -> CoTrained | None:
-    """Co-train on at most ``labelled`` labelled rows (chosen by a hash of the id among those where ``train`` holds) and ``pool`` rows
-    without a label. Both bounds are parameters; the ids are few enough to broadcast, so no text shuffles. None without labels
-    of both classes."""
-    def chosen(ids: DataFrame, n: int) -> DataFrame:
-        return ids.orderBy(F.xxhash64("_id"), "_id").limit(n)
-
-    known = labels.filter(F.col(label_col).isNotNull()).select(
-        F.col("doc_id").cast("long").alias("_id"), (F.col(label_col) == 1).cast("int").alias("y"), train.alias("_train"))
-    seen = chosen(known.filter("_train").drop("_train"), labelled)
-    free = chosen(docs.select(F.col("doc_id").cast("long").alias("_id")), 4 * pool).join(
-        known.select("_id").distinct(), "_id", "left_anti")
-    ids = cut_lineage(seen.unionByName(chosen(free, pool).withColumn("y", F.lit(-1)))).dropDuplicates(["_id"])
-    sample = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+                labelled: int = LABELLED_SAMPLE) -> CoTrained | None:
+    """Co-train on at most ``labelled`` labelled rows (chosen by a hash of the id among those where ``train`` holds) and on all other
+    rows of ``docs`` as the pool; labels beyond the sample are not used, their rows are in the pool.
+
+    The labelled ids are few enough to broadcast, so no text shuffles. Of rows repeating a labelled id one is trained on, all are out of
+    the pool. None without labels of both classes.
+    """
+    ids = cut_lineage(labelled_ids(labels, label_col, train, labelled))
+    if ids.agg(F.count_distinct("y")).first()[0] < 2:
+        return None
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    marked = source.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left").withColumn("y", F.coalesce("y", F.lit(-1))).drop("_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -182,13 +274,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label_col: st
                 pa.array([r.tobytes() for r in a.astype(np.float16)], pa.binary()),
                 pa.array([r.tobytes() for r in b.astype(np.float32)], pa.binary())], names=["doc_id", "y", "a", "b"])
 
-    rows = sample.mapInArrow(run, "doc_id long, y int, a binary, b binary").toPandas().sort_values("doc_id")
+    scratch = Scratch(docs.sparkSession)
+    dice = F.pmod(F.xxhash64("doc_id", "a"), F.lit(1 << 20)).cast("double") / F.lit(float(1 << 20))
+    features = scratch.write(marked.mapInArrow(run, "doc_id long, y int, a binary, b binary").withColumn("dice", dice))
+    rows = features.filter("y >= 0").groupBy("doc_id").agg(F.min(F.struct("y", "a", "b")).alias("r")).select("doc_id", "r.*")
+    rows = rows.toPandas().sort_values("doc_id")
     y = rows["y"].to_numpy()
     if not ((y == 1).any() and (y == 0).any()):
         return None
     a = np.frombuffer(b"".join(rows["a"]), np.float16).reshape(len(rows), -1).astype(np.float32)
-    b = np.frombuffer(b"".join(rows["b"]), np.float32).reshape(len(rows), -1).astype(float)
-    return co_train(a, b, y)
+    b = np.frombuffer(b"".join(rows["b"]), np.float32).reshape(len(rows), -1)
+    model = co_train(features, a, b, y)
+    scratch.drop(features)
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None) -> DataFrame:

@@ -400,6 +400,53 @@ def test_quality(spark):
     assert got.score.between(0, 1).all() and len(got) == 242
 
 
+def test_quality_pool_is_every_other_row(spark, monkeypatch):
+    """Few labels: the pool is all the rest, and is pseudo-labelled in every round."""
+    table, labels = labelled(spark, "quality")
+    seen = []
+    counted = quality.confidence_counts
+    monkeypatch.setattr(quality, "confidence_counts", lambda f, m: seen.append(counted(f, m)) or seen[-1])
+    model = quality.fit_quality(table, labels, F.lit(True), labelled=30)
+    assert [c.sum(axis=1).tolist() for c in seen] == [[212, 212]] * quality.ROUNDS
+    got = frame(quality.score_quality(table, model))
+    assert np.mean([(got.score[r.doc_id] >= 0.5) == bool(r.quality) for r in labels.collect()]) > 0.97
+
+
+def test_quality_without_a_pool(spark):
+    table, labels = labelled(spark, "quality")
+    known = table.join(labels.select("doc_id"), "doc_id", "left_semi")
+    model = quality.fit_quality(known, labels, F.lit(True))
+    got = frame(quality.score_quality(known, model))
+    assert np.mean([(got.score[r.doc_id] >= 0.5) == bool(r.quality) for r in labels.collect()]) > 0.97
+
+
+def test_quality_of_contradicting_and_repeated_labels(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    assert sorted(map(tuple, quality.labelled_ids(labels, "quality", F.lit(True), 10).collect())) == [(2, 1), (3, 0)]
+    table, _ = labelled(spark, "quality")
+    twice = table.unionByName(table.filter("doc_id < 40"))
+    assert quality.fit_quality(twice, labels, F.lit(True)) is not None
+    assert quality.fit_quality(table, labels.filter("doc_id = 2"), F.lit(True)) is None
+
+
+def test_confidence_cut_takes_its_share():
+    rng = np.random.default_rng(3)
+    logit = np.r_[rng.normal(size=5000), np.full(5000, 50.0)]
+    bins, dice = quality.bins_of(logit), rng.random(10000)
+    counts = np.bincount(bins, minlength=quality.BINS)
+    for limit in (500, 5000, 5100):
+        picked = quality.cut_of(counts, limit, 0.6).picks(bins, dice)
+        assert abs(picked.sum() - limit) < 100 and logit[picked].min() > np.log(0.6 / 0.4) - 0.1
+    assert quality.cut_of(counts, 9999, 0.9).picks(bins, dice).sum() < 5200
+    assert quality.cut_of(counts, 0, 0.9).picks(bins, dice).sum() == 0
+
+
+def test_held_out_of_quality(spark):
+    got = QUERIES["op4_quality"](spark, FOLDER).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert all(r["predicted"] == int(r["score"] >= 0.5) for r in got)
+
+
 def test_empty_tables(spark, empty):
     path = bpe.vocabulary_path("word_bpe_49k.json")
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
