@@ -274,6 +274,33 @@ def test_packing(docs, texts):
     assert filled.ngroups <= -(-total // 2048) + 2
 
 
+def test_open_sequences_are_packed_again():
+    rng = np.random.default_rng(4)
+    sizes = np.sort(np.minimum(rng.exponential(600, 3000).astype(int) + 1, 2047))[::-1]
+    number, offset = packing.packed(sizes, 2048)
+    made = len(np.unique(number))
+    assert made <= len(np.unique(packing.sum_of_squares(sizes, 2048)[0]))
+    assert made <= 1.002 * sizes.sum() / 2048 + 1
+    for b in np.unique(number):
+        at = np.argsort(offset[number == b])
+        ends = np.cumsum(sizes[number == b][at])
+        assert (offset[number == b][at] == np.r_[0, ends[:-1]]).all() and ends[-1] <= 2048
+    assert packing.packed(sizes[:0], 2048)[0].size == 0
+    assert sorted(packing.best_fit(np.array([3, 3, 2, 2]), 5)[0].tolist()) == [0, 0, 1, 1]
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    items = spark.createDataFrame([(i, 100 + i, 7, "g") for i in range(60)], "id long, length long, _row int, _group string")
+    got = packing.pack(items, 2048).collect()
+    assert {(r["_row"], r["_group"]) for r in got} == {(7, "g")} and len(got) == 60
+
+
+def test_packing_is_close_to_the_bound(spark):
+    for name, most in (("sf0.01", 443), ("sf0.1", 4543)):
+        plan = QUERIES["op7_packing"](spark, f"/root/testdata/{name}")
+        assert plan.select("sequence_id").distinct().count() <= most
+
+
 def test_sum_of_squares_is_near_the_bound():
     sizes = np.sort(np.random.default_rng(3).integers(1, 900, 4000))[::-1]
     number, offset = packing.sum_of_squares(sizes, 2048)
