@@ -655,14 +655,16 @@ def nearest_within(queries: DataFrame, candidates: DataFrame | None, k: int, min
 # --- quality of a search ----------------------------------------------------------------------------------------
 
 
-def self_recall(table: DataFrame, search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
-    """Share of rows whose first neighbour in the whole table is the row itself.
+def self_recall(table: DataFrame, search: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """``queries, recall, same``: how many rows have a first neighbour in their own table, the share whose neighbour is the row itself,
+    and the share whose neighbour has an equal fingerprint (of a copy group only the smallest key finds itself).
 
-    Copies count as misses unless the row has the smallest key of its copy group.
+    The default search is exact and only looks at equal fingerprints, as a row is at distance 0 of itself.
     """
-    top = search(table, table, 1)
+    top = search(table, table, 1) if search else nearest(table, table, 1, min_similarity=1.0)
     return top.agg(
-        F.count(F.lit(1)).alias("queries"), F.avg((F.col("key") == F.col("query_id")).cast("double")).alias("recall")
+        F.count(F.lit(1)).alias("queries"), F.avg((F.col("key") == F.col("query_id")).cast("double")).alias("recall"),
+        F.avg((F.col("distance") == 0.0).cast("double")).alias("same"),
     )
 
 

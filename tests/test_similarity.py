@@ -182,8 +182,9 @@ def test_self_recall(spark, rows):
         if bits:
             distinct.setdefault(tuple(bits), []).append(key)
     n = sum(len(v) for v in distinct.values())
-    got = similarity.self_recall(frame(spark, rows), similarity.nearest).head()
-    assert got["queries"] == n and got["recall"] == pytest.approx(len(distinct) / n)
+    for search in (None, similarity.nearest, similarity.nearest_lsh):
+        got = similarity.self_recall(frame(spark, rows), search).head()
+        assert got["queries"] == n and got["recall"] == pytest.approx(len(distinct) / n) and got["same"] == 1.0
 
 
 def test_external_encoder(spark):
