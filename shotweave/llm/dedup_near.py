@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotweave.llm.dedup_exact import split_by_ids, without
@@ -24,6 +24,7 @@ PAIRS_PER_TASK_KEY = 500
 SKETCH_SYMBOLS = 64
 SKETCH_DISTANCE = 32
 PARITY_BITS = 1024
+CROWD = 64
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +185,8 @@ def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
        distinct pairs are confirmed on the full sets and joined into components: in a bucket whose members now all lie
        in one component no further pair can change the result.
     3. In the other buckets every pair from different components whose signatures are near enough is confirmed too, so no
-       candidate of the index is lost, and components are joined again.
+       candidate of the index is lost, and components are joined again. Crowded buckets are replaced by lists of rare shingles, which
+       hold all pairs that can be near.
 
     A pair at similarity 0.75 is missed by all chunks with probability (1 - 0.633)^10, under 5 in 100 000, and less the more
     alike the texts are. Null and empty texts have no shingles and stand alone. Rows repeating an id share a component if
@@ -209,7 +211,7 @@ def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sets = cut_lineage(shingle_sets(maybe).join(wanted, "doc_id", "left_semi"))
     links = cut_lineage(confirmed(stars, sets, percent))
     labels = connected_components(links)
-    more = cut_lineage(_open_pairs(placed, labels, stars, rows.select("doc_id", "n_shingles", "sketch", "parity"), percent))
+    more = cut_lineage(_open_pairs(placed, labels, stars, rows.select("doc_id", "n_shingles", "sketch", "parity"), sets, percent))
     if not more.isEmpty():
         links = cut_lineage(links.unionByName(confirmed(more, sets, percent)))
         labels = connected_components(links)
@@ -221,11 +223,16 @@ def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
                       ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_pairs(placed: DataFrame, labels: DataFrame, done: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(placed: DataFrame, labels: DataFrame, done: DataFrame, rows: DataFrame, sets: DataFrame, percent: int,
+                crowd: int | None = None) -> DataFrame:
     """Distinct pairs of bucket members in different components that were not compared yet.
 
     Buckets whose members all lie in one component are left out, so a group of near copies is never expanded into its pairs.
-    Of the rest come only pairs that can still be similar. Sets with intersection I and union U have I + U shingles together and U - I in
+    Members of open buckets with more than ``crowd`` rows (``CROWD``), such as documents that share a template, are not paired there but under the
+    rare shingles that near copies must have in common (:func:`rare_lists`). In every list the members outside its most
+    frequent component meet the others.
+
+    Of the pairs come only those that can still be similar. Sets with intersection I and union U have I + U shingles together and U - I in
     their symmetric difference; so at similarity p the difference is at most (1 - p) / (1 + p) of the sum of sizes, and the
     parity sketches differ in no more bits. This test loses nothing and settles sets up to about a thousand shingles. For larger
     ones the signatures must not differ in more than ``SKETCH_DISTANCE`` of ``SKETCH_SYMBOLS`` symbols (a pair at similarity 0.75
@@ -233,20 +240,51 @@ def _open_pairs(placed: DataFrame, labels: DataFrame, done: DataFrame, rows: Dat
     """
     named = placed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    left = cut_lineage(named.join(mixed, "key", "left_semi").join(rows.dropDuplicates(["doc_id"]), "doc_id").select(
-        "key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"),
-        F.col("sketch").alias("sa"), F.col("parity").alias("pa")))
+    open_ = cut_lineage(named.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi"))
+    crowd = CROWD if crowd is None else crowd
+    lists = named.join(open_.filter(F.col("n") <= crowd).select("key"), "key", "left_semi")
+    crowded = open_.filter(F.col("n") > crowd).select("key")
+    if not crowded.isEmpty():
+        members = cut_lineage(named.join(crowded, "key", "left_semi").select("doc_id", "component").distinct())
+        lists = lists.unionByName(rare_lists(members, sets, percent))
+    lists = cut_lineage(lists)
+    # The most frequent component of every list that has several.
+    main = lists.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(
+        "key", F.col("main.component").alias("main"))
+    left = cut_lineage(lists.join(main, "key").join(rows.dropDuplicates(["doc_id"]), "doc_id").select(
+        "key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), (F.col("component") != F.col("main")).alias("asks"),
+        F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa")))
     right = left.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("sa").alias("sb"), F.col("pa").alias("pb"))
-    close = ((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    close = ((F.col("ca") != F.col("cb"))
              & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
              & (F.lit(100 + percent) * parity_distance("pa", "pb") <= F.lit(100 - percent) * (F.col("na") + F.col("nb")))
              & (sketch_distance("sa", "sb") <= SKETCH_DISTANCE))
-    left, right = afresh(left, "key"), afresh(right, "key").withColumnRenamed("key", "other_key")
-    pairs = left.join(right, (F.col("key") == F.col("other_key")) & close).select("a", "b").distinct()
+    left, right = afresh(left.filter("asks"), "key"), afresh(right, "key").withColumnRenamed("key", "other_key")
+    pairs = left.join(right, (F.col("key") == F.col("other_key")) & close).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+def rare_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``key, doc_id, component``: the ``members(doc_id, component)`` under the rarest of their shingles.
+
+    Shingles are ordered from rare to frequent among the members. Two sets of n or more shingles of which ``percent`` are common have
+    one in common among the first ``n - ceil(n * percent / 100) + 1`` of either, so no such pair is lost, and what a whole crowd has in
+    common makes no list. Shingles of a single member are only counted. Frequent shingles are counted with partial sums and joined
+    by broadcast.
+    """
+    each = sets.join(members, "doc_id").select(
+        "doc_id", "component", F.xxhash64("shingles").alias("text"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    held = cut_lineage(each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    common = join_groups(each, held, ["key"], "held").filter("held is not null")
+    text = Window.partitionBy("doc_id", "text")
+    placed = common.withColumn("at", F.row_number().over(text.orderBy("held", "key"))).withColumn("common", F.count(F.lit(1)).over(text))
+    first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - (F.col("n") - F.col("common"))
+    return placed.filter(F.col("at") <= first).select("key", "doc_id", "component").distinct()
+
+
 def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each component (its smallest id), with all columns."""
     gone = near_components(docs, percent, id_col, text_col).filter("not kept").select("doc_id")
