@@ -228,9 +228,9 @@ def _open_pairs(placed: DataFrame, labels: DataFrame, done: DataFrame, rows: Dat
     """Distinct pairs of bucket members in different components that were not compared yet.
 
     Buckets whose members all lie in one component are left out, so a group of near copies is never expanded into its pairs.
-    Members of open buckets with more than ``crowd`` rows (``CROWD``), such as documents that share a template, are not paired there but under the
-    rare shingles that near copies must have in common (:func:`rare_lists`). In every list the members outside its most
-    frequent component meet the others.
+    In every other bucket the members outside its most frequent component meet all members. Where more than ``crowd`` (``CROWD``) are
+    outside, as with documents that share a template, they meet under the rare shingles instead that near copies must have in
+    common (:func:`rare_lists`).
 
     Of the pairs come only those that can still be similar. Sets with intersection I and union U have I + U shingles together and U - I in
     their symmetric difference; so at similarity p the difference is at most (1 - p) / (1 + p) of the sum of sizes, and the
@@ -270,15 +270,16 @@ def _open_pairs(placed: DataFrame, labels: DataFrame, done: DataFrame, rows: Dat
 def rare_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``key, doc_id, component``: the ``members(doc_id, component)`` under the rarest of their shingles.
 
-    Shingles are ordered from rare to frequent among the members. Two sets of n or more shingles of which ``percent`` are common have
-    one in common among the first ``n - ceil(n * percent / 100) + 1`` of either, so no such pair is lost, and what a whole crowd has in
-    common makes no list. Shingles of a single member are only counted. Frequent shingles are counted with partial sums and joined
-    by broadcast.
+    Shingles that only one component has come first, the others from rare to frequent among the members. Two sets of n or more
+    shingles of which ``percent`` are common have one in common among the first ``n - ceil(n * percent / 100) + 1`` of either, so
+    no such pair of two components is lost, and what a whole crowd has in common makes no list. Shingles of one component are
+    only counted.
     """
     each = sets.join(members, "doc_id").select(
         "doc_id", "component", F.xxhash64("shingles").alias("text"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    held = cut_lineage(each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
-    common = join_groups(each, held, ["key"], "held").filter("held is not null")
+    held = cut_lineage(each.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo != hi").select("key", "held"))
+    common = each.join(held, "key")
     text = Window.partitionBy("doc_id", "text")
     placed = common.withColumn("at", F.row_number().over(text.orderBy("held", "key"))).withColumn("common", F.count(F.lit(1)).over(text))
     first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - (F.col("n") - F.col("common"))
