@@ -218,3 +218,53 @@ def test_few_queries_equal_the_block_search(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
     assert similarity.nearest_few(few, table, 2, max_queries=3).count() == similarity.nearest_few(few, table, 2).count()
     assert similarity.nearest_few(few.limit(0), table, 2).count() == 0
+
+
+def test_blocks_of_a_long_table_are_a_share_of_it(spark):
+    """Twenty times the rows are sent to no more blocks."""
+    def sent(n):
+        side = spark.range(n).select(F.lit(0).alias("_all"), (F.col("id") % 166 + 1).cast("int").alias("pc"))
+        row = similarity._layout(side, side, ["_all"], 8).head()
+        return row["_q_parts"], sum(b["parts"] for b in row["_blocks"])
+
+    (q_small, c_small), (q_large, c_large) = sent(2000), sent(40_000)
+    assert q_large <= q_small <= similarity.BLOCK_PARTS and c_large <= c_small
+
+
+@pytest.mark.parametrize("width, k, floor", [(192, 5, 0.0), (192, 3, 0.6), (2048, 4, 0.0), (2048, 6, 0.7)])
+def test_block_search_over_many_tiles_and_slabs(monkeypatch, width, k, floor):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "TILE_ROWS", 16)
+    monkeypatch.setattr(similarity, "SLAB_ROWS", 32)
+    rng = np.random.default_rng(width + k)
+
+    centres = rng.random((8, width)) < rng.uniform(0.03, 0.3, (8, 1))
+
+    def side(n):
+        on = centres[rng.integers(0, 8, n)] ^ (rng.random((n, width)) < rng.choice([0.0, 0.002, 0.05], (n, 1)))
+        on[:, 0] = True
+        prints = pa.array([row.tobytes() for row in np.packbits(on, axis=1)], pa.binary())
+        return on, pa.table({"fp": prints, "pc": on.sum(axis=1), "floor": np.full(n, floor)})
+
+    (q, queries), (c, candidates) = side(50), side(300)
+    times = rng.integers(1, 4, len(c))
+    keys = rng.permutation(times.sum())
+    members = [sorted(part.tolist()) for part in np.split(keys, np.cumsum(times)[:-1])]
+    row, dist, key = similarity._block_search(k)(queries, candidates, pa.array(members, pa.list_(pa.int64())))
+    want = set()
+    for i, bits in enumerate(q):
+        both = (bits & c).sum(axis=1)
+        similar = both / (bits.sum() + c.sum(axis=1) - both)
+        near = sorted((1.0 - s, m) for s, some in zip(similar, members) if s >= floor for m in some)
+        want |= {(i, m, round(d, 12)) for d, m in near[:k]}
+    assert set(zip(row.tolist(), key.tolist(), np.round(dist, 12).tolist())) == want and want
+
+
+def test_long_lists_of_rare_bits_repeat_no_row(spark, rows, monkeypatch):
+    """Where bits have long lists, rows are not listed under each of them."""
+    monkeypatch.setattr(similarity, "LONG_LIST", 2)
+    monkeypatch.setattr(similarity, "_bucket_search", lambda *_: pytest.fail("rows were listed under their bits"))
+    got = similarity.nearest_within(frame(spark, rows), None, 6, 0.8, n_bits=192, block_rows=16)
+    assert found(got) == brute(rows, rows, 6, False, True, 0.8)
