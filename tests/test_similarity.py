@@ -268,3 +268,20 @@ def test_long_lists_of_rare_bits_repeat_no_row(spark, rows, monkeypatch):
     monkeypatch.setattr(similarity, "_bucket_search", lambda *_: pytest.fail("rows were listed under their bits"))
     got = similarity.nearest_within(frame(spark, rows), None, 6, 0.8, n_bits=192, block_rows=16)
     assert found(got) == brute(rows, rows, 6, False, True, 0.8)
+
+
+def test_self_recall_query_searches_the_whole_table(spark, tmp_path, monkeypatch):
+    from shotweave.workloads import QUERIES, SQL
+
+    spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d e"), (4, "")], "doc_id bigint, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    floors, search = [], similarity.nearest
+
+    def noted(queries, candidates, k, by=(), min_similarity=0.0):
+        floors.append(min_similarity)
+        return search(queries, candidates, k, by, min_similarity)
+
+    monkeypatch.setattr(similarity, "nearest", noted)
+    got = QUERIES["self_recall"](spark, str(tmp_path)).head()
+    assert floors == [0.0] and got.asDict() == {"queries": 3, "recall": pytest.approx(2 / 3), "same": 1.0}
+    assert "1.0::DOUBLE AS same" not in SQL["self_recall"]
