@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shotweave.session import cut_lineage
 
 HOT_GROUPS = 1000
+LEAST_PARTS, ROWS_A_PART = 8, 50_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
@@ -40,18 +41,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round takes the smallest label of the neighbours and then the label of that label, so distances halve; the number of
     rounds grows with the logarithm of the longest path. Labels are checkpointed once a round. Minima are pre-aggregated, joins
-    on hot nodes can be split by the adaptive planner.
+    on hot nodes can be split by the adaptive planner. Every round shuffles six times, and a task leaves files in each; what a round
+    shuffles and writes comes from as many tasks as the number of edges calls for, not from one for each shuffle partition.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component"))
+    parts = max(LEAST_PARTS, -(-edges.count() // ROWS_A_PART))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")).coalesce(parts)
     while True:
-        near = afresh(both, "a").join(afresh(labels, "node").withColumnRenamed("node", "a"), "a")
+        near = afresh(both, "a").join(afresh(labels, "node").withColumnRenamed("node", "a"), "a").coalesce(parts)
         low = near.groupBy(F.col("b").alias("node")).agg(F.min("component").alias("low"))
         step = labels.join(low, "node", "left").select(
-            "node", F.least("component", "low").alias("component"), F.col("component").alias("old"))
+            "node", F.least("component", "low").alias("component"), F.col("component").alias("old")).coalesce(parts)
         up = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
         jumped = cut_lineage(afresh(step, "component").join(afresh(up, "component"), "component", "left").select(
-            "node", F.least("component", F.coalesce("top", "component")).alias("component"), "old"))
+            "node", F.least("component", F.coalesce("top", "component")).alias("component"), "old").coalesce(parts))
         labels = jumped.select("node", "component")
         if jumped.filter("component != old").isEmpty():
             return labels
