@@ -559,3 +559,18 @@ def test_pipeline(spark):
     final = corpus_pipeline.run(spark, FOLDER).toPandas()
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert final[key].sort_values(key).reset_index(drop=True).equals(after[key].sort_values(key).reset_index(drop=True))
+
+
+def test_component_rounds_write_few_files(spark):
+    from shotweave.llm.skew import LEAST_PARTS, connected_components
+
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = connected_components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"))
+        assert got.rdd.getNumPartitions() <= LEAST_PARTS
+        assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
