@@ -151,6 +151,22 @@ def test_uncertain_queries_are_searched_exactly(spark, rows):
         assert found(got) == brute(rows, rows, 5, bool(by), True)
 
 
+@pytest.mark.parametrize("limit", [2, 256])
+def test_buckets_emit_only_rows_that_can_stop_a_query(spark, rows, limit, monkeypatch):
+    """In small buckets and in large ones, which are sent to no block out of reach; the result is that of comparing everything."""
+    enough, met, best = similarity.certain_similarity(4, 4, 0.95), [], similarity._best_rows
+
+    def noted(hits, by, k):
+        met.append(hits.agg(F.max("distance")).head()[0])
+        return best(hits, by, k)
+
+    monkeypatch.setattr(similarity, "SMALL_BUCKET", limit)
+    monkeypatch.setattr(similarity, "_best_rows", noted)
+    got = similarity.nearest_lsh(frame(spark, rows), None, 4, bands=4, rows=4, small_rows=0, block_rows=8)
+    assert met[0] <= 1.0 - enough + 1e-9
+    assert {g[:2] for g in found(got)} == {w[:2] for w in brute(rows, rows, 4, False, True)}
+
+
 @pytest.mark.parametrize("small_rows", [30, 1000])
 def test_small_groups_are_searched_exactly(spark, rows, small_rows):
     """The hot task has more distinct fingerprints than 30, the cold one fewer."""
