@@ -247,6 +247,21 @@ def test_blocks_of_a_long_table_are_a_share_of_it(spark):
     assert q_large <= q_small <= similarity.BLOCK_PARTS and c_large <= c_small
 
 
+def test_a_large_bucket_is_cut_into_few_blocks(spark, rows, monkeypatch):
+    layouts, layout = [], similarity._layout
+
+    def noted(queries, candidates, by, *cut):
+        layouts.append((by, layout(queries, candidates, by, *cut)))
+        return layouts[-1][1]
+
+    monkeypatch.setattr(similarity, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(similarity, "_layout", noted)
+    similarity.nearest_lsh(frame(spark, rows), None, 4, bands=4, rows=1, small_rows=0, block_rows=1).count()
+    by, found = layouts[0]
+    assert "_bucket" in by
+    assert max(r["_q_parts"] for r in found.collect()) == similarity.BUCKET_PARTS < similarity.BLOCK_PARTS
+
+
 @pytest.mark.parametrize("width, k, floor", [(192, 5, 0.0), (192, 3, 0.6), (2048, 4, 0.0), (2048, 6, 0.7)])
 def test_block_search_over_many_tiles_and_slabs(monkeypatch, width, k, floor):
     import numpy as np
