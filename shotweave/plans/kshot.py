@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions import fingerprints as fpx
@@ -14,6 +14,7 @@ from shotweave.plans.skew import lookup_join
 from shotweave.session import cut_lineage
 
 NEAR, FAR, BALANCED = "near", "far", "balanced"
+SHARED_ROWS, SHARED_HITS = 0.75, 2
 
 
 def task_rows(fingerprints: DataFrame, labels: DataFrame) -> DataFrame:
@@ -21,15 +22,52 @@ def task_rows(fingerprints: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(fingerprints.select("key", "words"), "key")
 
 
+def _share_a_search(rows: DataFrame) -> bool:
+    """Whether tasks are several and measure nearly the same entities: on average ``SHARED_ROWS`` of all, each once and with one fingerprint."""
+    entities = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("tasks"),
+                                       F.min(F.xxhash64("words")).alias("lo"), F.max(F.xxhash64("words")).alias("hi"))
+    plain = F.col("key").isNotNull() & (F.col("n") == F.col("tasks")) & (F.col("lo") == F.col("hi"))
+    seen = entities.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows"), F.bool_and(plain).alias("plain")).head()
+    tasks = rows.select("task").distinct().count()
+    return tasks > 1 and bool(seen["plain"]) and seen["rows"] >= SHARED_ROWS * tasks * seen["n"]
+
+
+def _nearest_of_task(rows: DataFrame, k: int, search: Callable[..., DataFrame]) -> DataFrame:
+    """``search`` of ``rows(key, task, words)`` among themselves, task by task: ``(query_id, task, rank, key, distance)``.
+
+    Tasks that measure nearly the same entities share one search over all of them for ``SHARED_HITS * k`` neighbours: the first ``k`` of
+    these that a task measures are its nearest. An entity of which a task finds fewer is searched in that task alone.
+    """
+    columns = ["key", "task", "words"]
+    if not _share_a_search(rows):
+        return search(rows.select(columns), None, k, by=["task"])
+    tasks = rows.groupBy("key").agg(F.collect_list("task").alias("tasks"), F.first("words").alias("words"))
+    near = search(tasks.select("key", "words"), None, SHARED_HITS * k).drop("rank")
+    both = near.join(tasks.select("key", F.col("tasks").alias("_there")), "key").join(
+        tasks.select(F.col("key").alias("query_id"), F.col("tasks").alias("_here")), "query_id")
+    own = both.select("query_id", F.explode(F.array_intersect("_here", "_there")).alias("task"), "key", "distance")
+    order = Window.partitionBy("query_id", "task").orderBy("distance", "key")
+    first = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    first = cut_lineage(first.select("query_id", "task", "rank", "key", "distance"))
+    full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("key"), "task")
+    left = cut_lineage(rows.select(columns).filter(F.col("words").isNotNull()).join(full, ["key", "task"], "left_anti"))
+    if left.isEmpty():
+        return first
+    alone = search(left, rows.select(columns), k + 1, by=["task"]).filter(F.col("key") != F.col("query_id")).withColumn(
+        "rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = left.select(F.col("key").alias("query_id"), "task")
+    return first.join(asked, ["query_id", "task"], "left_anti").unionByName(alone)
+
+
 def train_prompts(entities: DataFrame, rows: DataFrame, instructions: DataFrame,
                   shots: Sequence[int] = prompts.TRAIN_SHOTS, search=similarity.nearest_lsh) -> DataFrame:
     """Training rows: every labelled entity with its nearest other entities of the same task.
 
     ``entities(key, smiles)``, ``rows(key, task, words, label)``, ``instructions(task, instruction)``. ``search`` is called like
     :func:`shotweave.operators.similarity.nearest`; the default is exact in tasks of moderate size and finds every neighbour with
-    a stated probability in larger ones.
+    a stated probability in larger ones. ``rows`` are read several times.
     """
-    found = cut_lineage(search(rows.select("key", "task", "words"), None, max(shots), by=["task"]))
+    found = cut_lineage(_nearest_of_task(rows, max(shots), search))
     return _assemble(entities, rows, rows, instructions, found, shots, prompts.train_subject(F.col("task")), {})
 
 

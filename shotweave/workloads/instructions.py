@@ -355,7 +355,7 @@ BALANCED_BLOCK = "label DESC, rn) AS block FROM classed JOIN shots ON cn <= shot
 def kshot_train(spark, d):
     entities, prints, instructions = _kshot_inputs(spark, d)
     labels = signed_labels(spark, d).select(F.col("doc_id").alias("key"), "task", lab.sign_text(F.col("label")).alias("label"))
-    return kshot.train_prompts(entities, cut_lineage(kshot.task_rows(prints, labels)), instructions)
+    return kshot.train_prompts(entities, cut_lineage(kshot.task_rows(prints, labels)), instructions, search=similarity.nearest)
 
 
 @query(_kshot_sql(TEST_POOL, 8, (1, 2, 3, 4, 6, 8), NEAR_BLOCK, "'molecular property'"))

@@ -316,3 +316,39 @@ def test_self_recall_query_searches_the_whole_table(spark, tmp_path, monkeypatch
     got = QUERIES["self_recall"](spark, str(tmp_path)).head()
     assert floors == [0.0] and got.asDict() == {"queries": 3, "recall": pytest.approx(2 / 3), "same": 1.0}
     assert "1.0::DOUBLE AS same" not in SQL["self_recall"]
+
+
+def found_by_task(df):
+    return {(r["query_id"], r["task"], r["rank"], r["key"], round(r["distance"], 12)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_tasks_of_the_same_entities_share_a_search(spark, repeated):
+    from shotweave.plans import kshot
+
+    asked = []
+
+    def search(queries, candidates, k, by=()):
+        asked.append((list(by), queries.count()))
+        return similarity.nearest(queries, candidates, k, by=by, block_rows=16)
+
+    entities = [(key, bits) for key, _, bits in make_rows(150, 3)]
+    # A third has one fingerprint; most of these have no label in the second task, so some lists come out short there.
+    rows = [(key, task, bits) for key, bits in entities for task in ("a", "b") if task == "a" or bits != entities[0][1] or key % 4 == 0]
+    assert 1.5 * len(entities) < len(rows) < 2 * len(entities)
+    rows += rows[:1] if repeated else []
+    table = frame(spark, rows)
+    got = found_by_task(kshot._nearest_of_task(table, 4, search))
+    assert got == found_by_task(similarity.nearest(table, None, 4, by=["task"], block_rows=16))
+    if repeated:
+        assert asked == [(["task"], len(rows))]
+    else:
+        assert {r[:1] + r[2:] for r in got} == brute(rows, rows, 4, True, True)
+        assert [by for by, _ in asked] == [[], ["task"]] and asked[0][1] == len(entities) and 0 < asked[1][1] < len(entities)
+
+
+def test_tasks_of_other_entities_are_searched_alone(spark, rows):
+    from shotweave.plans import kshot
+
+    got = kshot._nearest_of_task(frame(spark, rows), 5, lambda q, c, k, by: similarity.nearest(q, c, k, by=by, block_rows=16))
+    assert found(got) == brute(rows, rows, 5, True, True)
