@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm.flat import flat_text, lower_ascii, mix, pieces
+from shotweave.llm.flat import flat_text, lower_ascii, mix, pieces, ramp
 from shotweave.llm.registry import query, table
 from shotweave.llm.scratch import Scratch
 from shotweave.llm.spans import Tally, WordTable, flat_lists, list_chunks, runs_of, two_hashes
@@ -30,6 +30,9 @@ DICTIONARY = 1 << 21
 TRIE_PHRASES = 1 << 20
 CHUNK_NUMBERS = 1 << 20
 SHARD_PHRASES = 1 << 14
+WIDE, DIGIT = 128, 10
+MOST_TRIED, MOST_TRIES, ROOM = 128, 1024, 4
+MOST_FLAGS = 1 << 25
 FAN_IN = 64
 UNKNOWN = "und"
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -88,8 +91,9 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
             order = np.lexsort((v, h))
             new = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (v[order][1:] != v[order][:-1])])
             at, counts = order[new], np.diff(np.r_[new, len(h)])
-            raw = data.tobytes()
-            word = pa.array([raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())], pa.string())
+            lengths = end[at] - start[at]
+            ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+            word = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(data[np.repeat(start[at], lengths) + ramp(lengths)]))
             lang = piece.column(1).cast(pa.string()).take(pa.array(row[at]))
             parts.append((h[at], v[at], counts, word, lang))
             size += len(at)
@@ -162,10 +166,92 @@ def number_texts(docs: DataFrame, words: DataFrame, scratch: Scratch, dictionary
     return out
 
 
+class Room:
+    """Slots of a double array under construction. ``check`` is the parent of a slot, -1 where it is free; the last ``alphabet + 1`` slots
+    stay free, so that any word may be added to any base."""
+
+    def __init__(self, alphabet: int, check: np.ndarray):
+        self.alphabet, self.check = alphabet, check
+        self.rng = np.random.default_rng(len(check))
+
+    def extend(self, slots: int) -> None:
+        self.check = np.concatenate([self.check, np.full(slots, -1, np.int32)])
+
+    def free(self) -> np.ndarray:
+        low = self.alphabet + 1
+        return low + np.flatnonzero(self.check[low:len(self.check) - low] < 0)
+
+    def place(self, parents: np.ndarray, heads: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Base of every parent and slot of every label; the labels of a parent start at its head and rise.
+
+        Large groups get stretches of their own, so their labels should lie close together. The others try free places at random, all
+        groups of about one size at a time; what fits is claimed, and groups that claim the same slot try again. Single labels
+        take what is left.
+        """
+        counts = np.diff(np.r_[heads, len(labels)])
+        first, span = labels[heads], labels[heads + counts - 1] - labels[heads] + 1
+        base = np.zeros(len(heads), np.int64)
+        own = np.flatnonzero(counts > MOST_TRIED)
+        end = int(np.flatnonzero(self.check >= 0)[-1]) + 1
+        base[own] = end + np.cumsum(span[own]) - span[own] - first[own]
+        self.extend(max(0, end + self.alphabet + 1 - len(self.check)) + int(span[own].sum())
+                    + ROOM * int(counts[counts <= MOST_TRIED].sum()) + 1024)
+        self._claim(parents, heads, labels, counts, base, own)
+        most = MOST_TRIED
+        while most > 1:
+            todo = np.flatnonzero((counts <= most) & (counts > most // 2))
+            most //= 2
+            tries = 4
+            while len(todo):
+                free = self.free()
+                some = todo[:max(1, min((1 << 21) // (tries * 2 * most), len(free) // (8 * most)))]
+                n = counts[some]
+                goal = free[self.rng.integers(0, len(free), (len(some), tries))]
+                fits = np.ones(goal.shape, bool)
+                for j in range(1, int(n.max())):
+                    row = np.flatnonzero(n > j)
+                    fits[row] &= self.check[goal[row] + (labels[heads[some[row]] + j] - first[some[row]])[:, None]] < 0
+                row = np.flatnonzero(fits.any(axis=1))
+                base[some[row]] = goal[row, fits[row].argmax(axis=1)] - first[some[row]]
+                done = some[row][self._claim(parents, heads, labels, counts, base, some[row])]
+                if len(row) * 4 < len(some):
+                    if tries < MOST_TRIES:
+                        tries *= 4
+                    elif not len(row):
+                        self.extend(ROOM * int(counts[todo].sum()))
+                failed = np.isin(some, done, invert=True)
+                todo = np.r_[todo[len(some):], some[failed]]
+        alone = np.flatnonzero(counts == 1)
+        free = self.free()
+        if len(free) < len(alone):
+            self.extend(len(alone))
+            free = self.free()
+        base[alone] = free[:len(alone)] - first[alone]
+        self.check[free[:len(alone)]] = parents[alone]
+        return base, np.repeat(base, counts) + labels
+
+    def _claim(self, parents, heads, labels, counts, base, groups: np.ndarray) -> np.ndarray:
+        """Which of the groups hold all their slots; slots of the others are free again."""
+        n = counts[groups]
+        group = np.repeat(np.arange(len(groups)), n)
+        slots = np.repeat(base[groups], n) + labels[np.repeat(heads[groups], n) + ramp(n)]
+        self.check[slots] = -2 - group
+        mine = self.check[slots] == -2 - group
+        lost = np.bincount(group[~mine], minlength=len(groups)) > 0
+        back = slots[mine & lost[group]]
+        self.check[back] = -1
+        self.check[slots[~lost[group]]] = parents[groups][group[~lost[group]]]
+        return ~lost
+
+
 @dataclass
 class Trie:
     """Double array over word numbers: the child of slot ``s`` by word ``w`` is ``base[s] + w`` if ``check`` there is ``s``. Slots 1 to
-    ``alphabet`` are the single words. ``number`` is the phrase of a slot, a row of ``phrases`` (words, padded with zeros)."""
+    ``alphabet`` are the single words. ``number`` is the phrase of a slot, a row of ``phrases`` (words, padded with zeros).
+
+    A slot with more than ``WIDE`` children has a base below zero: a step from it is one by ``w >> DIGIT`` from ``-base[s]`` and one by the
+    rest. So no set of children is both large and scattered, and room for all is found without a search that grows with the array.
+    """
 
     alphabet: int
     base: np.ndarray
@@ -176,73 +262,62 @@ class Trie:
     @classmethod
     def of(cls, alphabet: int, levels: list[np.ndarray]) -> Trie:
         """``levels[i]`` holds phrases of ``i + 2`` words; the first words of each are in the level before."""
-        total = sum(map(len, levels))
-        widest = 0
-        plan = []
+        check = np.full(2 * alphabet + 2, -1, np.int32)
+        check[:alphabet + 1] = 0
+        trie = cls(alphabet, np.zeros(len(check), np.int32), check, np.full(len(check), -1, np.int32), np.zeros((0, LONGEST), np.int32))
         for phrases in levels:
-            order = np.lexsort(phrases.T[::-1])
-            phrases = phrases[order]
-            new = np.r_[True, (phrases[1:, :-1] != phrases[:-1, :-1]).any(axis=1)][:len(phrases)]
-            heads = np.flatnonzero(new)
-            widest = max(widest, int(np.diff(np.r_[heads, len(phrases)]).max(initial=0)))
-            plan.append((phrases, heads))
-        size = 2 * alphabet + 4 * total + 1024
-        base, check, number = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        check[1:alphabet + 1] = 0
-        check[0] = 0
-        at, offset = None, 0
-        rows = np.zeros((total, LONGEST), np.int32)
-        for phrases, heads in plan:
-            if not len(phrases):
-                break
-            # The slot of every head's phrase: words stand for themselves, longer ones were placed a level before.
-            stems = phrases[heads, :-1]
-            slots = stems[:, 0].astype(np.int64)
-            for j in range(1, stems.shape[1]):
-                slots = base[slots].astype(np.int64) + stems[:, j]
-            counts = np.diff(np.r_[heads, len(phrases)])
-            at = np.empty(len(phrases), np.int64)
-            low = alphabet + 1
-            for k in np.argsort(-counts, kind="stable"):
-                n = int(counts[k])
-                if n == 1:
-                    break
-                children = phrases[heads[k]:heads[k] + n, -1].astype(np.int64)
-                while check[low] >= 0:
-                    low += 1
-                start = low
-                while True:
-                    if start + alphabet + 4096 > len(check):
-                        more = len(check)
-                        base, check, number = (np.concatenate([a, np.full(more, f, np.int32)])
-                                               for a, f in ((base, 0), (check, -1), (number, -1)))
-                    free = start + np.flatnonzero(check[start:start + 4096] < 0)[:256]
-                    fits = (check[free[:, None] - children[0] + children] < 0).all(axis=1) if len(free) else np.zeros(0, bool)
-                    if fits.any():
-                        place = int(free[fits.argmax()] - children[0])
-                        break
-                    start = int(free[-1]) + 1 if len(free) else start + 4096
-                base[slots[k]] = place
-                check[place + children] = slots[k]
-                at[heads[k]:heads[k] + n] = place + children
-            single = np.flatnonzero(counts == 1)
-            if len(single):
-                free = np.flatnonzero(check[alphabet + 1:len(check) - alphabet] < 0)[:len(single)] + alphabet + 1
-                if len(free) < len(single):
-                    more = len(single) + 2 * alphabet
-                    base, check, number = (np.concatenate([a, np.full(more, f, np.int32)])
-                                           for a, f in ((base, 0), (check, -1), (number, -1)))
-                    free = np.flatnonzero(check[alphabet + 1:len(check) - alphabet] < 0)[:len(single)] + alphabet + 1
-                word = phrases[heads[single], -1]
-                base[slots[single]] = free - word
-                check[free] = slots[single]
-                at[heads[single]] = free
-            number[at] = offset + np.arange(len(phrases))
-            rows[offset:offset + len(phrases), :phrases.shape[1]] = phrases
-            offset += len(phrases)
-        padding = alphabet + 1
-        base, check, number = (np.concatenate([a, np.full(padding, f, np.int32)]) for a, f in ((base, 0), (check, -1), (number, -1)))
-        return cls(alphabet, base, check, number, rows)
+            trie = trie.grown(phrases)
+        return trie
+
+    def grown(self, phrases: np.ndarray) -> Trie:
+        """This trie with the phrases of one more level, whose slots and numbers come after those it has."""
+        if not len(phrases):
+            return self
+        phrases = phrases[np.lexsort(phrases.T[::-1])]
+        heads = np.flatnonzero(np.r_[True, (phrases[1:, :-1] != phrases[:-1, :-1]).any(axis=1)])
+        stems, labels = phrases[heads, :-1], phrases[:, -1].astype(np.int64)
+        # The slot of every head's phrase: words stand for themselves, longer ones were placed a level before.
+        parents = stems[:, 0].astype(np.int64)
+        for j in range(1, stems.shape[1]):
+            parents, _ = self.step(parents, stems[:, j].astype(np.int64))
+        room = Room(self.alphabet, self.check)
+        counts = np.diff(np.r_[heads, len(phrases)])
+        wide = np.repeat(counts > WIDE, counts)
+        # A wide parent's children hang from one slot for each of the first digits.
+        split = np.flatnonzero(wide)
+        owner = np.repeat(np.arange(len(heads)), counts)
+        new = split[np.r_[True, (owner[split][1:] != owner[split][:-1]) | (labels[split][1:] >> DIGIT != labels[split][:-1] >> DIGIT)][:len(split)]]
+        digits, above = labels[new] >> DIGIT, owner[new]
+        tops = np.flatnonzero(np.r_[True, above[1:] != above[:-1]][:len(new)])
+        top_base, middle = room.place(parents[above[tops]], tops, digits) if len(new) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        starts = np.sort(np.r_[heads[counts <= WIDE], new])
+        under = np.empty(len(starts), np.int64)
+        is_middle = np.isin(starts, new)
+        under[is_middle], under[~is_middle] = middle, parents[counts <= WIDE]
+        low_base, at = room.place(under, starts, np.where(wide, labels & ((1 << DIGIT) - 1), labels))
+        check = room.check
+        base, number = np.zeros(len(check), np.int32), np.full(len(check), -1, np.int32)
+        base[:len(self.base)], number[:len(self.number)] = self.base, self.number
+        base[parents[above[tops]]] = -top_base
+        base[under] = low_base
+        number[at] = len(self.phrases) + np.arange(len(phrases))
+        rows = np.zeros((len(phrases), LONGEST), np.int32)
+        rows[:, :phrases.shape[1]] = phrases
+        return Trie(self.alphabet, base, check, number, np.concatenate([self.phrases, rows]))
+
+    def step(self, slot: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots one word further, and which of them exist."""
+        base = self.base[slot]
+        goal = base + word
+        wide = np.flatnonzero(base < 0)
+        if len(wide):
+            digit = word[wide]
+            middle = (digit >> DIGIT) - base[wide]
+            there = self.check[middle] == slot[wide]
+            goal[wide] = np.where(there, self.base[middle] + (digit & ((1 << DIGIT) - 1)), 0)
+            slot = slot.copy()
+            slot[wide] = middle
+        return goal, (word > 0) & (self.check[goal] == slot)
 
     def walk(self, x: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For every length from 1 on the positions of ``x`` at which a known phrase of that length starts, and its slots. All
@@ -252,9 +327,7 @@ class Trie:
         slot = x[at]
         yield 1, at, slot
         for step in range(1, longest):
-            word = x[at + step]
-            goal = self.base[slot] + word
-            alive = (word > 0) & (self.check[goal] == slot)
+            goal, alive = self.step(slot, x[at + step])
             at, slot = at[alive], goal[alive]
             yield step + 1, at, slot
 
@@ -340,42 +413,62 @@ def frequent_phrases(texts: DataFrame, alphabet: int, scratch: Scratch, longest:
 
     Pairs are counted once for all. Phrases are then dealt by their first word into shares of about ``trie_phrases`` pairs, usually
     one; each share gets a trie of its own, so that what is broadcast stays bounded and more phrases mean more passes. Within a
-    single share both parts of a phrase are tested; with several, the second part may lie in another share and is not.
+    single share both parts of a phrase are tested; with several, the second part may lie in another share, and a filter of all
+    pairs tests its last two words.
     """
     sc = texts.sparkSession.sparkContext
     pairs = scratch.write(candidate_pass(texts, None, alphabet, 2, least))
     shares = max(1, -(-pairs.count() // trie_phrases))
     first = F.expr(f"code div {alphabet + 1}")
+
+    def codes_of(share: int) -> np.ndarray:
+        mine = pairs.filter(F.pmod(F.xxhash64(first), F.lit(shares)) == share).select("code")
+        return mine.toArrow()["code"].to_numpy()
+
+    seen = sc.broadcast(pair_filter(map(codes_of, range(shares)), shares * trie_phrases)) if shares > 1 else None
     out = None
     for share in range(shares):
-        codes = np.array([r[0] for r in pairs.filter(F.pmod(F.xxhash64(first), F.lit(shares)) == share).select("code").collect()], np.int64)
+        codes = codes_of(share)
         levels = [np.stack([codes // (alphabet + 1), codes % (alphabet + 1)], axis=1).astype(np.int32)]
         trie = Trie.of(alphabet, levels)
         for size in range(3, longest + 1):
             if not len(levels[-1]):
                 break
             shared = sc.broadcast(trie)
-            grown = candidate_pass(texts, shared, alphabet, size, least) if shares == 1 else extended(texts, shared, alphabet, size, least)
-            codes = np.array([r[0] for r in grown.select("code").collect()], np.int64)
+            grown = candidate_pass(texts, shared, alphabet, size, least) if shares == 1 else extended(texts, shared, alphabet, size, least, seen)
+            codes = grown.select("code").toArrow()["code"].to_numpy()
             shared.destroy()
             stems = trie.phrases[codes // (alphabet + 1)][:, :size - 1]
             levels.append(np.column_stack([stems, (codes % (alphabet + 1)).astype(np.int32)]).reshape(-1, size))
-            trie = Trie.of(alphabet, levels)
+            trie = trie.grown(levels[-1])
         part = scratch.write(trie_counts(texts, sc.broadcast(trie), longest))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def extended(texts: DataFrame, trie, alphabet: int, size: int, least: int) -> DataFrame:
-    """As :func:`candidate_pass` with a test of the first part and the last word only."""
+def pair_filter(shares: Iterator[np.ndarray], pairs: int) -> np.ndarray:
+    """Flags at hashes of pair codes, some eight for a pair but at most ``MOST_FLAGS``: a pair without a flag is none of them."""
+    flags = np.zeros(min(MOST_FLAGS, 1 << max(10, (8 * pairs).bit_length())), bool)
+    for codes in shares:
+        flags[flag_of(codes, len(flags))] = True
+    return flags
+
+
+def flag_of(codes: np.ndarray, size: int) -> np.ndarray:
+    return (mix(codes.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def extended(texts: DataFrame, trie, alphabet: int, size: int, least: int, pairs) -> DataFrame:
+    """As :func:`candidate_pass` with a test of the first part, and of the last two words by a filter of all pairs, only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tally = trie.value, Tally()
+        known, seen, tally = trie.value, pairs.value, Tally()
         for values, offsets in list_chunks(batches, 0, CHUNK_NUMBERS):
             x = np.concatenate([joined(values, offsets), [0]]).astype(np.int64)
             *_, (_, at, slot) = known.walk(x, size - 1)
             word = x[at + size - 1]
-            code = known.number[slot].astype(np.int64) * (alphabet + 1) + word
-            tally.add(*np.unique(code[word > 0], return_counts=True))
+            kept = (word > 0) & seen[flag_of(x[at + size - 2] * (alphabet + 1) + word, len(seen))]
+            code = known.number[slot[kept]].astype(np.int64) * (alphabet + 1) + word[kept]
+            tally.add(*np.unique(code, return_counts=True))
             if tally.full:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in tally.take()], names=["code", "c"])
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in tally.take()], names=["code", "c"])

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -102,6 +103,39 @@ def test_trie_holds_just_its_phrases():
         assert all(tuple(p[:size]) == tuple(x[i:i + size]) for i, p in zip(*walked[size]))
 
 
+def test_trie_of_many_wide_scattered_sets():
+    rng = np.random.default_rng(2)
+    alphabet, started = 40_000, time.monotonic()
+    counts = np.r_[np.full(400, 900), rng.integers(1, 300, 1500)]
+    pairs = np.concatenate([np.column_stack([np.full(n, i + 1), rng.choice(alphabet, n, replace=False) + 1]) for i, n in enumerate(counts)])
+    pairs = pairs[np.lexsort(pairs.T[::-1])].astype(np.int32)
+    two = collocations.Trie.of(alphabet, [pairs])
+    triples = np.column_stack([pairs[::2], rng.integers(1, alphabet + 1, len(pairs[::2]))]).astype(np.int32)
+    trie = two.grown(triples)
+    assert time.monotonic() - started < 60
+    assert len(trie.check) < 16 * (len(pairs) + len(triples)) + 8 * alphabet
+    # What was there keeps its slots and numbers, so a level never places those before it again.
+    assert (trie.number[:len(two.number)][two.number >= 0] == two.number[two.number >= 0]).all()
+    for phrases, first in ((pairs, 0), (triples, len(pairs))):
+        slot = phrases[:, 0].astype(np.int64)
+        for j in range(1, phrases.shape[1]):
+            slot, there = trie.step(slot, phrases[:, j].astype(np.int64))
+            assert there.all()
+        assert (trie.number[slot] == first + np.arange(len(phrases))).all()
+    left, right = rng.integers(1, alphabet + 1, (2, 200_000))
+    known = set((pairs[:, 0].astype(np.int64) * (alphabet + 1) + pairs[:, 1]).tolist())
+    assert trie.step(left, right)[1].tolist() == [code in known for code in (left * (alphabet + 1) + right).tolist()]
+
+
+def test_shares_test_the_last_pair_of_a_phrase(spark):
+    texts = spark.createDataFrame([([1, 2, 3],)] * 5 + [([1, 2, 4],)] * 5 + [([2, 3],)] * 9, "ids array<int>")
+    sc, pairs = spark.sparkContext, np.array([[1, 2], [2, 3]], np.int32)
+    seen = collocations.pair_filter(iter([pairs[:, 0] * 5 + pairs[:, 1].astype(np.int64)]), 2)
+    trie = collocations.Trie.of(4, [pairs])
+    grown = collocations.extended(texts, sc.broadcast(trie), 4, 3, 1, sc.broadcast(seen))
+    assert [tuple(r) for r in grown.collect()] == [(0 * 5 + 3, 5)]
+
+
 def test_word_table_tells_words_apart():
     def hashes(seed):
         return (np.array([1, 1 if seed == 0 else 2, 3], np.uint64), np.array([7, 8, 9], np.uint64))
