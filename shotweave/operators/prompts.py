@@ -50,12 +50,14 @@ def _examples(neighbours: DataFrame, keys: Sequence[str], text: Column, columns:
     return lines.groupBy(*keys).agg(ordered.alias("_lines"))
 
 
-def _fan_out(queries: DataFrame, examples: DataFrame, keys: Sequence[str], shots: Sequence[int], block,
-             subject: Column) -> DataFrame:
-    """One row per query and shot count, all from one search."""
-    joined = queries.join(examples, list(keys), "left").withColumn(
+def _beside(queries: DataFrame, examples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return queries.join(examples, list(keys), "left").withColumn(
         "_lines", F.coalesce("_lines", F.array().cast(dict(examples.dtypes)["_lines"]))
     )
+
+
+def _fan_out(joined: DataFrame, keys: Sequence[str], shots: Sequence[int], block, subject: Column) -> DataFrame:
+    """One row per query and shot count, all from one search; ``joined`` has the queries with their examples as ``_lines``."""
     shot = joined.withColumn("shot", F.explode(F.array(*[F.lit(s) for s in shots])))
     text = F.array_join(F.transform(block(F.col("_lines"), F.col("shot")), lambda x: x["line"]), "")
     return shot.select(
@@ -76,13 +78,26 @@ def kshot_rows(queries: DataFrame, neighbours: DataFrame, keys: Sequence[str], s
     With ``yes_no`` labels 1 and 0 become Yes and No; a neighbour with another
     label adds nothing but still uses up its shot.
     """
-    label = class_text(F.col("n_label").try_cast("double")) if yes_no else plain_text(neighbours, "n_label")
-    examples = _examples(neighbours, keys, F.coalesce(example(F.col("n_smiles"), label), F.lit("")), [])
+    line = shown(F.col("n_smiles"), shown_label(neighbours, yes_no))
+    return line_rows(_beside(queries, _examples(neighbours, keys, line, []), keys), keys, shots, subject, far_first)
+
+
+def shown_label(neighbours: DataFrame, yes_no: bool) -> Column:
+    """Text of ``n_label`` in an example."""
+    return class_text(F.col("n_label").try_cast("double")) if yes_no else plain_text(neighbours, "n_label")
+
+
+def shown(smiles: Column, label: Column) -> Column:
+    """:func:`example`, empty where string or label is missing."""
+    return F.coalesce(example(smiles, label), F.lit(""))
+
 
+def line_rows(queries: DataFrame, keys: Sequence[str], shots: Sequence[int], subject: Column, far_first: bool = False) -> DataFrame:
+    """As :func:`kshot_rows` of ``queries(keys, instruction, smiles, label, _lines)`` whose examples ``(rank, line)`` are already there."""
     def block(lines: Column, shot: Column) -> Column:
         return F.reverse(_near(lines, shot)) if far_first else _near(lines, shot)
 
-    return _fan_out(queries, examples, keys, shots, block, subject)
+    return _fan_out(queries, keys, shots, block, subject)
 
 
 def balance(neighbours: DataFrame, keys: Sequence[str], label: Column, most: int) -> DataFrame:
@@ -110,4 +125,4 @@ def balanced_rows(queries: DataFrame, neighbours: DataFrame, keys: Sequence[str]
 
         return F.concat(first(YES), first(NO))
 
-    return _fan_out(queries, examples, keys, shots, block, subject)
+    return _fan_out(_beside(queries, examples, keys), keys, shots, block, subject)

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from shotweave.functions import fingerprints as fpx
 from shotweave.functions.labels import NO, YES, class_text
 from shotweave.operators import prompts, similarity
-from shotweave.plans.skew import lookup_join
-from shotweave.session import cut_lineage
+from shotweave.plans.skew import KEY_ROWS, lookup_join
+from shotweave.session import cut_lineage, task_slots
 
 NEAR, FAR, BALANCED = "near", "far", "balanced"
 SHARED_ROWS, SHARED_HITS = 0.75, 2
+PART_ROWS, PART_BYTES = 2048, 32 << 20
 
 
 def task_rows(fingerprints: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,16 +100,70 @@ def test_prompts(entities: DataFrame, test: DataFrame, train: DataFrame, instruc
 def _assemble(entities: DataFrame, queries: DataFrame, pool: DataFrame, instructions: DataFrame, found: DataFrame,
               shots: Sequence[int], subject: Column, how: dict) -> DataFrame:
     keys = ["query_id", "task"]
+    yes_no = how.get("yes_no", False)
     payload = similarity.with_payload(found, pool.select("key", "task", F.col("label").alias("n_label")),
                                       ["n_label"], by=["task"])
-    payload = similarity.with_payload(payload, entities.select("key", F.col("smiles").alias("n_smiles")), ["n_smiles"])
-    label = class_text(F.col("label")) if how.get("yes_no") else F.col("label")
-    texts = queries.select("key", "task", label.alias("label")).join(entities.select("key", "smiles"), "key")
-    asked = lookup_join(texts, instructions, ["task"], ["key"], hot_from=queries).withColumnRenamed("key", "query_id")
+    label = class_text(F.col("label")) if yes_no else F.col("label")
     if how.get("style") == BALANCED:
+        payload = similarity.with_payload(payload, entities.select("key", F.col("smiles").alias("n_smiles")), ["n_smiles"])
+        texts = queries.select("key", "task", label.alias("label")).join(entities.select("key", "smiles"), "key")
+        asked = lookup_join(texts, instructions, ["task"], ["key"], hot_from=queries).withColumnRenamed("key", "query_id")
         return prompts.balanced_rows(asked, payload, keys, subject, shots)
-    return prompts.kshot_rows(asked, payload, keys, shots, subject, yes_no=how.get("yes_no", False),
-                              far_first=how.get("style") == FAR)
+    near = payload.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("rank", "key", prompts.shown_label(payload, yes_no).alias("label")))).alias("_near"))
+    asked = queries.select(F.col("key").alias("query_id"), "task", label.alias("label")).filter("query_id IS NOT NULL").join(near, keys, "left")
+    asked = asked.withColumn("_near", F.coalesce("_near", F.array().cast(dict(near.dtypes)["_near"])))
+    full = _with_texts(asked, queries.count(), entities)
+
+    def texts_of(key: Column) -> Column:
+        return F.filter("_texts", lambda t: t["key"] == key)
+
+    lines = F.flatten(F.transform("_near", lambda n: F.transform(
+        texts_of(n["key"]), lambda t: F.named_struct(F.lit("rank"), n["rank"], F.lit("line"), prompts.shown(t["smiles"], n["label"])))))
+    shown = full.select(*keys, "label", F.array_sort(lines).alias("_lines"), F.explode(texts_of(F.col("query_id"))["smiles"]).alias("smiles"))
+    return prompts.line_rows(lookup_join(shown, instructions, ["task"], ["query_id"]), keys, shots, subject, how.get("style") == FAR)
+
+
+def _with_texts(asked: DataFrame, rows: int, entities: DataFrame) -> DataFrame:
+    """``asked(query_id, …, _near)`` with ``_texts``, the rows ``(key, smiles)`` of ``entities`` for the query and its neighbours.
+
+    Queries are sorted by their nearest neighbour and cut into parts of about ``PART_ROWS`` rows. A text is sent once to each part that
+    shows it, not to each of its rows, and only texts that some part shows are sent at all.
+    """
+    spark = asked.sparkSession
+    asked = asked.withColumn("_needs", F.array_distinct(F.concat(F.array(F.col("query_id").cast("bigint")), F.transform("_near", lambda n: n["key"]))))
+    parts = max(task_slots(spark), -(-rows // PART_ROWS))
+    nearest = F.element_at("_needs", F.least(F.size("_needs"), F.lit(2)))
+    dealt = cut_lineage(asked.repartitionByRange(parts, nearest, "query_id").withColumn("_part", F.spark_partition_id()))
+    wanted = cut_lineage(dealt.select("_part", F.explode("_needs").alias("key")).distinct())
+    texts = lookup_join(entities.select(F.col("key").cast("bigint").alias("key"), "smiles"), wanted.select("key").distinct(), ["key"], [],
+                        "left_semi", max_rows=KEY_ROWS).join(wanted, "key")
+    schema = StructType([f for f in dealt.schema if f.name not in ("_part", "_needs")]).add(
+        "_texts", ArrayType(StructType().add("key", "long").add("smiles", "string")))
+
+    def attach(asking: pa.Table, shown: pa.Table) -> pa.Table:
+        keys, smiles = shown["key"].to_numpy(), shown["smiles"].combine_chunks()
+        order = np.argsort(keys, kind="stable")
+        needs = asking["_needs"].combine_chunks()
+        ends, flat = needs.offsets.to_numpy(), needs.flatten().to_numpy()
+        low, high = (np.searchsorted(keys[order], flat, side) for side in ("left", "right"))
+        times = high - low
+        take = order[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        ends = np.r_[0, np.cumsum(times)][ends - ends[0]]
+        size = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(smiles), 0).to_numpy(zero_copy_only=False).astype(np.int64)[take])][ends[1:]]
+        cuts = np.r_[0, np.flatnonzero(np.diff(size // PART_BYTES)) + 1, asking.num_rows]
+        plain = asking.select([f.name for f in schema][:-1]).combine_chunks()
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            some = pa.array(take[ends[lo]:ends[hi]])
+            items = pa.StructArray.from_arrays([pa.array(keys[take[ends[lo]:ends[hi]]]), smiles.take(some)], names=["key", "smiles"])
+            lists = pa.ListArray.from_arrays(pa.array(ends[lo:hi + 1] - ends[lo], pa.int32()), items)
+            out.append(plain.slice(lo, hi - lo).append_column("_texts", lists))
+        return pa.concat_tables(out)
+
+    tasks = max(task_slots(spark), parts)
+    return (dealt.repartition(tasks, "_part").groupBy("_part")
+            .cogroup(texts.repartition(tasks, "_part").groupBy("_part")).applyInArrow(attach, schema))
 
 
 def fingerprints_of(entities: DataFrame, n_bits: int = fpx.KEYS_BITS, n_words: int = fpx.KEYS_WORDS) -> DataFrame:

@@ -10,6 +10,7 @@ from shotweave.functions import labels as lab
 from shotweave.functions import text as txt
 from shotweave.operators import melt, rows, similarity, splits
 from shotweave.plans import kshot
+from shotweave.plans.skew import KEY_ROWS, lookup_join
 from shotweave.session import cut_lineage, spread
 from shotweave.workloads.labelling import signed_labels
 from shotweave.workloads.registry import query, table
@@ -294,7 +295,7 @@ def response_mask(spark, d):
 def _kshot_inputs(spark: SparkSession, d: str):
     entities = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("smiles"))
     labelled = table(spark, d, "labels").select(F.col("doc_id").alias("key"))
-    prints = kshot.fingerprints_of(spread(entities).join(labelled, "key"))
+    prints = kshot.fingerprints_of(spread(lookup_join(entities, labelled, ["key"], ["key"], max_rows=KEY_ROWS), scan=entities))
     instructions = spark.createDataFrame(list(ZERO_SHOT.items()), "task string, instruction string")
     return entities, prints, instructions
 

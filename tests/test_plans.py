@@ -79,3 +79,29 @@ def test_checkpoint_dir_is_kept(spark):
     first = spark.sparkContext.getCheckpointDir()
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir() == first
+
+
+def test_a_text_goes_to_the_parts_that_show_it_only(spark, monkeypatch):
+    from shotweave.operators import prompts
+    from shotweave.plans import kshot
+
+    monkeypatch.setattr(kshot, "PART_ROWS", 8)
+    monkeypatch.setattr(kshot, "PART_BYTES", 64)
+    rng = random.Random(5)
+    # One text is repeated, one is null, one query and one neighbour have none, and one query is asked twice.
+    texts = [(i, f"text {i} " + "x" * rng.randrange(30)) for i in range(60) if i not in (7, 9)] + [(3, "again"), (61, None), (None, "none")]
+    rows = [(i, task, rng.choice(["Yes", "No", None])) for i in range(62) for task in ("a", "b")] + [(5, "a", "No"), (None, "a", "No")]
+    found = [(i, task, rank, rng.choice([3, 9, 61, *range(60)]), 0.5) for i in range(50) for task in ("a", "b") for rank in (1, 2, 3)]
+    entities = spark.createDataFrame(texts, "key long, smiles string")
+    asked = spark.createDataFrame(rows, "key long, task string, label string").repartition(3)
+    near = spark.createDataFrame(found, "query_id long, task string, rank int, key long, distance double").repartition(3)
+    inst = spark.createDataFrame([("a", "One. Two"), ("b", "Three")], "task string, instruction string")
+    subject = prompts.train_subject(F.col("task"))
+    made = kshot._assemble(entities, asked, asked, inst, near, (1, 2, 3), subject, {})
+    # Before, every neighbour's text was gathered by query and task.
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    payload = near.join(asked.select("key", "task", F.col("label").alias("n_label")), ["key", "task"]).join(
+        entities.withColumnRenamed("smiles", "n_smiles"), "key")
+    queries = asked.join(entities, "key").join(inst, "task").withColumnRenamed("key", "query_id")
+    want = prompts.kshot_rows(queries, payload, ["query_id", "task"], (1, 2, 3), subject)
+    assert sorted(map(str, made.collect())) == sorted(map(str, want.select(made.columns).collect()))
