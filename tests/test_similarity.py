@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,43 @@ def test_search_plan_limits_before_the_shuffle(spark, rows, capsys):
     assert capsys.readouterr().out.count("WindowGroupLimit") == 2
 
 
+def test_queries_of_most_buckets_are_searched_once(spark, monkeypatch):
+    asked, layout = [], similarity._layout
+
+    def noted(queries, candidates, by, *cut):
+        if "_bucket" in by:
+            asked.append(queries.count())
+        return layout(queries, candidates, by, *cut)
+
+    rng = random.Random(7)
+    # A third of the rows has nearly all bits set, so these share most bands; some keys repeat with other bits.
+    rows = [(i, "a", [b for b in range(166) if rng.random() < (0.95 if i % 3 == 0 else 0.4)]) for i in range(400)]
+    rows += [(i, "a", [b for b in range(166) if rng.random() < 0.95]) for i in range(0, 30, 3)]
+    table = frame(spark, rows)
+    monkeypatch.setattr(similarity, "SMALL_BUCKET", 8)
+    monkeypatch.setattr(similarity, "_layout", noted)
+    want = similarity.nearest_lsh(table, None, 4, small_rows=0)
+    want, in_buckets = found(want), asked[-1]
+    monkeypatch.setattr(similarity, "WIDE_ROWS", 0)
+    got = similarity.nearest_lsh(table, None, 4, small_rows=0)
+    assert found(got) == want
+    assert asked[-1] < in_buckets / 2
+
+
+def test_three_counts_of_one_product():
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 1 << 32, (41, 7), dtype=np.uint64).astype(np.uint32)
+    bits[:9] = 0xFFFFFFFF
+    real = np.arange(60) % 4 < 3
+    spread = np.zeros((60, 7), np.uint32)
+    spread[np.flatnonzero(real)[:41]] = bits
+    real[np.flatnonzero(real)[41:]] = False
+    used = np.arange(224)
+    counts = similarity._common_packed(similarity._unpacked(bits).astype(np.float32), similarity._three_a_column(spread, real, used))
+    assert (counts[:, real] == similarity._common(bits.T.copy(), bits.T.copy())).all()
+    assert (counts[:, ~real] == 0).all()
+
+
 def test_few_queries_equal_the_block_search(spark):
     rows = make_rows()
     table = frame(spark, rows)
