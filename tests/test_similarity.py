@@ -248,6 +248,23 @@ def test_queries_of_most_buckets_are_searched_once(spark, monkeypatch):
     assert asked[-1] < in_buckets / 2
 
 
+@pytest.mark.parametrize("n_bits", [166, 60, 8])
+def test_first_places_by_bytes(n_bits):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    on = rng.random((300, n_bits)) < rng.random((300, 1))
+    on[0] = False
+    words = np.zeros((300, 24), np.uint8)
+    packed = np.packbits(on, axis=1, bitorder="little")
+    words[:, :packed.shape[1]] = packed
+    fp = pa.array([r.astype(">u4").tobytes() for r in words.view("<u4")], pa.binary())
+    orders = similarity.bit_orders(n_bits, 12)
+    table = similarity._first_places(orders)
+    want = np.stack([np.where(on, order, n_bits).min(axis=1) for order in orders], axis=1)
+    assert (similarity._min_places(fp, orders, table) == want).all() and (similarity._min_places(fp, orders, None) == want).all()
+
+
 def test_three_counts_of_one_product():
     rng = np.random.default_rng(3)
     bits = rng.integers(0, 1 << 32, (41, 7), dtype=np.uint64).astype(np.uint32)
