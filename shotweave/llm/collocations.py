@@ -28,7 +28,7 @@ LEAST = 100
 TOP = 2000
 DICTIONARY = 1 << 21
 TRIE_PHRASES = 1 << 20
-CHUNK_NUMBERS = 1 << 20
+CHUNK_NUMBERS = 1 << 19
 SHARD_PHRASES = 1 << 14
 WIDE, DIGIT = 128, 10
 MOST_TRIED, MOST_TRIES, ROOM = 128, 1024, 4
